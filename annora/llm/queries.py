@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annora.llm.common import table
 from annora.llm.op1_sharding import interleaved_shards
+from annora.llm.op10_ngram_join import ngram_components
 from annora.llm.op5_mixing import mix_sources, quality_weights
 from annora.llm.op6_toxicity import toxicity_report
 from annora.llm.op7_chat import fold_events, read_back, render, turns_as_events
@@ -35,11 +36,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(render(fold_events(turns_as_events(logged.unionByName(forged)))))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {
