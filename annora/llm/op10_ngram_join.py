@@ -16,6 +16,7 @@ from annora.llm.shingles import class_of, shingle_set
 
 SKETCH_BITS, CHUNKS = 20, 64
 BINS = 32
+SIEVE_BITS = 20
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -106,8 +107,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             same = [i for i, s in enumerate(sets) if class_of(s) == named[i]]  # rows that only share the id fall out
             yield _batch([[named[i] for i in same], [sets[i].view(np.int64) for i in same]], [pa.int64(), pa.list_(pa.int64())], ["class", "set"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, "doc_id").select("text", "class")
-    return rows.mapInArrow(run, "class long, set array<long>").dropDuplicates(["class"])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).cast("int"))
+    # Sieve before the shuffle: what is broadcast are 2**SIEVE_BITS small numbers at most, whatever the input's size; the join below decides.
+    buckets = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).cast("int").alias("bucket")).distinct()
+    rows = rows.join(F.broadcast(buckets), "bucket", "left_semi").join(wanted, "doc_id").select("text", "class")
+    return rows.mapInArrow(run, "class long, set array<long>")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of the candidate pairs (a, b) of classes that are similar enough."""
+    left = stored(_survivors(pairs, firsts, num, den), "ngram-candidates")
+    wanted = left.select(F.col("a").alias("class")).unionByName(left.select(F.col("b").alias("class"))).distinct().join(classes, "class")
+    return stored(_verified(left, stored(_sets(docs, wanted, width), "ngram-sets"), num, den).distinct(), "ngram-links")
 
 
 def _required(n: Column, m: Column, num: int, den: int) -> Column:
@@ -158,13 +169,11 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
     scan = stored(_scan(docs, width), "ngram-scan")
     slim = scan.where("chunk is null").select("doc_id", "class", "n")
     frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(scan.where("chunk is not null")))
-    classes = slim.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    firsts = stored(_prefixes(docs, width, num, den, frequencies).join(classes, ["class", "doc_id"], "left_semi").dropDuplicates(["class"]), "ngram-prefixes")
+    classes = stored(slim.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
+    firsts = stored(_prefixes(docs, width, num, den, frequencies).join(classes, ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"]), "ngram-prefixes")
     postings = firsts.select("class", "n", F.posexplode("tokens").alias("pos", "token"))
     common = postings.groupBy("token").count().where("count > 1").select("token")
     shared = stored(postings.join(common, "token"), "ngram-shared")
-    wanted = shared.select("class").distinct().join(classes, "class")
-    sets = stored(_sets(docs, wanted, width), "ngram-sets")
 
     def fits(n: str, p: str, m: str, q: str) -> Column:
         a, b = F.col(n), F.col(m)
@@ -178,7 +187,7 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
         found = found.where(fits("n", "pos", "n2", "p2")).select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b"))
         near = found if near is None else near.unionByName(found)
     tried = stored(near.distinct(), "ngram-led")
-    links = stored(_verified(_survivors(tried, firsts, num, den), sets, num, den), "ngram-links")
+    links = _links(tried, docs, firsts, classes, width, num, den)
     part = stored(components(links), "ngram-parts")
 
     rooted = shared.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -187,8 +196,7 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
     other = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "pos", "root")])
     rest = left.join(other, "token").where(F.col("class") < F.col("class2")).where("root <> root2").where(fits("n", "pos", "n2", "pos2"))
     more = rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = stored(_verified(_survivors(more, firsts, num, den), sets, num, den), "ngram-more")
-    whole = components(links.unionByName(found))
+    whole = components(links.unionByName(_links(more, docs, firsts, classes, width, num, den)))
 
     of_class = whole.withColumnRenamed("node", "class")
     placed = slim.join(of_class, "class", "left").withColumn("root", F.coalesce("root", "class"))
