@@ -204,3 +204,17 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
     out = placed.join(smallest, "root", "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(own).alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
+    """docs, all columns, with the document of the smallest doc_id of each component; rows without shingles all stay.
+
+    Of rows that share that id (repeated ones) one stays. Rows without an id all stay.
+    """
+    found = ngram_components(docs, width=width, num=num, den=den)
+    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_twice"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    marked = kept.join(twice, "doc_id", "left")
+    once = marked.where("_twice").dropDuplicates(["doc_id"])
+    return marked.where("_twice is null").unionByName(once).select(*docs.columns)
