@@ -75,6 +75,22 @@ def _probes(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select("lid", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
+#: Characters whose counts are compared before edit distances are; any choice is safe, frequent ones tell most.
+COUNTED = "etaoinshrdlucmfg"
+
+
+def _counts(lines: DataFrame, side: str) -> DataFrame:
+    return lines.select(F.col("lid").alias(f"lid{side}"), *[(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))).alias(f"{c}{side}") for c in COUNTED])
+
+
+def _counts_allow(edits: int) -> Column:
+    """An edit changes two counts by one at most."""
+    apart = F.lit(0)
+    for c in COUNTED:
+        apart = apart + F.abs(F.col(f"{c}1") - F.col(f"{c}2"))
+    return apart <= 2 * edits
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +107,8 @@ def line_classes(docs: DataFrame, *, edits: int = 2, min_chars: int = 24) -> Dat
     Lines are compared without blanks at their ends; blank ones are left out. Equal lines are one from the start. A line is cut into
     edits + 1 segments, one of which every line within edits holds unchanged; segments are filed by length, place and content, and
     each line looks up the substrings that may be such a segment. What meets is verified by banded bit-parallel edit distance: first
-    with one line per file, then with those that are not in the same class yet, so that many alike lines don't make all pairs.
+    with one line per file, then with those that are not in the same class yet and whose counts of some characters allow it, so that
+    neither many alike lines nor many variants of one line make all pairs.
 
     Edge cases: null and empty texts have no lines; repeated rows are lines of their own with the same doc_id; a null id ranks first;
     an empty table gives no rows; other columns are ignored. Equality of lines is that of a 64-bit hash.
@@ -110,7 +127,9 @@ def line_classes(docs: DataFrame, *, edits: int = 2, min_chars: int = 24) -> Dat
     busy = met.where("c > 1").select("lid", "key").join(part, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     keys = busy.select("key").distinct()
     homes = index.join(keys, "key", "left_semi").join(part, "lid", "left").select("key", F.col("lid").alias("lid2"), F.coalesce("root", "lid").alias("root2"))
-    rest = busy.join(homes, "key").where("root <> root2").select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
+    own = busy.withColumnRenamed("lid", "lid1").join(_counts(lines, "1"), "lid1")
+    others = homes.join(_counts(lines, "2"), "lid2")
+    rest = own.join(others, "key").where((F.col("root") != F.col("root2")) & _counts_allow(edits)).select(F.least("lid1", "lid2").alias("a"), F.greatest("lid1", "lid2").alias("b")).distinct()
     more = stored(_verified(rest.join(led, ["a", "b"], "left_anti"), lines, edits), "lines-more")
     whole = components(links.unionByName(more)).withColumnRenamed("node", "lid")
     placed = rows.select("doc_id", "line_no", "lid").join(whole, "lid", "left").select("doc_id", "line_no", F.coalesce("root", "lid").alias("class_id"))
