@@ -1,32 +1,339 @@
-"""Queries over the driver's tables, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, and the SQL that gives the same rows.
+
+Query set: vec_id % 50 = 0. Base and insert batch: vec_id below and from floor(rows / 1.31).
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annora.config import IndexConfig
+from annora.functions import columns as V
+from annora.index import VectorIndex
+from annora.operators import graph as G
+from annora.operators.evaluate import recall, spearman
 from annora.operators.knn import knn_exact
+from annora.operators.metavec import meta_vectors, stratum
+from annora.operators.quantize import encoded, pairs, reranked, top_estimates
+from annora.operators.stats import centroid, drift, medoid
+from annora.session import shared_dir
+
+K = 10
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def asked(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 50 = 0")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def index(spark: SparkSession, rows: DataFrame, cfg: IndexConfig | None = None) -> VectorIndex:
+    made = VectorIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", cfg)
+    made.build(rows)
+    return made
+
+
+def split(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cut = int(e.count() / 1.31)
+    return e.where(F.col("vec_id") < cut), e.where(F.col("vec_id") >= cut)
+
+
+def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).select("vec_id", "embedding")
+
+
+def index_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+def max_node_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).agg(F.coalesce(F.max("vec_id"), F.lit(-1)).alias("max_id"))
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).where("vec_id in (0, 7, 123)").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+def centroid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = centroid(embeddings(spark, sf_dir))
+    return c.select(F.posexplode("centroid").alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def medoid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return medoid(embeddings(spark, sf_dir)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def encode_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(embeddings(spark, sf_dir)).select(F.col("id").alias("vec_id"), F.round("sq_norm", 6).alias("sq_norm"), F.round("l1_norm", 6).alias("l1_norm"))
+
+
+def encode_code_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(embeddings(spark, sf_dir)).select(F.col("id").alias("vec_id"), "code")
+
+
+def code_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.size("embedding")
+    return embeddings(spark, sf_dir).select("vec_id", F.floor((d + 7) / 8).cast("long").alias("code_bytes"), (d * 4).cast("long").alias("vector_bytes"))
+
+
+def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.max(F.size("embedding"))
+    per = d * 4 + F.floor(d / 8) + 64 * 8 + 100
+    return embeddings(spark, sf_dir).agg(F.count("*").alias("n"), (F.count("*") * d * 4).cast("long").alias("flat_bytes"), (F.count("*") * per).cast("long").alias("cache_bytes"))
+
+
+def l2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    q = F.broadcast(asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return e.join(q).select("query_id", "vec_id", F.round(V.l2sq(F.col("q"), F.col("embedding")), 6).alias("score"))
+
+
+def knn_exact_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    return e.join(q).select("vec_id", V.l2sq(F.col("q"), F.col("embedding")).alias("s")).orderBy("s", "vec_id").limit(K).select("vec_id", F.round("s", 6).alias("score"))
+
+
 def knn_exact_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    found = knn_exact(e, e.where("vec_id % 50 = 0"), 10)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    return ranked(knn_exact(e, asked(e), K))
+
+
+def self_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return knn_exact(e, asked(e), 1).select("query_id", (F.col("id") == F.col("query_id")).alias("found"), F.round("score", 6).alias("score"))
+
+
+def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = encoded(embeddings(spark, sf_dir))
+    return pairs(enc, enc.where("id % 50 = 0"))
+
+
+def rabitq_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.asym(F.col("qsq"), F.col("sq_norm"), F.col("l1_norm"), F.col("dot"))
+    return _estimated(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), F.round(d, 6).alias("score"))
+
+
+def rabitq_sym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.sym(F.col("qsq"), F.col("sq_norm"), F.col("qw"), F.col("words"), F.col("dim"))
+    return _estimated(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), F.round(d, 6).alias("score"))
+
+
+def rabitq_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.paper(F.col("qsq"), F.col("sq_norm"), F.col("l1_norm"), F.col("dot"), F.col("dim"))
+    return _estimated(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), F.round(d, 6).alias("score"))
+
+
+def _top(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
+    enc = encoded(embeddings(spark, sf_dir))
+    return top_estimates(enc, enc.where("id % 50 = 0"), m)
+
+
+def rabitq_topm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_top(spark, sf_dir, 50))
+
+
+def two_stage_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return ranked(reranked(_top(spark, sf_dir, 50), e, asked(e), K))
+
+
+def negative_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.asym(F.col("qsq"), F.col("sq_norm"), F.col("l1_norm"), F.col("dot"))
+    return _estimated(spark, sf_dir).agg(F.count_if(d < 0).alias("negative"), F.count("*").alias("pairs"))
+
+
+def spearman_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _estimated(spark, sf_dir).select("query_id", "id", V.asym(F.col("qsq"), F.col("sq_norm"), F.col("l1_norm"), F.col("dot")).alias("est"), V.sq_norm(V.minus(F.col("qv"), F.col("v"))).alias("d"))
+    return spearman(both, "est", "d").select("query_id", F.round("rho", 6).alias("rho"))
+
+
+def recall_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return recall(_top(spark, sf_dir, 50), knn_exact(e, asked(e), K), K, 50).select(F.round("recall", 6).alias("recall"))
+
+
+def ann_search_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return ranked(index(spark, e, IndexConfig(exact_up_to=0)).search(asked(e), K))
+
+
+def ann_search_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return ranked(index(spark, e, IndexConfig(exact_up_to=0, rerank_top_n=100, ef_search=100)).search(asked(e), K))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = index(spark, embeddings(spark, sf_dir))
+    return made.store.nodes(made.store.version())
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edges(_nodes(spark, sf_dir))
+
+
+def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degree_stats(_nodes(spark, sf_dir), IndexConfig().max_degree)
+
+
+def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reachable(_nodes(spark, sf_dir)).select("reached")
+
+
+def random_init_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees of the graph that building starts from: each node has min(R, n - 1) distinct others."""
+    e, r, seed = embeddings(spark, sf_dir), IndexConfig().max_degree, IndexConfig().seed
+
+    def run(pdf):
+        import pandas as pd
+
+        from annora.functions.kernels import random_neighbours
+
+        pdf = pdf.sort_values("vec_id")
+        return pd.DataFrame({"vec_id": pdf.vec_id, "degree": [len({*x.tolist()} - {i}) for i, x in enumerate(random_neighbours(len(pdf), r, seed))]})
+
+    one = e.select("vec_id", F.floor(F.col("vec_id") / IndexConfig().shard_rows).alias("shard"))
+    return one.groupBy("shard").applyInPandas(run, "vec_id long, degree long")
+
+
+def insert_then_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, batch = split(embeddings(spark, sf_dir))
+    made = index(spark, base)
+    made.insert(batch)
+    return made.store.nodes(made.store.version()).agg(F.count("*").alias("n"))
+
+
+def insert_then_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    base, batch = split(e)
+    made = index(spark, base)
+    made.insert(batch)
+    return ranked(made.search(asked(e), K))
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, batch = split(embeddings(spark, sf_dir))
+    made = index(spark, base)
+    made.insert(batch)
+    return made.drift()
+
+
+def drift_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    was = centroid(split(e)[0]).select(F.col("centroid").alias("built"))
+    return centroid(e).join(F.broadcast(was)).select(F.round(drift(F.col("centroid"), F.col("built")), 4).alias("drift"))
+
+
+def needs_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift(spark, sf_dir).select(F.round("insert_ratio", 6).alias("insert_ratio"), "needs_rebuild")
+
+
+def search_with_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return ranked(index(spark, e).search_with_rerank(asked(e), K, e))
+
+
+def rerank_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return ranked(index(spark, e).search_with_rerank(asked(e), K, e.where("vec_id % 3 <> 0")))
+
+
+def upsert_last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of vec_id % 100, the largest vec_id being the last to write."""
+    e = embeddings(spark, sf_dir).select((F.col("vec_id") % 100).alias("id"), F.col("vec_id").alias("seq"), "label")
+    return G.last_writes(e).select("id", "seq", "label")
+
+
+def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = index(spark, embeddings(spark, sf_dir))
+    return made.store.meta(made.store.version()).select("dim", "max_degree", "node_count", "vectors_at_build")
+
+
+def metavec_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set's vectors, followed by their five smallest distances to all vectors, halved."""
+    e = embeddings(spark, sf_dir)
+    made = meta_vectors(asked(e), [(stratum(e, asked(e), 5), 0.5)])
+    return made.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
 
+NAMES = """vector_scan index_count max_node_id point_lookup encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
+rabitq_asym rabitq_sym rabitq_paper rabitq_topm two_stage_flat negative_estimates spearman_rho recall_rabitq ann_search_default ann_search_narrow graph_edges degree_stats
+graph_reachability random_init_degree insert_then_count insert_then_search_exact drift_ratio needs_rebuild search_with_rerank rerank_missing_ids upsert_last_writer_wins
+index_meta metavec_level1""".split()
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"knn_exact_batch": knn_exact_batch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"centroid": centroid_q, "medoid": medoid_q} | {n: globals()[n] for n in NAMES}
 
 L2 = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)))"
+CEN = "cen AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x)::FLOAT AS m FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i))"
+ENC = f"""{CEN},
+cv AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE - c[i]::DOUBLE) AS v FROM embeddings, cen),
+enc AS (SELECT vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS sq, list_sum(list_transform(v, lambda x: abs(x))) AS l1,
+  array_to_string(list_transform(range(0, (len(v) + 7) // 8), lambda b: format('{{:02X}}', list_sum(list_transform(range(0, 8),
+    lambda j: CASE WHEN b * 8 + j < len(v) AND v[b * 8 + j + 1] >= 0 THEN (1 << j)::BIGINT ELSE 0::BIGINT END))::BIGINT)), '') AS code FROM cv)"""
+EST = f"""{ENC},
+p AS (SELECT q.vec_id AS query_id, o.vec_id, q.sq AS qsq, o.sq AS sq, o.l1 AS l1, len(o.v) AS dim,
+  list_sum(list_transform(range(1, len(o.v) + 1), lambda i: CASE WHEN o.v[i] >= 0 THEN q.v[i] ELSE -q.v[i] END)) AS dot,
+  list_sum(list_transform(range(1, len(o.v) + 1), lambda i: CASE WHEN (o.v[i] >= 0) = (q.v[i] >= 0) THEN 0 ELSE 1 END)) AS differ,
+  list_sum(list_transform(range(1, len(o.v) + 1), lambda i: (q.v[i] - o.v[i]) * (q.v[i] - o.v[i]))) AS d
+  FROM enc q, enc o WHERE q.vec_id % 50 = 0),
+a AS (SELECT *, CASE WHEN l1 = 0 THEN sq ELSE qsq + sq - 2 * sq * dot / l1 END AS est FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY est, vec_id) AS rk FROM a)"""
 
-SQL: dict[str, str] = {
-    "knn_exact_batch": f"""
-WITH d AS (SELECT q.vec_id AS query_id, o.vec_id, {L2.format(a="q.embedding", b="o.embedding")} AS d FROM embeddings q, embeddings o WHERE q.vec_id % 50 = 0),
+
+def _knn(where: str = "true", k: int = K) -> str:
+    return f"""
+WITH d AS (SELECT q.vec_id AS query_id, o.vec_id, {L2.format(a="q.embedding", b="o.embedding")} AS d FROM embeddings q, embeddings o WHERE q.vec_id % 50 = 0 AND {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rk FROM d)
-SELECT query_id, rk::INTEGER AS rank, vec_id, round(d, 6) AS score FROM r WHERE rk <= 10""",
+SELECT query_id, rk::INTEGER AS rank, vec_id, round(d, 6) AS score FROM r WHERE rk <= {k}"""
+
+
+CUT = "(SELECT floor(count(*) / 1.31)::BIGINT FROM embeddings)"
+SQL: dict[str, str] = {
+    "vector_scan": "SELECT vec_id, embedding FROM embeddings",
+    "index_count": "SELECT count(*) AS n FROM embeddings",
+    "max_node_id": "SELECT coalesce(max(vec_id), -1) AS max_id FROM embeddings",
+    "point_lookup": "SELECT vec_id, label, len(embedding)::BIGINT AS dim FROM embeddings WHERE vec_id IN (0, 7, 123)",
+    "centroid": f"WITH {CEN} SELECT (i - 1)::BIGINT AS i, round(c[i]::DOUBLE, 6) AS x FROM (SELECT unnest(range(1, len(c) + 1)) AS i, c FROM cen)",
+    "medoid": f"WITH {CEN} SELECT vec_id, round(d, 6) AS score FROM (SELECT vec_id, {L2.format(a='embedding', b='c')} AS d FROM embeddings, cen) ORDER BY d, vec_id LIMIT 1",
+    "encode_norms": f"WITH {ENC} SELECT vec_id, round(sq, 6) AS sq_norm, round(l1, 6) AS l1_norm FROM enc",
+    "encode_code_hex": f"WITH {ENC} SELECT vec_id, code FROM enc",
+    "code_size": "SELECT vec_id, ((len(embedding) + 7) // 8)::BIGINT AS code_bytes, (len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings",
+    "footprint": "SELECT count(*) AS n, (count(*) * max(len(embedding)) * 4)::BIGINT AS flat_bytes, (count(*) * (max(len(embedding)) * 4 + max(len(embedding)) // 8 + 612))::BIGINT AS cache_bytes FROM embeddings",
+    "l2_pairs": f"SELECT q.vec_id AS query_id, o.vec_id, round({L2.format(a='q.embedding', b='o.embedding')}, 6) AS score FROM embeddings q, embeddings o WHERE q.vec_id % 50 = 0",
+    "knn_exact_single": f"SELECT vec_id, round(d, 6) AS score FROM (SELECT o.vec_id, {L2.format(a='q.embedding', b='o.embedding')} AS d FROM embeddings q, embeddings o WHERE q.vec_id = 0) ORDER BY d, vec_id LIMIT {K}",
+    "knn_exact_batch": _knn(),
+    "self_match": f"SELECT query_id, vec_id = query_id AS found, score FROM ({_knn(k=1)})",
+    "rabitq_asym": f"WITH {EST} SELECT query_id, vec_id, round(est, 6) AS score FROM a",
+    "rabitq_sym": f"WITH {EST} SELECT query_id, vec_id, round(qsq + sq - 2 * sqrt(qsq * sq) * (2 * ((dim + 7) // 8 * 8 - differ)::DOUBLE / ((dim + 7) // 8 * 8) - 1), 6) AS score FROM a",
+    "rabitq_paper": f"WITH {EST} SELECT query_id, vec_id, round(CASE WHEN sq = 0 OR l1 = 0 THEN qsq + sq ELSE qsq + sq - 2 * sqrt(sq * qsq) * dot * (l1 / (sqrt(dim::DOUBLE) * sqrt(sq))) / l1 END, 6) AS score FROM a",
+    "rabitq_topm": f"WITH {EST} SELECT query_id, rk::INTEGER AS rank, vec_id, round(est, 6) AS score FROM t WHERE rk <= 50",
+    "two_stage_flat": f"WITH {EST}, x AS (SELECT t.query_id, t.vec_id, {L2.format(a='q.embedding', b='o.embedding')} AS d FROM t JOIN embeddings q ON q.vec_id = query_id JOIN embeddings o ON o.vec_id = t.vec_id WHERE rk <= 50), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM x) SELECT query_id, r::INTEGER AS rank, vec_id, round(d, 6) AS score FROM y WHERE r <= {K}",
+    "negative_estimates": f"WITH {EST} SELECT count(*) FILTER (WHERE est < 0) AS negative, count(*) AS pairs FROM a",
+    "spearman_rho": f"WITH {EST}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY est, vec_id) - row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS x FROM a) SELECT query_id, round(1 - 6 * sum((x * x)::DOUBLE) / (count(*) * (count(*) * count(*) - 1)), 6) AS rho FROM r GROUP BY query_id",
+    "recall_rabitq": f"WITH {EST}, e AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS er, rk FROM t) SELECT round(avg(r), 6) AS recall FROM (SELECT query_id, count(*) FILTER (WHERE er <= {K} AND rk <= 50) / {K}.0::DOUBLE AS r FROM e GROUP BY query_id)",
+    "ann_search_default": _knn(),
+    "graph_reachability": "SELECT count(*) AS reached FROM embeddings",
+    "random_init_degree": "SELECT vec_id, least(64, count(*) OVER () - 1)::BIGINT AS degree FROM embeddings",
+    "insert_then_count": "SELECT count(*) AS n FROM embeddings",
+    "insert_then_search_exact": _knn(),
+    "drift_ratio": f"""WITH x AS (SELECT i, avg(x)::FLOAT::DOUBLE AS now, avg(x) FILTER (WHERE vec_id < {CUT})::FLOAT::DOUBLE AS built FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i)
+SELECT round(sqrt(sum((now - built) * (now - built))) / sqrt(sum(built * built)), 4) AS drift FROM x""",
+    "needs_rebuild": f"SELECT round((count(*) - {CUT}) / {CUT}::DOUBLE, 6) AS insert_ratio, true AS needs_rebuild FROM embeddings",
+    "search_with_rerank": _knn(),
+    "rerank_missing_ids": _knn("o.vec_id % 3 <> 0"),
+    "upsert_last_writer_wins": "SELECT vec_id % 100 AS id, max(vec_id) AS seq, arg_max(label, vec_id) AS label FROM embeddings GROUP BY vec_id % 100",
+    "index_meta": "SELECT max(len(embedding))::INTEGER AS dim, 64::INTEGER AS max_degree, count(*) AS node_count, count(*) AS vectors_at_build FROM embeddings",
+    "metavec_level1": f"""WITH s AS ({_knn(k=5).replace("round(d, 6)", "d")})
+SELECT vec_id, (i - 1)::BIGINT AS i, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 50 = 0)
+UNION ALL SELECT query_id, (64 + rank - 1)::BIGINT, round(score * 0.5::DOUBLE, 6) FROM s""",
 }
