@@ -127,8 +127,9 @@ def line_classes(docs: DataFrame, *, edits: int = 2, min_chars: int = 24) -> Dat
     busy = met.where("c > 1").select("lid", "key").join(part, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     keys = busy.select("key").distinct()
     homes = index.join(keys, "key", "left_semi").join(part, "lid", "left").select("key", F.col("lid").alias("lid2"), F.coalesce("root", "lid").alias("root2"))
-    own = busy.withColumnRenamed("lid", "lid1").join(_counts(lines, "1"), "lid1")
-    others = homes.join(_counts(lines, "2"), "lid2")
+    some = stored(lines.join(busy.select("lid").unionByName(homes.select(F.col("lid2").alias("lid"))).distinct(), "lid", "left_semi"), "lines-busy")
+    own = busy.withColumnRenamed("lid", "lid1").join(stored(_counts(some, "1"), "lines-counts"), "lid1")
+    others = homes.join(stored(_counts(some, "2"), "lines-counts"), "lid2")
     rest = own.join(others, "key").where((F.col("root") != F.col("root2")) & _counts_allow(edits)).select(F.least("lid1", "lid2").alias("a"), F.greatest("lid1", "lid2").alias("b")).distinct()
     more = stored(_verified(rest.join(led, ["a", "b"], "left_anti"), lines, edits), "lines-more")
     whole = components(links.unionByName(more)).withColumnRenamed("node", "lid")
