@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annora.llm.common import stored
+
 #: Runs that may be a secret: 16 characters or more with a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CONTEXT = 48
@@ -97,9 +99,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
 
 
 def fit_forest(labelled: DataFrame, *, max_rows: int = 50_000, trees: int = 24, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest fitted on max_rows labelled findings (token, before, after, path, label 0/1) at most, a seeded sample."""
-    rows = labelled.where("token is not null and token <> '' and label is not null").orderBy(F.xxhash64(F.lit(seed), "token", "before"), "token", "before").limit(max_rows)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(features(rows)).select("_features", "label").coalesce(1)
+    """A forest fitted on max_rows labelled findings (token, before, after, path, label 0/1) at most, a seeded sample.
+
+    Findings and features are stored, as fitting reads them once per level of the trees.
+    """
+    rows = stored(labelled, "secrets-labelled").where("token is not null and token <> '' and label is not null").orderBy(F.xxhash64(F.lit(seed), "token", "before"), "token", "before").limit(max_rows)
+    rated = stored(features(rows).select(*FEATURES, "label").coalesce(1), "secrets-features")
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rated).select("_features", "label").coalesce(1)
     return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(ready)
 
 
