@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     )
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 29, buckets: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 29, buckets: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, source) with how many words of each document the mixture takes.
 
     A source's target is its share by weight of all words, at most cap times its own. It takes each document floor(target / source)
@@ -48,9 +48,12 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
     apart from each other; sources without words have target 0; an empty table gives no rows; other columns are ignored. At most cap
     times its size is taken of a document.
 
-    Returns doc_id, size, source_size, target, taken; with it skey (the source's key) and times (copies to make).
+    keep: short columns of docs to carry along, under names that aren't among those returned.
+
+    Returns doc_id, size, source_size, target, taken; with it skey (the source's key), times (copies to make) and keep.
     """
     rows = docs.select(
+        *keep,
         "doc_id",
         source_key(F.col("source")).alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -61,13 +64,13 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
     rows = rows.withColumn("e", -F.log((F.col("h") + 0.5) / float(16**DIGITS)) / F.coalesce("quality", F.lit(1.0)))
-    rows = rows.withColumn("b", F.floor((1 - F.exp(-F.col("e"))) * buckets).cast("int")).select("doc_id", "skey", "size", "e", "b")
+    rows = rows.withColumn("b", F.floor((1 - F.exp(-F.col("e"))) * buckets).cast("int")).select(*keep, "doc_id", "skey", "size", "e", "b")
 
     ahead = Window.partitionBy("skey").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     part = rows.groupBy("skey", "b").agg(F.sum("size").alias("s"))
     plan = targets(part.groupBy("skey").agg(F.sum("s").alias("source_size")), weights, cap)
     offsets = part.select("skey", "b", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before")).join(plan, "skey")
-    within = Window.partitionBy("skey", "b").orderBy("e", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("skey", "b").orderBy("e", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return (
         rows.withColumn("to_here", F.sum("size").over(within))
@@ -76,7 +79,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("again", (F.col("size") > 0) & (F.col("before") + F.col("to_here") - F.col("size") / 2.0 <= F.col("rest")))
         .withColumn("times", (F.col("epochs") + F.col("again").cast("int")).cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "skey", "times")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "skey", "times", *keep)
     )
 
 

@@ -35,11 +35,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and selects documents so that sources meet their targets; a document taken n times is n rows."""
-    mixed = mix_sources(docs, quality_weights(table(spark, sf_dir, "labels")))
-    times = mixed.where("times > 0").groupBy("doc_id", "times").count().select("doc_id", "times")
-    rows = docs.select(*COLUMNS).join(times, "doc_id")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    """Repeats and selects documents so that sources meet their targets; a document taken n times is n rows.
+
+    Copies are told apart from other rows by a 64-bit hash of all columns, so that rows without an id and rows that share one keep
+    their own counts; rows equal in every column share theirs evenly, rounded.
+    """
+    rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]))
+    mixed = mix_sources(rows, quality_weights(table(spark, sf_dir, "labels")), keep=("row_key",))
+    times = mixed.groupBy("row_key").agg(F.round(F.sum("times") / F.count("*")).cast("int").alias("times")).where("times > 0")
+    return rows.join(times, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
