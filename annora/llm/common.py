@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from annora.session import shared_dir
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +25,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Sees to it that batches of rows that go to Python hold about `most` bytes at most, however long the texts are.
+
+    Spark cuts them at a count of rows, or at far more bytes: several times that, per task, would be held by the JVM and by Python.
+    The setting is the session's, as a DataFrame is run after the operator that made it has returned; a lower one is left alone.
+    """
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_BYTES).strip().lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def digest_number(text: Column, digits: int) -> Column:
     """The first hex digits (15 at most) of a text's MD5 as a non-negative long; SQL engines agree on it, unlike on their own hashes."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annora.llm.common import components, stored
+from annora.llm.common import bounded_batches, components, stored
 from annora.llm.shingles import class_of, shingle_set
 
 SKETCH_BITS, CHUNKS = 20, 64
@@ -40,7 +40,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 waiting.append(s)
                 held += len(s)
-                if held > 1 << 21:
+                if held > 1 << 19:
                     counts += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                     waiting, held = [], 0
             if waiting:
@@ -166,6 +166,7 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
 
     Returns doc_id, n_shingles, component_id (smallest doc_id that links reach).
     """
+    bounded_batches(docs.sparkSession)
     scan = stored(_scan(docs, width), "ngram-scan")
     slim = scan.where("chunk is null").select("doc_id", "class", "n")
     frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(scan.where("chunk is not null")))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annora.llm.common import bounded_batches
+
 BETWEEN, WORD = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+")
 HITS = "doc_id long, item_id long, distance int, item_chars int, start int, end int"
 
@@ -164,6 +166,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, rate: float = 0.05, block_c
 
     Returns doc_id, item_id, distance, item_chars, start, end (code points of the original text), one row per document row and item.
     """
+    bounded_batches(docs.sparkSession)
     sc, found = docs.sparkSession.sparkContext, None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for block in item_blocks(items, block_chars):
@@ -187,6 +190,7 @@ def _finder(shared, rate: float):
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, rate: float = 0.05, block_chars: int = 4 << 20) -> DataFrame:
     """docs, all columns, without the rows that find_leaks() would report. Nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for block in item_blocks(items, block_chars):
         docs = docs.mapInArrow(_keeper(sc.broadcast(block), rate, docs.columns.index("text")), docs.schema)

@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from annora.llm.common import bounded_batches
 
 # Look-alikes of Latin letters in Greek and Cyrillic, and digits and signs used for letters. i, l, 1 and | are one class.
 HOMOGLYPHS = {
@@ -119,7 +122,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, m
 
     Labels that are null or contradict each other are left out. With one class or none, every score is that of its share.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     known = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -209,14 +212,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         density = lexicon.matcher()
         for batch in batches:
-            at = batch.schema.get_field_index("_tox_text")
             scores = pa.array([lexicon.score(density(t)) for t in batch.column(at).to_pylist()], pa.float64())
-            kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], scores], names=[*[batch.schema.names[i] for i in kept], "tox_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "tox_score"])
 
-    schema = docs.drop("tox_score").schema.add("tox_score", "double")
+    bounded_batches(docs.sparkSession)
     rows = docs.drop("tox_score")
-    return rows.withColumn("_tox_text", F.col("text")).mapInArrow(run, schema)
+    at = [c.lower() for c in rows.columns].index("text")
+    return rows.mapInArrow(run, StructType(list(rows.schema)).add("tox_score", "double"))
 
 
 def training_labels(spark: SparkSession, labels: DataFrame) -> DataFrame:
