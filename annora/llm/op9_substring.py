@@ -1,111 +1,224 @@
-"""Substring dedup by hashing lines, cut further where their own words say so."""
+"""Substring dedup: every passage of so many words that has occurred before, found by windows sampled at places their own words choose."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annora.llm.common import stored
+from annora.llm.common import bounded_batches, stored
 
-WORD = re.compile(r"\S+")
 EDGE = ".,;:!?\"'()[]{}«»„“”‘’…-"
-#: A word ends a unit if its hash is divisible by this.
-CUT = 16
+#: Texts are worked on together up to so many code points.
+CHUNK = 1 << 20
+#: Whether a code point is a space, as str.split() sees it; beyond the table none is.
+SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
 class _Words(dict):
-    """word -> (its normal form in bytes, whether it ends a unit), for a bounded number of words."""
+    """word -> the hash of its normal form, for a bounded number of words."""
 
     most = 1 << 20
 
-    def __missing__(self, word: str) -> tuple[bytes, bool]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        plain = word.strip(EDGE).lower().encode("utf-8", "surrogatepass")
-        value = self[word] = (plain, word[-1] in ".!?" or xxhash.xxh3_64_intdigest(plain) % CUT == 0)
+        value = self[word] = xxhash.xxh3_64_intdigest(word.strip(EDGE).lower().encode("utf-8", "surrogatepass"))
         return value
 
 
 _words = _Words()
 
 
-def units(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of the text's units, in order.
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair, in order."""
+    x = a * ODD[0] + (b ^ (b >> np.uint64(29))) * ODD[1]
+    x ^= x >> np.uint64(32)
+    x *= ODD[2]
+    x ^= x >> np.uint64(29)
+    return x
 
-    A unit ends with its line, with a sentence, or after a word that its own hash marks, so that a passage is cut in the same places
-    whatever stands around it. Its digest is taken of its words in lower case without punctuation at their edges.
+
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every `size` neighbours in h; equal ones are equal wherever they stand."""
+    p = 1
+    while 2 * p <= size:
+        h = _both(h[:-p], h[p:])
+        p *= 2
+    return h if p == size else _both(h[: len(h) - (size - p)], h[size - p :])
+
+
+def _least(v: np.ndarray, size: int) -> np.ndarray:
+    """The place of the least (the first of equal ones) of every `size` neighbours in v."""
+    at, p = np.arange(len(v)), 1
+    while p < size:
+        step = min(p, size - p)
+        later = v[step:] < v[:-step]
+        v, at = np.where(later, v[step:], v[:-step]), np.where(later, at[step:], at[:-step])
+        p += step
+    return at
+
+
+class Pieces:
+    """The windows of min_words words of some texts, in pieces: neighbouring windows that share the least hash of their shorter grams.
+
+    A window's least gram depends on its own words only, so that equal windows lie in pieces of the same digest whatever stands
+    around them. A window is min_words words, a gram a little over half of them, so there is a piece for about every eighth word at 30.
     """
-    if not text:
-        return []
-    out = []
-    base = 0
-    for line in text.split("\n"):
-        plain: list[bytes] = []
-        start = 0
-        for w in WORD.finditer(line):
-            if not plain:
-                start = w.start()
-            form, last = _words[w[0]]
-            plain.append(form)
-            if last:
-                out.append((base + start, base + w.end(), len(plain), xxhash.xxh3_64_intdigest(b" ".join(plain)) - (1 << 63)))
-                plain = []
-        if plain:
-            out.append((base + start, base + w.end(), len(plain), xxhash.xxh3_64_intdigest(b" ".join(plain)) - (1 << 63)))
-        base += len(line) + 1
-    return out
-
-
-def _units(docs: DataFrame) -> DataFrame:
+
+    def __init__(self, texts: list[str], min_words: int) -> None:
+        w = max(1, min_words // 2)
+        found = [np.fromiter(map(_words.__getitem__, t.split()), np.uint64) for t in texts]
+        count = np.array([len(f) for f in found], np.int64)
+        h = np.concatenate([*found, np.empty(0, np.uint64)])
+        self.base = np.cumsum(count) - count
+        # A space after each text keeps its last word apart from the next text's first.
+        points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = SPACE[np.minimum(points, len(SPACE) - 1)]
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+        text_of = np.repeat(np.arange(len(texts)), count)
+        self.start, self.end = edge[::2] - first[text_of], edge[1::2] - first[text_of]
+        self.min_words = min_words
+        n = len(h) - min_words + 1
+        inside = np.flatnonzero(text_of[:n] == text_of[min_words - 1 :]) if n > 0 else np.empty(0, np.int64)
+        if not len(inside):
+            self.text = self.low = self.size = np.empty(0, np.int64)
+            self.digest = self.whole = np.empty(0, np.int64)
+            return
+        short = _grams(h, min_words - w + 1)
+        self.window = _grams(h, min_words)
+        least = _least(short, w)[inside]
+        begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        self.low = inside[begin]
+        self.size = np.diff(np.append(begin, len(inside)))
+        self.text = text_of[self.low]
+        self.digest = short[least[begin]].view(np.int64)
+        high = self.low + self.size - 1
+        self.whole = _both(_both(self.window[self.low], self.window[high]), self.size.astype(np.uint64)).view(np.int64)
+
+
+def _chunks(columns: list[list]) -> Iterator[list[list]]:
+    """Rows of columns, the last of which are texts, in parts of CHUNK code points or one row."""
+    begin = chars = 0
+    for i, text in enumerate(columns[-1]):
+        if chars and chars + len(text) > CHUNK:
+            yield [c[begin:i] for c in columns]
+            begin, chars = i, 0
+        chars += len(text)
+    if begin < len(columns[-1]):
+        yield [c[begin:] for c in columns]
+
+
+def _pieces(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, at, size, digest, whole) of every piece; at is first << 32 | last code point, size first word << 32 | windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "at", "size", "digest"]
         for batch in batches:
-            rows: list[list[int]] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (start, end, n, digest) in enumerate(units(text)):
-                    rows[0].append(doc_id)
-                    rows[1].append(start << 32 | end)
-                    rows[2].append(k << 32 | n)
-                    rows[3].append(digest)
-                if len(rows[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
-                    rows = [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
+            for ids, keys, texts in _chunks([c.to_pylist() for c in batch.columns]):
+                p = Pieces(texts, min_words)
+                if len(p.low):
+                    at = p.start[p.low] << 32 | p.end[p.low + p.size + min_words - 2]
+                    size = p.low - p.base[p.text] << 32 | p.size
+                    of = pa.array(p.text)
+                    arrays = [pa.array(ids, pa.int64()).take(of), pa.array(keys, pa.int64()).take(of), *map(pa.array, (at, size, p.digest, p.whole))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "at", "size", "digest", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at long, size long, digest long")
+    return _rows(docs).mapInArrow(run, "doc_id long, key long, at long, size long, digest long, whole long")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, at, size, window) of every window of the wanted pieces, with size as in _pieces, each of one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, keys, places, texts in _chunks([c.to_pylist() for c in batch.columns]):
+                cut, of, base, word = [], [], [], []
+                for row, (spots, text) in enumerate(zip(places, texts, strict=True)):
+                    for s in spots:
+                        begin, end = s["at"] >> 32, s["at"] & 0xFFFFFFFF
+                        cut.append(text[begin:end])
+                        of.append(row)
+                        base.append(begin)
+                        word.append(s["size"] >> 32)
+                for i in range(0, len(cut), 2048):
+                    p = Pieces(cut[i : i + 2048], min_words)
+                    if not len(p.low):
+                        continue
+                    low = np.repeat(p.low - np.cumsum(p.size) + p.size, p.size) + np.arange(p.size.sum())
+                    text = i + np.repeat(p.text, p.size)
+                    shift = np.array(base)[text]
+                    at = p.start[low] + shift << 32 | p.end[low + min_words - 1] + shift
+                    size = low - p.base[text - i] + np.array(word)[text] << 32 | 1
+                    row = pa.array(np.array(of)[text])
+                    arrays = [pa.array(ids, pa.int64()).take(row), pa.array(keys, pa.int64()).take(row), *map(pa.array, (at, size, p.window[low].view(np.int64)))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "at", "size", "window"])
+
+    places = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("places"))
+    d, p = _rows(docs).alias("d"), places.alias("p")
+    both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key")))
+    return both.select("d.doc_id", "d.key", "p.places", "d.text").mapInArrow(run, "doc_id long, key long, at long, size long, window long")
+
+
+def _word(size: str) -> Column:
+    return F.shiftright(size, 32)
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
-    """Spans of docs (doc_id, text) to remove: runs of units of min_words or more words that have all occurred before, in order of (doc_id, place).
+    """Spans of docs (doc_id, text) to remove: what windows of min_words words cover that have occurred before, in order of (doc_id, place).
+
+    Each passage of min_words words or more that stands whole in an earlier place is found, wherever it begins and ends; words are
+    compared in lower case without punctuation at their edges, spaces and line ends all alike. A window may overlap its own first
+    occurrence, so that of a text that goes round the first round stays.
 
-    Units are lines, cut further at sentence ends and at words that their own hash marks, as passages may begin and end within a line;
-    they are normalised, hashed, and their digests grouped over all documents. The first occurrence of each is kept, by doc_id
-    and place. Digests are counted first, so that only those that occur twice or more meet their units again; no task gathers the
-    units of one digest.
+    Windows that repeat share the digest of their piece. Pieces equal as a whole repeat with all their windows; only where pieces of
+    one digest differ, at the ends of passages, the first of each kind is taken apart into windows, which are compared one by one.
+    Digests are counted first and firsts are stored, so that no task gathers the places of one digest.
 
-    Edge cases: null, empty and blank texts have no units; repeated rows with one id count as one document; a null id ranks first
+    Edge cases: null, empty and blank texts have no windows; equal rows with one id count as one document; a null id ranks first
     and is kept apart; other columns are ignored.
 
-    Returns doc_id, start, end (code points of the original text), n_words, n_units, first_doc_id (where the longest unit occurs first).
+    Returns doc_id, start, end (code points of the original text), n_words, n_units (pieces found), first_doc_id (where the piece of the
+    most windows occurs first).
     """
-    every = stored(_units(docs), "substring-units")
-    often = every.groupBy("digest").count().where("count > 1").select("digest")
-    repeated = stored(every.join(often, "digest").distinct(), "substring-repeated")
-    first = repeated.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = repeated.join(first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
-    by_doc = Window.partitionBy("doc_id").orderBy("size", "at", "digest")
-    rows = later.select(
-        "doc_id", "size", "at", "digest", F.shiftright("size", 32).alias("k"), F.expr("size & 4294967295").alias("n"),
-        F.shiftright("at", 32).alias("start"), F.expr("at & 4294967295").alias("end"), F.col("first.doc_id").alias("first_doc_id"),
+    every = stored(_pieces(docs, min_words), "substring-pieces")
+    often = stored(every.groupBy("digest").count().where("count > 1").select("digest"), "substring-often")
+    repeated = stored(every.join(often, "digest"), "substring-repeated")
+    first = stored(repeated.groupBy("digest", "whole").agg(F.min(F.struct("doc_id", "key", "size", "at")).alias("first")), "substring-first")
+    itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("size") == F.col("first.size"))
+    later = repeated.join(first, ["digest", "whole"]).where(~itself)
+
+    various = first.groupBy("digest").count().where("count > 1").select("digest")
+    wanted = first.select("digest", "first.*").join(various, "digest", "left_semi")
+    windows = stored(_windows(docs, wanted, min_words), "substring-windows")
+    seen = stored(windows.groupBy("window").agg(F.min(F.struct("doc_id", "key", "size")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "substring-seen")
+    again = windows.join(seen, "window").where(~itself)
+
+    columns = ("doc_id", "key", "size", "at", F.col("first.doc_id").alias("first_doc_id"))
+    found = later.select(*columns).unionByName(again.select(*columns))
+    rows = found.select(
+        "doc_id", "key", _word("size").alias("k"), F.expr("size & 4294967295").alias("n"),
+        F.shiftright("at", 32).alias("start"), F.expr("at & 4294967295").alias("end"), "first_doc_id",
+    ).withColumn("stop", F.col("k") + F.col("n") + (min_words - 1))
+    by_doc = Window.partitionBy("doc_id", "key").orderBy("k", "n", "first_doc_id")
+    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumn("reached", F.max("stop").over(before)).withColumn("fresh", F.lag("k").over(by_doc).isNull() | (F.lag("k").over(by_doc) < F.col("k")))
+    runs = marked.withColumn("run", F.sum((F.col("reached").isNull() | (F.col("k") > F.col("reached"))).cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("doc_id", "key", "run")
+    out = runs.agg(
+        F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), (F.max("stop") - F.min("k")).alias("n_words"),
+        F.sum(F.col("fresh").cast("long")).alias("n_units"), F.max_by("first_doc_id", F.struct("n", "start")).alias("first_doc_id"),
     )
-    runs = rows.withColumn("run", F.col("k") - F.row_number().over(by_doc)).groupBy("doc_id", "run")
-    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.count("*").alias("n_units"), F.max_by("first_doc_id", F.struct("n", "start")).alias("first_doc_id"))
-    return out.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "n_words", "n_units", "first_doc_id")
+    return out.select("doc_id", "start", "end", "n_words", "n_units", "first_doc_id")
 
 
 def without_repeats(docs: DataFrame, *, min_words: int = 30) -> DataFrame:

@@ -220,6 +220,33 @@ def test_substring(spark, odd, none):
     assert repeated_spans(none).count() == 0
 
 
+def test_substring_passages_without_cuts(spark):
+    """Against brute force: passages of 30 words and more, at any place, with and without sentence ends and line breaks, and texts that repeat themselves."""
+    rng = random.Random(19)
+    rows = []
+    for g in range(60):
+        passage = [f"w{rng.randrange(9000)}{rng.choice(['.', '', '', ''])}" for _ in range(rng.randrange(29, 80))]
+        for c in range(3):
+            part = passage if c < 2 else passage[rng.randrange(5) : len(passage) - rng.randrange(5)]
+            text = words(rng, rng.randrange(40), 9000).split() + part + words(rng, rng.randrange(40), 9000).split()
+            rows.append((3 * g + c, "".join(w + rng.choice([" ", " ", "\n", " \u3000"]) for w in text), "a"))
+    rows += [(900, "again " * 100, "a"), (901, "one two three " * 40, "a"), (902, f"é {'one two three ' * 11}", "a"), (903, words(rng, 3000, 1), "a")]
+    places, want = {}, {}
+    for i, t, _ in rows:
+        plain = [w.strip(".").lower() for w in t.split()]
+        for k in range(len(plain) - 29):
+            if places.setdefault(tuple(plain[k : k + 30]), (i, k)) != (i, k):
+                want.setdefault(i, set()).update(range(k, k + 30))
+    got = {}
+    for r in repeated_spans(documents(spark, rows)).collect():
+        text = rows[[x[0] for x in rows].index(r.doc_id)][1]
+        assert len(text[r.start : r.end].split()) == r.n_words >= 30 and text[r.start : r.end].strip() == text[r.start : r.end]
+        low = len(text[: r.start].split())
+        assert not got.setdefault(r.doc_id, set()) & set(range(low, low + r.n_words))
+        got[r.doc_id] |= set(range(low, low + r.n_words))
+    assert got == want and len(want) > 100
+
+
 def test_ngrams(spark, odd, none):
     rng = random.Random(2)
     rows = []
