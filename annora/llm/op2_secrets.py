@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 
 from annora.llm.common import stored
 
-#: Runs that may be a secret: 16 characters or more with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CONTEXT = 48
 # Words found in made-up values, words that announce a secret, words that announce something else, and telling paths.
 DICTIONARY = ("example", "sample", "dummy", "test", "fake", "placeholder", "changeme", "change", "your", "value", "default", "config", "version", "secret", "token", "password", "key", "api", "user", "name", "null", "none", "todo", "foo", "bar", "lorem", "ipsum", "abcdef", "123456", "0123", "xxxx", "0000", "file", "page", "image", "index", "content", "data", "report", "update", "build", "release", "module", "service", "client", "server")
 ANNOUNCE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private", "bearer")
 OTHERWISE = ("commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "hash", "etag", "revision", "integrity", "build", "isbn", "doi")
 PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
-FEATURES = ("length", "transitions", "coverage", "variety", "digits", "upper", "hex", "known", "announced", "otherwise", "following", "path")
+KNOWN = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox[abp]-", "AIza", "glpat-", "eyJ")
+FEATURES = ("length", "transitions", "coverage", "variety", "digits", "upper", "signs", "plain", "hex", "known", "announced", "assigned", "otherwise", "following", "path")
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "(" + "|".join(words) + ")"
+    return "(?:" + "|".join(words) + ")"
+
+
+ANNOUNCED = _any(ANNOUNCE) + r"[\s\"'`]{0,3}[:=]?[>\s\"'`]{0,4}"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}|" + _any(KNOWN) + r"[A-Za-z0-9+/_-]{8,})={0,2}"
+#: Runs that may be a secret: 16 characters or more with a digit; 8 or more behind a known prefix; and behind a word that announces a
+#: secret 6 to 512 of any but spaces, quotes and angle brackets, up to where a run of the first two kinds begins or the last stop or bracket.
+CANDIDATE = _RUN + r"|(?<=[\s:=>\"'`])(?=[^\s\"'`<>]{6})(?<=(?i:" + ANNOUNCED + r"))(?:(?!" + _RUN + r")[^\s\"'`<>]){5,511}(?!" + _RUN + r")[^\s\"'`<>.,;:)\]]"
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -41,9 +47,12 @@ def features(found: DataFrame) -> DataFrame:
         "variety": F.size(F.array_distinct(F.split(token, ""))) / n,
         "digits": F.regexp_count(token, F.lit("[0-9]")) / n,
         "upper": F.regexp_count(token, F.lit("[A-Z]")) / n,
+        "signs": F.regexp_count(token, F.lit("[^A-Za-z0-9]")) / n,
+        "plain": flag(token.rlike(r"^\p{Lu}?\p{Ll}+$|^\p{Lu}+$")),
         "hex": flag(token.rlike("^[0-9a-f]+$")),
-        "known": flag(token.rlike("^(AKIA|ASIA|ghp_|gho_|sk_live_|xox[abp]-|AIza|glpat-|eyJ)")),
-        "announced": flag(before.rlike(_any(ANNOUNCE) + r"[\s\"'`]{0,3}[:=]?[>\s\"'`]{0,4}$")),
+        "known": flag(token.rlike("^" + _any(KNOWN))),
+        "announced": flag(before.rlike(ANNOUNCED + "$")),
+        "assigned": flag(before.rlike(r"[:=][>\s\"'`]{0,4}$")),
         "otherwise": flag(before.rlike(_any(OTHERWISE) + r"\S*[\s:=\"'`(]{0,4}$")),
         "following": flag(after.rlike(r"^[\s\"'`]{0,2}" + _any(OTHERWISE))),
         "path": flag(F.lower("path").rlike(_any(PATHS))),
@@ -55,12 +64,18 @@ def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
     """(doc_id, start, end, token, before, after, path) of every candidate of docs (doc_id, text), in code points of text.
 
     Texts are scanned whole, once for candidates; only texts that have any are split at them, which gives places and neighbours.
+    before and after hold what stands there, other candidates included.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     hit = docs.select("doc_id", "text", path.alias("path"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
     cut = hit.select("doc_id", "path", "tokens", F.split("text", CANDIDATE).alias("gaps")).withColumn("row", F.monotonically_increasing_id())
     tail, head = lambda s: F.right(s, F.lit(CONTEXT)), lambda s: F.left(s, F.lit(CONTEXT))
-    each = cut.select("row", "doc_id", "path", F.posexplode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.length(F.get("gaps", i)).alias("gap"), tail(F.get("gaps", i)).alias("before"), head(F.get("gaps", i + 1)).alias("after")))).alias("k", "x"))
+    # A gap and its token, up to CONTEXT characters: as many of them as may lie within the neighbourhood of a later token.
+    cut = cut.withColumn("ends", F.transform("tokens", lambda t, i: tail(F.concat(tail(F.get("gaps", i)), t))))
+    most = CONTEXT // 6 + 1
+    before = lambda i: tail(F.concat(F.array_join(F.slice("ends", F.greatest(i - most + 1, F.lit(1)), F.least(i, F.lit(most))), ""), tail(F.get("gaps", i))))
+    after = lambda i: head(F.concat(head(F.get("gaps", i + 1)), F.coalesce(F.get("tokens", i + 1), F.lit(""))))
+    each = cut.select("row", "doc_id", "path", F.posexplode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.length(F.get("gaps", i)).alias("gap"), before(i).alias("before"), after(i).alias("after")))).alias("k", "x"))
     w = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("x.gap") + F.length("x.token")).over(w)
     return each.withColumn("end", end).select("doc_id", (F.col("end") - F.length("x.token")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "x.token", "x.before", "x.after", "path")
@@ -68,7 +83,7 @@ def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) -> DataFrame:
     """Made-up findings (token, before, after, path, label), as many as asked for: random values in the places where keys are kept, and what is
-    commonly mistaken for them (digests, ids, placeholders, long names)."""
+    commonly mistaken for them (digests, ids, placeholders, names, plain words)."""
     r = spark.range(rows).withColumn("a", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)).withColumn("b", F.sha2(F.concat(F.lit(f"{seed}/"), F.col("id").cast("string")), 256))
     size = 16 + F.pmod(F.xxhash64("a"), F.lit(25)).cast("int")
     alnum = F.regexp_replace(F.base64(F.unhex("a")), "[+/=]", "7")
@@ -79,6 +94,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
     other = F.element_at(F.array(*map(F.lit, OTHERWISE)), (F.pmod(F.xxhash64("a", F.lit(2)), F.lit(len(OTHERWISE))) + 1).cast("int"))
     joint = F.element_at(F.array(*map(F.lit, ("=", ": ", ' = "', "='"))), (F.pmod(F.xxhash64("b", F.lit(3)), F.lit(4)) + 1).cast("int"))
     plain = F.lit("as can be seen in the ")
+    letters = F.translate(alnum, "0123456789", "qwZxVkJhGp")
+    capitals = F.translate(upper, "0123456789", "QWZXVKJHGP")
+    short = 8 + F.pmod(F.xxhash64("b", F.lit(4)), F.lit(9)).cast("int")
+    sign = F.element_at(F.array(*map(F.lit, "!#$%&*?@^~.")), (F.pmod(F.xxhash64("a", F.lit(5)), F.lit(11)) + 1).cast("int"))
+    # What reads like a word: two to five syllables.
+    spoken = F.translate(F.substring("b", 1, F.lit(4) + 2 * F.pmod(F.xxhash64("a", F.lit(6)), F.lit(4)).cast("int")), "0123456789abcdef", "tnsrldmcpbvgfkhj")
+    spoken = F.regexp_replace(spoken, "(.)(.)", "$1a$2e")
+    title = F.initcap(spoken)
     kinds = [
         (1, F.substring("a", 1, 18), F.concat(plain, announce, joint)),
         (1, F.substring("a", 1, 40), F.concat(plain, announce, joint)),
@@ -86,6 +109,18 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
         (1, F.concat(F.lit("AKIA"), F.left(upper, F.lit(16))), plain),
         (1, F.concat(F.lit("AKIA"), F.left(upper, F.lit(16))), F.concat(F.lit("access_key"), joint)),
         (1, F.concat(F.lit("ghp_"), F.left(alnum, F.lit(36))), plain),
+        (1, F.concat(F.lit("AKIA"), F.left(capitals, F.lit(16))), plain),
+        (1, F.concat(F.lit("sk_live_"), F.left(letters, size)), plain),
+        (1, F.left(letters, size), F.concat(plain, announce, joint)),
+        (1, F.concat(F.left(alnum, short - 3), sign, F.substring(alnum, 30, 3)), F.concat(plain, announce, joint)),
+        (1, F.concat(F.left(letters, short - 2), sign, F.substring(letters, 30, 2)), F.concat(plain, announce, joint)),
+        (1, F.concat(F.left(alnum, short)), F.concat(plain, announce, joint)),
+        (0, F.when(F.col("id") % 3 == 0, title).otherwise(spoken), F.concat(plain, announce, joint)),
+        (0, F.when(F.col("id") % 3 == 0, title).otherwise(spoken), F.concat(plain, announce, F.lit(" "))),
+        (0, F.concat(spoken, sign, title), F.concat(plain, announce, F.lit(" "))),
+        (0, F.concat(F.lit("${"), F.upper(word), F.lit("_"), F.upper(word2), F.lit("}")), F.concat(plain, announce, joint)),
+        (0, F.concat(F.lit("./"), word, F.lit("/"), spoken, F.lit(".txt")), F.concat(plain, announce, joint)),
+        (0, F.concat(spoken, F.lit("-"), word), F.concat(plain, announce, joint)),
         (0, F.substring("a", 1, 40), F.concat(plain, other, F.lit(" "))),
         (0, F.substring("a", 1, 32), F.concat(plain, other, F.lit(": "))),
         (0, F.regexp_replace(F.substring("a", 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), plain),
