@@ -31,8 +31,8 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     Spark cuts them at a count of rows, or at far more bytes: several times that, per task, would be held by the JVM and by Python.
     The setting is the session's, as a DataFrame is run after the operator that made it has returned; a lower one is left alone.
     """
-    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_BYTES).strip().lower()).groups()
-    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > most:
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_BYTES).strip().lower())
+    if not found or int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] > most:
         spark.conf.set(BATCH_BYTES, str(most))
 
 
@@ -65,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     was = state(cur)
     while was[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Apart from the join, so that a node with very many neighbours can be dealt to several tasks.
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         # Large star: larger neighbours of u hang below the smallest that u knows.
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
