@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annora.llm.common import bounded_batches, components, stored
@@ -21,20 +21,27 @@ SIEVE_BITS = 20
 NO_ID = -(1 << 63)
 
 
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
 def _batch(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """A row (doc_id, class, n) per document, and at the end of each partition its counts of shingles by the hash's first bits, in chunks."""
+    """A row (doc_id, key, class, n) per document, and at the end of each partition its counts of shingles by the hash's first bits, in chunks.
+
+    key is a hash of the text, which with the id tells rows apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["doc_id", "class", "n", "chunk", "counts"]
+        kinds, names = [pa.int64()] * 4 + [pa.int32(), pa.binary()], ["doc_id", "key", "class", "n", "chunk", "counts"]
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            ids, classes, sizes = batch.column(0), [], []
+            ids, row_keys, classes, sizes = batch.column(0), batch.column(1), [], []
             waiting, held = [], 0
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width)
                 classes.append(class_of(s))
                 sizes.append(len(s))
@@ -45,13 +52,14 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                     waiting, held = [], 0
             if waiting:
                 counts += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            yield _batch([ids, classes, sizes, [None] * len(classes), [None] * len(classes)], kinds, names)
+            yield _batch([ids, row_keys, classes, sizes, [None] * len(classes), [None] * len(classes)], kinds, names)
         if counts.any():
             parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
             none = [None] * CHUNKS
-            yield _batch([none, none, none, list(range(CHUNKS)), parts], kinds, names)
+            yield _batch([none, none, none, none, list(range(CHUNKS)), parts], kinds, names)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, n long, chunk int, counts binary")
+    rows = docs.select(_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, class long, n long, chunk int, counts binary")
 
 
 def _frequencies(parts: DataFrame) -> np.ndarray:
@@ -93,7 +101,7 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int, frequencies) -> D
                         c.append(v)
             yield _batch(out, kinds, names)
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = docs.select(_id(F.col("doc_id")).alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, class long, n long, tokens array<long>, bins array<int>")
 
 
@@ -107,7 +115,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             same = [i for i, s in enumerate(sets) if class_of(s) == named[i]]  # rows that only share the id fall out
             yield _batch([[named[i] for i in same], [sets[i].view(np.int64) for i in same]], [pa.int64(), pa.list_(pa.int64())], ["class", "set"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).cast("int"))
+    rows = docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).cast("int"))
     # Sieve before the shuffle: what is broadcast are 2**SIEVE_BITS small numbers at most, whatever the input's size; the join below decides.
     buckets = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).cast("int").alias("bucket")).distinct()
     rows = rows.join(F.broadcast(buckets), "bucket", "left_semi").join(wanted, "doc_id").select("text", "class")
@@ -150,8 +158,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Documents (doc_id, text) grouped by links between shingle sets whose Jaccard similarity is num / den or more.
+def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key, class, n, root) of every row of docs: what ngram_components() tells, by class; a null id is NO_ID. Stored.
 
     1. Documents with equal sets are one class, and each class takes part once. The same scan counts shingles in 2**20 hash buckets.
     2. Each class posts its rarest shingles (by bucket count, then hash): as many as any similar set must share one of.
@@ -161,14 +169,10 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
        the original in a group of edited copies, and the one of the smallest class); then all postings of a shingle that are not in
        one component yet, so that a group of m copies costs about m pairs and no link between components is lost.
 
-    Edge cases: null, empty and blank texts have no shingles and link with nothing; repeated rows are one class; a null id is kept and
-    never anyone's component_id unless all of the component's are null; an empty table gives no rows; other columns are ignored.
-
-    Returns doc_id, n_shingles, component_id (smallest doc_id that links reach).
     """
     bounded_batches(docs.sparkSession)
     scan = stored(_scan(docs, width), "ngram-scan")
-    slim = scan.where("chunk is null").select("doc_id", "class", "n")
+    slim = scan.where("chunk is null").select("doc_id", "key", "class", "n")
     frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(scan.where("chunk is not null")))
     classes = stored(slim.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
     firsts = stored(_prefixes(docs, width, num, den, frequencies).join(classes, ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"]), "ngram-prefixes")
@@ -199,23 +203,40 @@ def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int
     more = rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     whole = components(links.unionByName(_links(more, docs, firsts, classes, width, num, den)))
 
-    of_class = whole.withColumnRenamed("node", "class")
-    placed = slim.join(of_class, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = placed.where("n > 0").groupBy("root").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"))
-    out = placed.join(smallest, "root", "left")
+    of_class = stored(whole.withColumnRenamed("node", "class"), "ngram-whole")
+    return stored(slim.join(of_class, "class", "left").withColumn("root", F.coalesce("root", "class")), "ngram-placed")
+
+
+def ngram_components(docs: DataFrame, *, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """Documents (doc_id, text) grouped by links between shingle sets whose Jaccard similarity is num / den or more; see grouped().
+
+    Edge cases: null, empty and blank texts have no shingles and link with nothing; repeated rows are one class, and so are rows
+    that share an id but not their text where these are similar; a null id is kept and never anyone's component_id unless all of the
+    component's are null; an empty table gives no rows; other columns are ignored.
+
+    Returns doc_id, n_shingles, component_id (smallest doc_id that links reach).
+    """
+    placed = grouped(docs, width, num, den)
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    # Stored before it meets the rows, so that those of a large component can be dealt to several tasks.
+    smallest = stored(placed.where("n > 0").groupBy("root").agg(F.min(own).alias("low")), "ngram-smallest")
+    out = placed.join(smallest, "root", "left")
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(own).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
-    """docs, all columns, with the document of the smallest doc_id of each component; rows without shingles all stay.
+    """docs, all columns, with one row of each component; rows without words all stay.
 
-    Of rows that share that id (repeated ones) one stays. Rows without an id all stay.
+    It is the row of the smallest doc_id (null last; of rows that share it, that of the smallest hash of its text). Rows are told
+    apart by id and text, so that a decision touches no other row that shares an id. Of rows equal in both, one stays: that of the
+    smallest hash of all columns. An empty table gives no rows.
     """
-    found = ngram_components(docs, width=width, num=num, den=den)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_twice"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    marked = kept.join(twice, "doc_id", "left")
-    once = marked.where("_twice").dropDuplicates(["doc_id"])
-    return marked.where("_twice is null").unionByName(once).select(*docs.columns)
+    placed = grouped(docs, width, num, den)
+    best = placed.where("n > 0").groupBy("root").agg(F.min(F.struct((F.col("doc_id") == NO_ID).alias("none"), "doc_id", "key")).alias("x"))
+    best = stored(best.select("x.doc_id", "x.key"), "ngram-best").alias("b")
+    blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    rows = docs.where(~blank).alias("d")
+    kept = rows.join(best, (_id(F.col("d.doc_id")) == F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.key")))
+    one = Window.partitionBy(_id(F.col("d.doc_id")), F.xxhash64("d.text")).orderBy(F.xxhash64(*[F.col(f"d.`{c}`") for c in docs.columns]))
+    first = kept.select(F.struct("d.*").alias("row"), F.row_number().over(one).alias("place")).where("place = 1").select("row.*")
+    return docs.where(blank).unionByName(first)

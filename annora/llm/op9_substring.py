@@ -174,23 +174,8 @@ def _word(size: str) -> Column:
     return F.shiftright(size, 32)
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
-    """Spans of docs (doc_id, text) to remove: what windows of min_words words cover that have occurred before, in order of (doc_id, place).
-
-    Each passage of min_words words or more that stands whole in an earlier place is found, wherever it begins and ends; words are
-    compared in lower case without punctuation at their edges, spaces and line ends all alike. A window may overlap its own first
-    occurrence, so that of a text that goes round the first round stays.
-
-    Windows that repeat share the digest of their piece. Pieces equal as a whole repeat with all their windows; only where pieces of
-    one digest differ, at the ends of passages, the first of each kind is taken apart into windows, which are compared one by one.
-    Digests are counted first and firsts are stored, so that no task gathers the places of one digest.
-
-    Edge cases: null, empty and blank texts have no windows; equal rows with one id count as one document; a null id ranks first
-    and is kept apart; other columns are ignored.
-
-    Returns doc_id, start, end (code points of the original text), n_words, n_units (pieces found), first_doc_id (where the piece of the
-    most windows occurs first).
-    """
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """What repeated_spans() returns, with key, a hash of the text, which with the id tells rows apart."""
     every = stored(_pieces(docs, min_words), "substring-pieces")
     often = stored(every.groupBy("digest").count().where("count > 1").select("digest"), "substring-often")
     repeated = stored(every.join(often, "digest"), "substring-repeated")
@@ -218,15 +203,41 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
         F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), (F.max("stop") - F.min("k")).alias("n_words"),
         F.sum(F.col("fresh").cast("long")).alias("n_units"), F.max_by("first_doc_id", F.struct("n", "start")).alias("first_doc_id"),
     )
-    return out.select("doc_id", "start", "end", "n_words", "n_units", "first_doc_id")
+    return out.select("doc_id", "key", "start", "end", "n_words", "n_units", "first_doc_id")
+
+def repeated_spans(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
+    """Spans of docs (doc_id, text) to remove: what windows of min_words words cover that have occurred before, in order of (doc_id, place).
+
+    Each passage of min_words words or more that stands whole in an earlier place is found, wherever it begins and ends; words are
+    compared in lower case without punctuation at their edges, spaces and line ends all alike. A window may overlap its own first
+    occurrence, so that of a text that goes round the first round stays.
+
+    Windows that repeat share the digest of their piece. Pieces equal as a whole repeat with all their windows; only where pieces of
+    one digest differ, at the ends of passages, the first of each kind is taken apart into windows, which are compared one by one.
+    Digests are counted first and firsts are stored, so that no task gathers the places of one digest.
+
+    Edge cases: null, empty and blank texts have no windows; equal rows with one id count as one document; a null id ranks first
+    and is kept apart; other columns are ignored.
+
+    Returns doc_id, start, end (code points of the original text), n_words, n_units (pieces found), first_doc_id (where the piece of the
+    most windows occurs first).
+    """
+    return _spans(docs, min_words).drop("key")
 
 
 def without_repeats(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
-    """docs, all columns, whose text lacks the spans of repeated_spans(); removed_spans retains their original offsets."""
-    spans = repeated_spans(docs, min_words=min_words).where("doc_id is not null")
-    each = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    joined = docs.drop("removed_spans").join(each, "doc_id", "left")
-    begin = F.concat(F.array(F.lit(0)), F.col("removed_spans.end"))
-    stop = F.concat(F.col("removed_spans.start"), F.array(F.length("text")))
-    kept = F.array_join(F.zip_with(begin, stop, lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))), "")
-    return joined.withColumn("text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.drop("removed_spans").columns, "removed_spans")
+    """docs, all columns, whose text lacks the spans of repeated_spans(); removed_spans retains their original offsets (null: none).
+
+    Rows are told apart by id and text, a null id included, so that a row that shares the id of another loses only its own spans;
+    rows equal in both lose the same.
+    """
+    rows = docs.drop("removed_spans")
+    each = _spans(docs, min_words).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    d, s = rows.alias("d"), each.alias("s")
+    joined = d.join(s, F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.key")), "left")
+    text, spans = F.col("d.text"), F.col("s.spans")
+    begin = F.concat(F.array(F.lit(0)), spans["end"])
+    stop = F.concat(spans["start"], F.array(F.length(text)))
+    kept = F.array_join(F.zip_with(begin, stop, lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))), "")
+    columns = [F.when(spans.isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"d.`{c}`") for c in rows.columns]
+    return joined.select(*columns, spans.alias("removed_spans"))

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annora.llm.op1_sharding import interleaved_shards
 from annora.llm.op2_secrets import fit_forest, labelled_findings, scan_secrets
@@ -243,6 +244,18 @@ def test_substring(spark, odd, none):
     assert repeated_spans(none).count() == 0
 
 
+def test_substring_of_shared_ids(spark):
+    """Rows that share an id, or have none, lose only what they repeat themselves."""
+    rng = random.Random(4)
+    passage, other = words(rng, 40, 9000), words(rng, 120, 9000)
+    rows = [(1, passage, "a"), (7, other, "a"), (7, f"head {passage} tail", "a"), (None, f"x {passage}", "a"), (None, other.upper(), "a"), (None, "alone", "a"), (8, None, "a"), (9, "", "a")]
+    docs = documents(spark, rows).withColumn("key", F.lit("clash")).withColumn("spans", F.lit(1)).withColumn("removed_spans", F.lit(0))
+    got = {(r.doc_id, r.text) for r in without_repeats(docs).collect()}
+    # The rows without an id rank first, so that theirs are the passages that stay.
+    assert got == {(1, ""), (7, ""), (7, "head  tail"), (None, f"x {passage}"), (None, other.upper()), (None, "alone"), (8, None), (9, "")}
+    assert without_repeats(docs.limit(0)).count() == 0
+
+
 def test_substring_passages_without_cuts(spark):
     """Against brute force: passages of 30 words and more, at any place, with and without sentence ends and line breaks, and texts that repeat themselves."""
     rng = random.Random(19)
@@ -291,3 +304,15 @@ def test_ngrams(spark, odd, none):
     kept = sorted(r.doc_id for r in one_per_component(docs, width=4, num=85, den=100).where("doc_id is not null").collect())
     assert kept == sorted(i for i in sets if want[i] == i)
     assert ngram_components(none).count() == 0
+
+
+def test_one_per_component_of_shared_ids(spark, none):
+    rng = random.Random(8)
+    x, y, z = (words(rng, 40) for _ in range(3))
+    rows = [(1, x, "a"), (5, x, "a"), (5, y, "a"), (5, "", "a"), (5, None, "b"), (None, z, "a"), (None, z, "a"), (None, x, "a"), (6, y, "b"), (6, y, "b"), (9, z.upper(), "a"), (11, "q r", "a"), (11, "q r", "b")]
+    docs = documents(spark, rows).withColumn("key", F.lit("clash")).withColumn("_place", F.lit(1))
+    kept = one_per_component(docs.repartition(3), width=5, num=80, den=100)
+    assert kept.columns == [c for c in docs.columns]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, x), (5, y), (5, ""), (5, None), (9, z.upper()), (11, "q r")], key=str)
+    assert one_per_component(none, width=5, num=80, den=100).count() == 0

@@ -33,7 +33,7 @@ def tables(spark, tmp_path_factory):
         texts.append(" ".join(w))
     texts += [f"{' '.join(prose(rng, 20))} {x} {' '.join(prose(rng, 20))}" for x in (ITEM, ITEM.upper().replace("SAIL", "SAIIL"), ITEM[:70])]
     rows = [(i, t, "en", (None, "b", "a", "a", "c", "a")[i // 7 % 6], len(t), "x") for i, t in enumerate(texts)]
-    rows += [(None, "a row without an id", "en", "a", None, "x"), (None, "another one of those rows", None, "b", 1, "x"), (900, None, "en", "a", 0, "x"), (901, "", None, None, 0, "x"), rows[3]]
+    rows += [(None, "a row without an id", "en", "a", None, "x"), (None, "another one of those rows", None, "b", 1, "x"), (None, texts[4], "en", "a", 1, "x"), (3, "an id that another row has", "en", "a", 1, "x"), (900, None, "en", "a", 0, "x"), (901, "", None, None, 0, "x"), rows[3]]
     sf = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key string").repartition(3).write.parquet(f"{sf}/documents.parquet")
     labels = [(i, i % 2 if i % 3 else None, int(INSULT in t)) for i, t in enumerate(texts[:240])]
@@ -69,7 +69,8 @@ def deduplicated(rows):
                     root[i] = root[j] = min(root[i], root[j])
         if was == root:
             break
-    return [r for i, r in enumerate(rows) if r[0] is None or not sets[i] or r not in rows[:i] and r[0] == min(rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None)]
+    last = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    return [r for i, r in enumerate(rows) if not sets[i] or i == min((j for j in range(len(rows)) if root[j] == root[i] and sets[j]), key=lambda j: (last(j), j))]
 
 
 def holds_item(text):
@@ -161,6 +162,8 @@ def test_mixing_of_shared_ids(spark, tables):
     rows = rows[:80] + [(3, "an id that another text has too", "en", "b", 5), (None, "no id", None, None, None), (None, "no id, other text", "en", "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert Counter(map(tuple, corpus_pipeline.mixing(spark, docs, sf).collect())) == Counter(mixed(rows, quality))
+    many = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id < 5"))
+    assert Counter(map(tuple, corpus_pipeline.mixing(spark, many, sf).collect())) == Counter(mixed([tuple(r) for r in many.collect()], quality))
 
 
 def test_empty_pipeline(spark, tables, tmp_path):
