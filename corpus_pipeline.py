@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annora.llm.common import stored, table
@@ -37,13 +37,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and selects documents so that sources meet their targets; a document taken n times is n rows.
 
-    Copies are told apart from other rows by a 64-bit hash of all columns, so that rows without an id and rows that share one keep
-    their own counts; rows equal in every column share theirs evenly, rounded.
+    Rows are told apart by a 64-bit hash of all columns, so that rows without an id and rows that share one keep their own counts;
+    rows equal in every column share the sum of theirs as evenly as it goes.
     """
     rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]))
     mixed = mix_sources(rows, quality_weights(table(spark, sf_dir, "labels")), keep=("row_key",))
-    times = mixed.groupBy("row_key").agg(F.round(F.sum("times") / F.count("*")).cast("int").alias("times")).where("times > 0")
-    return rows.join(times, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    times = mixed.groupBy("row_key").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    copies = F.expr("times div rows") + (place <= F.col("times") % F.col("rows")).cast("long")
+    dealt = rows.join(times, "row_key").withColumn("copies", copies).where("copies > 0")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
