@@ -57,7 +57,10 @@ def best_end(pattern: str, text: str) -> tuple[int, int]:
 
 @dataclass
 class Matcher:
-    """Items (id, text) to be found in texts with at most rate edits per character of the normalised item."""
+    """Items (id, text) to be found in texts with at most rate edits per character of the normalised item.
+
+    Items and texts are put between spaces, so that an item is found as whole words: one too short for an edit is in no longer word.
+    """
 
     items: list[tuple[int, str]]
     rate: float
@@ -70,6 +73,7 @@ class Matcher:
             if not body:
                 continue
             k = edit_budget(len(body), self.rate)
+            body = f" {body} "
             self.bodies.append((item_id, body, k))
             cuts = [i * len(body) // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -84,7 +88,7 @@ class Matcher:
         """(item_id, distance, item_chars, start, end) of the best place of each item that is in text, in code points of text."""
         if not text or not self.bodies:
             return []
-        body = normalised(text)
+        body = f" {normalised(text)} "
         starts: dict[int, set[int]] = {}
         for end, (length, where) in self.auto.iter(body):
             for item, offset in where:
@@ -103,7 +107,7 @@ class Matcher:
                     _, length = best_end(pattern[::-1], body[lo : lo + end][::-1])
                     best = (distance, lo + end - length, lo + end)
             if best:
-                found.append((item_id, best[0], len(pattern), *self._original(text, best[1], best[2])))
+                found.append((item_id, best[0], len(pattern) - 2, *self._original(text, best[1] - 1, best[2] - 1)))
                 if first_only:
                     break
         return found

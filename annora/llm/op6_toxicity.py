@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from annora.llm.common import bounded_batches
+from annora.llm.common import bounded_batches, stored
 
 # Look-alikes of Latin letters in Greek and Cyrillic, and digits and signs used for letters. i, l, 1 and | are one class.
 HOMOGLYPHS = {
@@ -111,11 +111,12 @@ def _beginnings(text: str) -> set[str]:
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) > k}
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_entries: int = 3_000, min_docs: int = 5, min_share: float = 0.01, purity: float = 0.9, exceptions: tuple[str, ...] = EXCEPTIONS, seed: int = 5) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_docs: int = 5, min_share: float = 0.01, purity: float = 0.9, exceptions: tuple[str, ...] = EXCEPTIONS, seed: int = 5) -> Lexicon:
     """A lexicon learned from labels (doc_id, toxic 0/1) and the texts of docs (doc_id, text).
 
-    Fitted on max_rows labelled documents at most (a seeded sample; the bound holds for what is broadcast and for what the driver
-    gathers). Equal texts count once, or the words of a copied document would look toxic. An entry is a word or a word's
+    Fitted on max_rows labelled documents at most (a seeded sample, which bounds what is broadcast and what the driver gathers; as an
+    entry takes a share of the toxic ones, there are no more entries than 1 / min_share times a document's words). Equal texts
+    count once, or the words of a copied document would look toxic; if their labels contradict each other, not at all. An entry is a word or a word's
     beginning that occurs in min_docs toxic documents and in min_share of them at least, while purity or more of all documents that
     hold it are toxic; its weight is the log of the odds, each class counting the same. Beginnings that a shorter
     entry covers as well are left out. A one-variable logistic regression turns the matched weight into a score.
@@ -132,49 +133,41 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, m
         .limit(max_rows)
         .select("doc_id", F.col("y").cast("int").alias("y"))
     )
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").select("text", "y").dropDuplicates(["text"])
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic_docs, total = Counter(), Counter()
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[y > 0] += 1
-                if y > 0:
-                    toxic_docs.update(_beginnings(text))
-        entries = ["", *toxic_docs]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(entries, pa.string()), pa.array([total[False]] + [0] * len(toxic_docs), pa.int64()), pa.array([total[True], *toxic_docs.values()], pa.int64())],
-            names=["entry", "clean", "toxic"],
-        )
-
-    summed = train.mapInArrow(counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    first = summed.where(f"entry = '' or toxic >= {min_docs}").orderBy(F.col("entry") != "", F.col("toxic").desc(), "entry").limit(20 * max_entries)
-    found = {r.entry: (r.clean, r.toxic) for r in first.collect()}
-    clean, toxic = found.pop("", (0, 0))
+    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
+    train = train.groupBy("text").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("text", "y")
+    train = stored(train, "toxicity-train")
+    clean, toxic = train.agg(F.count_if(F.col("y") <= 0), F.count_if(F.col("y") > 0)).first()
     if not clean or not toxic:
         share = (toxic + 1) / (clean + toxic + 2)
         return Lexicon((), exceptions, 0.0, math.log(share / (1 - share)))
     support = max(min_docs, math.ceil(min_share * toxic))
-    found = {e: x for e, x in found.items() if x[1] >= support}
-    wanted = set(found)
 
-    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(_beginnings(text) & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "clean"])
+    def counted(wanted: set[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = Counter()
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    seen.update(_beginnings(text) if wanted is None else _beginnings(text) & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "n"])
+
+        return run
+
+    def counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
+        return rows.select("text").mapInArrow(counted(wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+    found = {r.entry: r.n for r in counts(train.where("y > 0"), None).where(F.col("n") >= support).collect()}
+    wanted = set(found)
 
-    whole = {r.entry: r.clean for r in train.where("y <= 0").select("text").mapInArrow(recount, "entry string, clean long").groupBy("entry").agg(F.sum("clean").alias("clean")).collect()}
+    whole = {r.entry: r.n for r in counts(train.where("y <= 0"), wanted).collect()}
     entries: dict[str, float] = {}
     for entry in sorted(found, key=lambda e: (len(e), e)):
-        p, n = (found[entry][1] + 0.1) / (toxic + 0.2), (whole.get(entry, 0) + 0.1) / (clean + 0.2)
-        if p / (p + n) >= purity and whole.get(entry, 0) <= (1 - purity) * (whole.get(entry, 0) + found[entry][1]):
+        p, n = (found[entry] + 0.1) / (toxic + 0.2), (whole.get(entry, 0) + 0.1) / (clean + 0.2)
+        if p / (p + n) >= purity and whole.get(entry, 0) <= (1 - purity) * (whole.get(entry, 0) + found[entry]):
             weight = math.log(p / n)
             shorter = max((entries.get(entry[:k], 0.0) for k in range(2, len(entry))), default=0.0)
             if weight > shorter + 0.5:
                 entries[entry] = weight
-    best = tuple(sorted(sorted(entries.items(), key=lambda x: (-x[1] * found[x[0]][1], x[0]))[:max_entries]))
+    best = tuple(sorted(entries.items()))
     start = Lexicon(best, exceptions, 0.0, 0.0)
     scored = [(r.x, r.y) for r in densities(train, start).collect()]
     slope, offset = _logistic([x for x, _ in scored], [y for _, y in scored])

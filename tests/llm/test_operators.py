@@ -116,6 +116,39 @@ def test_decontamination(spark, odd, none):
             last = new
         assert best_end(p, t)[0] == min(last)
     assert Matcher([(1, item)], 0.05).matches(None) == []
+    short = Matcher([(1, "cat"), (2, "a")], 0.05)
+    assert short.matches("concatenate zebra, Cats") == [] and [m[:2] + m[3:] for m in short.matches("the CAT; sat")] == [(1, 0, 4, 7)]
+
+
+def test_leaks_against_brute_force(spark):
+    """Rows, distances and places of find_leaks: every item against every stretch of words of every text."""
+    rng = random.Random(6)
+    items = [(i, words(rng, rng.randrange(1, 16), 30)) for i in range(12)]
+    rows = []
+    for d in range(80):
+        text = words(rng, rng.randrange(12), 30)
+        body = list(items[rng.randrange(12)][1])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(body))
+            body[at : at + rng.randrange(2)] = rng.choice(["", "w", "3"])
+        rows.append((d, f"{text}, {''.join(body).upper()} - {words(rng, rng.randrange(6), 30)}", "a"))
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), rate=0.08).collect()}
+    want = {}
+    for d, text, _ in rows:
+        body = f" {' '.join(''.join(c if c.isalnum() else ' ' for c in text).lower().split())} "
+        for i, item in items:
+            pattern, last = f" {item} ", [0] * (len(body) + 1)
+            for x, c in enumerate(pattern, 1):
+                new = [x]
+                for y, e in enumerate(body, 1):
+                    new.append(min(last[y] + 1, new[-1] + 1, last[y - 1] + (c != e)))
+                last = new
+            if min(last) <= int(0.08 * len(item)):
+                want[d, i] = min(last)
+    assert {k: r.distance for k, r in got.items()} == want and len(want) > 40 and len(set(want.values())) > 2
+    for (d, i), r in got.items():
+        found = " ".join("".join(c if c.isalnum() else " " for c in rows[d][1][r.start : r.end]).lower().split())
+        assert edit_distance(f" {found} ", f" {items[i][1]} ") <= want[d, i] + 2
 
 
 def edit_distance(a, b, most=None):
@@ -186,6 +219,11 @@ def test_toxicity(spark, odd, none):
     assert all((scored[i] >= 0.5) == (i % 3 == 0) for i in range(300))
     assert score_toxicity(odd, lexicon).count() == len(odd_rows()) and score_toxicity(none, lexicon).count() == 0
     assert fit_lexicon(docs, labels.limit(0)).entries == ()
+    # Equal texts whose labels contradict each other count for nothing, whichever comes first.
+    again = docs.unionByName(documents(spark, [(1000 + i, t, "a") for i, t, _ in texts[:9]]))
+    against = labels.unionByName(spark.createDataFrame([(1000 + i, int(i % 3 != 0)) for i in range(9)], "doc_id long, toxic int"))
+    without = fit_lexicon(docs.where("doc_id >= 9"), labels)
+    assert fit_lexicon(again, against) == fit_lexicon(again.repartition(5), against) == without
     spared = Lexicon(((" trash ", 5.0),), ("trash can",), 5.0, -2.0).matcher()
     assert spared("the trash can is full") == 0.0 and spared("you trash") > 0
 
