@@ -169,7 +169,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, m
                 entries[entry] = weight
     best = tuple(sorted(entries.items()))
     start = Lexicon(best, exceptions, 0.0, 0.0)
-    scored = [(r.x, r.y) for r in densities(train, start).collect()]
+    scored = sorted((r.x, r.y) for r in densities(train, start).collect())
     slope, offset = _logistic([x for x, _ in scored], [y for _, y in scored])
     return Lexicon(best, exceptions, slope, offset)
 
