@@ -13,7 +13,7 @@ from annora.llm.op4_lines import line_classes, within
 from annora.llm.op5_mixing import mix_sources
 from annora.llm.op6_toxicity import Lexicon, fit_lexicon, folded, score_toxicity
 from annora.llm.op7_chat import escaped, fold_events, read_back, render, turns_as_events, unescaped
-from annora.llm.op8_embedding import embedding_duplicates
+from annora.llm.op8_embedding import embedding_duplicates, unit_rows
 from annora.llm.op9_substring import repeated_spans, without_repeats
 from annora.llm.op10_ngram_join import ngram_components, one_per_component
 from annora.llm.shingles import shingle_set
@@ -255,7 +255,7 @@ def test_embeddings(spark):
     label = [i % 60 % 3 for i in range(60)] + [i % 3 for i in range(30)] + [i % 3 for i in range(20)] + [i % 3 for i in range(5)]
     rows = [(i, x.tolist(), y) for i, (x, y) in enumerate(zip(v, label, strict=True))]
     rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] * 8, 1), (503, rows[0][1], None), (504, [1.0, 2.0], 1), (505, [1.0, 2.0], 1), (None, rows[0][1], 0), (506, [None, 1.0], 1)]
-    got = {r.vec_id: r for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), cells=4, block=16).collect()}
+    got = {r.vec_id: r for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), cells=4, block=16, target_recall=1).collect()}
     assert len(got) == len(rows)
     f = v.astype(np.float32).astype(float)
     unit = f / np.linalg.norm(f, axis=1, keepdims=True)
@@ -268,6 +268,24 @@ def test_embeddings(spark):
     assert embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_of_shared_ids_and_recall(spark):
+    """Rows that share an id are vectors of their own; double vectors; an extra column whose name clashes; recall of the sampled reach."""
+    rng = np.random.default_rng(1)
+    base = unit_rows(rng.standard_normal((400, 16)))
+    other = unit_rows(rng.standard_normal((400, 16)))
+    other = unit_rows(other - (other * base).sum(1, keepdims=True) * base)
+    v = np.concatenate([base, 0.981 * base + 0.194 * other])
+    rows = [(i, x.tolist(), "a", 0) for i, x in enumerate(v)]
+    rows += [(1000, base[0].tolist(), "b", 0), (1000, base[1].tolist(), "b", 0), (1001, base[0].tolist(), "b", 0), (1002, base[1].tolist(), "b", 0), (None, base[1].tolist(), "b", 0)]
+    got = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rid int"), cells=8, block=64).collect()
+    near = v @ v.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = {r.vec_id: r.n_links for r in got if r.vec_id is not None and r.vec_id < 1000}
+    assert sum(links.values()) >= 0.98 * near.sum() > 700 and all(links[i] <= near[i].sum() for i in links) and sum(links.values()) % 2 == 0
+    shared = sorted((r.vec_id, r.n_links, r.component_id) for r in got if (r.vec_id or 0) >= 1000)
+    assert shared == [(1000, 1, 1000), (1000, 1, 1000), (1001, 1, 1000), (1002, 1, 1000)]
+
+
 def test_substring(spark, odd, none):
     rng = random.Random(9)
     passage = ". ".join(words(rng, 12, 9000) for _ in range(5))
