@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The marks of the chat template.
@@ -37,41 +37,88 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
+KINDS = ("message", "delta", "edit", "regenerate")
+
+
+def replayed(events: list[tuple], state: dict, gone: set) -> None:
+    """Applies (seq, kind, msg), in order, to the live messages of a conversation: msg -> where it was opened, in that order."""
+    for seq, kind, msg in events:
+        if kind == "message":
+            state.pop(msg, None)
+            gone.discard(msg)
+            state[msg] = seq
+        elif msg not in gone:
+            opened = state.setdefault(msg, seq)
+            if kind == "regenerate":
+                while state:
+                    last = next(reversed(state))
+                    if opened is None or state[last] is None or state[last] <= opened:
+                        break
+                    gone.add(last)
+                    del state[last]
+
+
+def _live(events: DataFrame) -> DataFrame:
+    """(conv_id, msg, opened) of the messages that are there at the end of each conversation's log. No texts are moved."""
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("conv_id", "msg")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, begun, state, gone = None, False, {}, set()
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([conv] * len(state), types[0]), pa.array(list(state), types[1]), pa.array(list(state.values()), pa.int64())], names=["conv_id", "msg", "opened"])
+
+        for batch in batches:
+            types = batch.schema.types[0], batch.schema.types[3]
+            convs, *rest = (c.to_pylist() for c in batch.columns)
+            at = 0
+            while at < len(convs):
+                stop = at + 1
+                while stop < len(convs) and convs[stop] == convs[at]:
+                    stop += 1
+                if begun and convs[at] != conv:
+                    yield batch_of()
+                    state, gone = {}, set()
+                conv, begun = convs[at], True
+                replayed(list(zip(*(c[at:stop] for c in rest), strict=True)), state, gone)
+                at = stop
+        if begun:
+            yield batch_of()
+
+    light = events.select("conv_id", "seq", "kind", "msg").repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "msg")
+    return light.mapInArrow(run, f"conv_id {kinds['conv_id']}, msg {kinds['msg']}, opened long")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, seq, role, text) of an event log (conv_id, seq, kind, msg, role, text).
 
     Kinds: "message" opens message msg with a text; "delta" adds to its text; "edit" replaces its text; "regenerate" replaces its
-    text too and discards the messages that had been opened after it up to then. A message whose msg is null is complete by itself.
-    Events apply in order of seq (ties: kind, role, text); a message stands where it was opened (or first mentioned), with the role
-    of its first event that has one. Events of a discarded message are dropped unless "message" opens it again. Null texts are
-    empty; null roles are empty; other kinds are ignored.
-
-    Each message is folded apart, whatever its conversation's length; only a light row per message meets those of its conversation.
+    text too and discards the messages that were opened at a later seq than it, up to then. Events apply in order of seq (ties: kind;
+    then msg between messages, role and text within one). A message stands where it was opened last, with the role of its first
+    event that has one; the first event of a message that was never opened opens it. Events of a discarded message do nothing,
+    regenerations included, unless "message" opens it again. A message whose msg is null is complete by itself and is never
+    discarded. Null texts and roles are empty; other kinds are ignored.
+
+    Texts are folded message by message, whatever a conversation's length; only light events, without texts, are replayed in order
+    of their conversation, by a task that streams them and remembers the live messages.
     """
     rows = events.select("conv_id", F.col("seq").cast("long").alias("seq"), "kind", "msg", "role", F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.where("msg is null and kind = 'message'").select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), "text")
-    logged = rows.where("msg is not null and kind in ('message', 'delta', 'edit', 'regenerate')")
+    logged = rows.where(F.col("msg").isNotNull() & F.col("kind").isin(*KINDS))
     by_message = Window.partitionBy("conv_id", "msg").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    open_seq = F.coalesce(F.max(F.when(F.col("kind") == "message", F.col("seq"))), F.min("seq"))
-    resets = F.sum((F.col("kind") != "delta").cast("int")).over(by_message)
     pieces = F.array_sort(F.collect_list(F.struct("resets", "n", "text")))
     messages = (
-        logged.withColumn("resets", resets)
+        logged.withColumn("resets", F.sum((F.col("kind") != "delta").cast("int")).over(by_message))
         .withColumn("n", F.count("*").over(by_message))
         .groupBy("conv_id", "msg")
-        .agg(
-            open_seq.alias("seq"),
-            F.min_by("role", F.when(F.col("role").isNotNull(), F.col("n"))).alias("role"),
-            F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"),
-            F.max("resets").alias("last"),
-            pieces.alias("pieces"),
-        )
+        .agg(F.min_by("role", F.when(F.col("role").isNotNull(), F.col("n"))).alias("role"), F.max("resets").alias("last"), pieces.alias("pieces"))
         .withColumn("text", F.array_join(F.transform(F.filter("pieces", lambda p: p["resets"] == F.col("last")), lambda p: p["text"]), ""))
-        .drop("pieces", "last")
+        .select("conv_id", "msg", F.coalesce("role", F.lit("")).alias("role"), "text")
+        .alias("m")
     )
-    earlier = Window.partitionBy("conv_id").orderBy("seq", "msg").rowsBetween(Window.unboundedPreceding, -1)
-    live = messages.withColumn("cut", F.max("redone").over(earlier)).where("cut is null or cut <= seq")
-    return whole.unionByName(live.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), "text"))
+    live = _live(logged).alias("l")
+    both = messages.join(live, F.col("m.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("m.msg") == F.col("l.msg")))
+    return whole.unionByName(both.select("m.conv_id", F.col("l.opened").alias("seq"), "m.role", "m.text"))
 
 
 def render(messages: DataFrame, *, learned_role: str = LEARNED_ROLE, part_chars: int = PART_CHARS) -> DataFrame:
@@ -170,6 +217,30 @@ def read_back(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: A turn's events are numbered from so many times its turn on.
+STEPS = 8
+
+
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) as a log in which each row is a complete message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("msg"), "role", "text")
+    """conversations (conv_id, turn, role, text) as the event log that a chat service would have streamed; folding it gives them back.
+
+    By a hash of the row its message is opened whole; streamed in three deltas; drafted, edited and streamed to its end; or begun,
+    followed by another message that is discarded as the first one is regenerated, and streamed to its end. Equal rows are messages
+    of their own. Rows without a turn come first.
+    """
+    row = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    row = row.groupBy("conv_id", "turn", "role", "text").count().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    row = row.withColumn("id", F.xxhash64("conv_id", "turn", "role", "text", "copy")).withColumn("third", F.floor(F.length("text") / 3).cast("int"))
+    one, two, three = F.substr("text", F.lit(1), F.col("third")), F.substr("text", F.col("third") + 1, F.col("third")), F.substr("text", 2 * F.col("third") + 1)
+    own, other, no_role = F.col("id"), F.bitwise_not("id"), F.lit(None).cast("string")
+
+    def log(*steps: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(j).alias("step"), F.lit(kind).alias("kind"), msg.alias("msg"), role.alias("role"), text.alias("text")) for j, (kind, msg, role, text) in enumerate(steps)])
+
+    role = F.col("role")
+    logs = F.when(F.pmod("id", F.lit(4)) == 0, log(("message", own, role, F.col("text"))))
+    logs = logs.when(F.pmod("id", F.lit(4)) == 1, log(("message", own, role, one), ("delta", own, no_role, two), ("delta", own, no_role, three)))
+    logs = logs.when(F.pmod("id", F.lit(4)) == 2, log(("message", own, role, F.concat(three, F.lit(" draft"))), ("edit", own, no_role, F.concat(one, two)), ("delta", own, no_role, three)))
+    logs = logs.otherwise(log(("message", own, role, two), ("message", other, F.lit("user"), one), ("delta", other, no_role, F.lit(" lost")), ("regenerate", own, no_role, one), ("delta", own, no_role, F.concat(two, three))))
+    begin = F.coalesce(F.col("turn"), F.lit(-(1 << 58))) * STEPS
+    return row.select("conv_id", begin.alias("begin"), F.explode(logs).alias("e")).select("conv_id", (F.col("begin") + F.col("e.step")).alias("seq"), "e.kind", "e.msg", "e.role", "e.text")

@@ -248,6 +248,51 @@ def test_chat_events(spark):
     assert [(r.role, r.text) for r in got] == [("user", "Q?"), ("assistant", "new")]
 
 
+def test_chat_events_against_replay(spark):
+    """Random logs, replayed one event after the other; a column whose name clashes."""
+    rng = random.Random(12)
+    log = []
+    for conv in (1, 2, 3, None):
+        for seq in range(150):
+            log.append((conv, seq, rng.choices(["message", "delta", "edit", "regenerate", "noise"], [6, 8, 3, 3, 1])[0], rng.randrange(12) if rng.random() < 0.95 else None, rng.choice(["user", "assistant", None]), rng.choice(["x", "yz", "", None, "w "])))
+    want = []
+    for conv in (1, 2, 3, None):
+        live, gone, roles, alone = [], set(), {}, []  # [msg, opened, text]
+        for c, seq, kind, msg, role, text in log:
+            if c != conv or kind == "noise":
+                continue
+            if msg is None:
+                alone += [(seq, role or "", text or "")] if kind == "message" else []
+                continue
+            roles[msg] = roles.get(msg) or role
+            if kind == "message":
+                live = [m for m in live if m[0] != msg] + [[msg, seq, text or ""]]
+                gone.discard(msg)
+            elif msg not in gone:
+                if all(m[0] != msg for m in live):
+                    live.append([msg, seq, ""])
+                at = [m[0] for m in live].index(msg)
+                live[at][2] = (live[at][2] if kind == "delta" else "") + (text or "")
+                if kind == "regenerate":
+                    gone |= {m[0] for m in live[at + 1 :]}
+                    del live[at + 1 :]
+        want += [(conv, *x) for x in alone] + [(conv, opened, roles[msg] or "", text) for msg, opened, text in live]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg long, role string, text string").withColumn("opened", F.lit(1))
+    got = [tuple(r) for r in fold_events(events.repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 20
+
+
+def test_turns_become_events_and_back(spark):
+    rng = random.Random(3)
+    rows = [(c, t // 2, rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", words(rng, 9), words(rng, 20_000)])) for c in (1, 2, None) for t in range(30)]
+    rows += rows[:5] + [(1, None, "user", "no turn"), (1, None, "user", "no turn")]
+    log = turns_as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("id", F.lit(0)))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] > len(rows)
+    got = [(r.conv_id, r.seq // 8, r.role, r.text) for r in fold_events(log).collect()]
+    assert sorted(got, key=str) == sorted(((c, -(1 << 58) if t is None else t, r or "", x or "") for c, t, r, x in rows), key=str)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 8))
