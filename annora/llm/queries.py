@@ -78,7 +78,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+#: CRC-32 of a text's UTF-8 bytes, by the reflected polynomial's table.
+CRC32 = """
+crc AS (SELECT list(list_reduce(range(0, 9), lambda c, j: CASE WHEN j = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+bytes AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+sums AS (SELECT doc_id, source, size, xor(list_reduce(b, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295), 4294967295)::BIGINT AS crc FROM bytes, crc)"""
+
+#: Components by spreading the smallest id along links (a, b), given in both directions.
+COMPONENTS = """
+reach(node, low) AS (SELECT a, a FROM link UNION SELECT l.b, r.low FROM reach r JOIN link l ON l.a = r.node WHERE r.low < l.b),
+part AS (SELECT node, min(low) AS low FROM reach GROUP BY node)"""
+
 SQL: dict[str, str] = {
+    "op1_sharding": f"""
+WITH {CRC32},
+r AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM sums),
+k AS (SELECT *, ('0x' || substr(md5('17/' || skey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift,
+  row_number() OVER (PARTITION BY skey ORDER BY h, doc_id NULLS FIRST, crc, size) AS rk, count(*) OVER (PARTITION BY skey) AS n FROM r),
+f AS (SELECT *, (rk - 1 + shift) / n AS f FROM k),
+g AS (SELECT *, row_number() OVER (ORDER BY f, skey, h, doc_id NULLS FIRST, crc, size) - 1 AS g, count(*) OVER () AS total FROM f),
+s AS (SELECT *, g * 16 // total AS shard FROM g)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, (g - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s""",
+    "op8_embedding": f"""
+WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+fine AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM u
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+link AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM fine p JOIN fine q ON p.label = q.label AND len(p.v) = len(q.v) AND p.vec_id <> q.vec_id
+  WHERE list_sum(list_transform(range(1, len(p.v) + 1), lambda i: p.v[i] * q.v[i])) / (p.n * q.n) >= 0.98::DOUBLE),
+{COMPONENTS},
+c AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(low, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(low, e.vec_id), true) AS kept
+FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN part ON node = e.vec_id""",
+    "op10_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1 : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY p.doc_id, q.doc_id),
+link AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+{COMPONENTS}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN part ON node = d.doc_id""",
     "op5_mixing": """
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
