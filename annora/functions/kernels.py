@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -45,17 +46,52 @@ def robust_prune(node: int, candidates: np.ndarray, vectors: np.ndarray, alpha:
     return chosen
 
 
-def nearest(vectors: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """The k nearest other rows of each row."""
+def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float, degree: int, block: int = 64) -> list[list[int]]:
+    """robust_prune() of many nodes at once, each with its pool; of a pool of more than 8 * degree the nearest so many count."""
+    out: list[list[int]] = [[] for _ in pools]
+    pools = [p[p != i] for i, p in zip(nodes, map(np.unique, pools), strict=True)]
+    by_size = np.argsort([len(p) for p in pools], kind="stable")
+    for at in range(0, len(pools), block):
+        part = by_size[at : at + block]
+        most = max(len(pools[r]) for r in part)
+        if not most:
+            continue
+        cand = np.full((len(part), most), -1, np.int64)
+        for r, which in enumerate(part):
+            cand[r, : len(pools[which])] = pools[which]
+        own = np.stack([l2_to(vectors[nodes[which]], vectors[cand[r]]) for r, which in enumerate(part)])
+        own[cand < 0] = np.inf
+        order = np.lexsort((cand, own), axis=1)[:, : 8 * degree]
+        cand, own = np.take_along_axis(cand, order, 1), np.take_along_axis(own, order, 1)
+        x = vectors[cand].astype(np.float64)
+        norms = (x * x).sum(2)
+        apart = norms[:, :, None] + norms[:, None, :] - 2 * x @ x.transpose(0, 2, 1)
+        alive, chosen = cand >= 0, np.full((len(part), degree), -1, np.int64)
+        for step in range(degree):
+            rows = np.flatnonzero(alive.any(1))
+            if not len(rows):
+                break
+            first = alive[rows].argmax(1)
+            chosen[rows, step] = cand[rows, first]
+            alive[rows] &= alpha * apart[rows, first] > own[rows]
+            alive[rows, first] = False
+        for r, which in enumerate(part):
+            out[which] = chosen[r][chosen[r] >= 0].tolist()
+    return out
+
+
+def nearest(vectors: np.ndarray, k: int, rows: np.ndarray | None = None, block: int = 512) -> np.ndarray:
+    """The k nearest other rows of each of the rows (of all, if not given)."""
     v = vectors.astype(np.float64)
     norms, n = (v * v).sum(1), len(v)
+    rows = np.arange(n) if rows is None else rows
     k = min(k, n - 1)
-    out = np.empty((n, k), np.int64)
-    for at in range(0, n, block):
-        d = norms[None] - 2 * v[at : at + block] @ v.T
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        part = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
-        out[at : at + block] = part
+    out = np.empty((len(rows), k), np.int64)
+    for at in range(0, len(rows), block):
+        some = rows[at : at + block]
+        d = norms[None] - 2 * v[some] @ v.T
+        d[np.arange(len(d)), some] = np.inf
+        out[at : at + block] = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
     return out
 
 
@@ -88,39 +124,72 @@ def build_graph(vectors: np.ndarray, *, degree: int, search_list: int, passes: i
     if n < 2:
         return [[] for _ in range(n)], start
     pools, spare = nearest(vectors, search_list), random_neighbours(n, degree, seed)
-    graph = [robust_prune(i, np.concatenate([pools[i], spare[i]]), vectors, alpha, degree) for i in range(n)]
+    graph = prune_many(np.arange(n), [np.concatenate(x) for x in zip(pools, spare, strict=True)], vectors, alpha, degree)
     for _ in range(max(1, passes)):
-        back: list[list[int]] = [[] for _ in range(n)]
-        for i, near in enumerate(graph):
-            for j in near:
-                back[j].append(i)
-        for i in range(n):
-            both = list(dict.fromkeys(graph[i] + back[i]))
-            graph[i] = robust_prune(i, np.array(both), vectors, alpha, degree) if len(both) > degree else both
+        graph = with_back_edges(graph, vectors, alpha, degree, range(n))
     return attach(graph, vectors, start, degree), start
 
 
+def with_back_edges(graph: list[list[int]], vectors: np.ndarray, alpha: float, degree: int, sources: Iterable[int]) -> list[list[int]]:
+    """graph with the edges of sources made mutual; nodes that get too many neighbours are pruned."""
+    back: dict[int, list[int]] = {}
+    for i in sources:
+        for j in graph[i]:
+            back.setdefault(j, []).append(i)
+    full = []
+    for j, more in back.items():
+        graph[j] = list(dict.fromkeys(graph[j] + more))
+        if len(graph[j]) > degree:
+            full.append(j)
+    for j, near in zip(full, prune_many(np.array(full, np.int64), [np.array(graph[j]) for j in full], vectors, alpha, degree), strict=True):
+        graph[j] = near
+    return graph
+
+
+def extend_graph(graph: list[list[int]], vectors: np.ndarray, start: int, *, degree: int, search_list: int, alpha: float) -> list[list[int]]:
+    """graph, of the first of vectors, with nodes for the others: each is linked to what pruning leaves of its nearest, and back."""
+    old, n = len(graph), len(vectors)
+    new = np.arange(old, n)
+    graph = graph + prune_many(new, list(nearest(vectors, search_list, new)), vectors, alpha, degree)
+    return attach(with_back_edges(graph, vectors, alpha, degree, range(old, n)), vectors, start, degree)
+
+
+def hops(graph: list, start: int, depth: int) -> np.ndarray:
+    """How many steps each node is from start; -1 beyond depth."""
+    out = np.full(len(graph), -1, np.int64)
+    out[start], todo = 0, [start]
+    for step in range(1, depth + 1):
+        todo = [int(j) for j in dict.fromkeys(int(j) for i in todo for j in graph[i]) if out[j] < 0]
+        out[todo] = step
+    return out
+
+
 def attach(graph: list[list[int]], vectors: np.ndarray, start: int, degree: int) -> list[list[int]]:
     """Hangs nodes that can't be reached below near ones that can; edges that were made for this are never given up again."""
     kept: set[tuple[int, int]] = set()
-    while not (seen := reached(graph, start)).all():
+    seen = reached(graph, start)
+    while not seen.all():
         lost = int(np.flatnonzero(~seen)[0])
         inside = np.flatnonzero(seen)
-        for at in inside[np.argsort(l2_to(vectors[lost], vectors[inside]), kind="stable")]:
-            near = graph[at]
-            free = [j for j in near if (at, j) not in kept]
-            if len(near) < degree or free:
-                if len(near) >= degree:
-                    far = max(free, key=lambda j: float(l2_to(vectors[at], vectors[j : j + 1])[0]))
-                    trial = [j for j in near if j != far] + [lost]
-                    old, graph[at] = near, trial
-                    if reached(graph, start).sum() <= seen.sum():
-                        graph[at] = old
-                        continue
-                else:
-                    graph[at] = [*near, lost]
+        near = inside[np.argsort(l2_to(vectors[lost], vectors[inside]), kind="stable")]
+        room = next((int(at) for at in near if len(graph[at]) < degree), None)
+        if room is not None:
+            graph[room] = [*graph[room], lost]
+            kept.add((room, lost))
+            seen |= reached(graph, lost)
+            continue
+        for at in map(int, near):
+            free = [j for j in graph[at] if (at, j) not in kept]
+            if not free:
+                continue
+            far = max(free, key=lambda j: float(l2_to(vectors[at], vectors[j : j + 1])[0]))
+            was, graph[at] = graph[at], [j for j in graph[at] if j != far] + [lost]
+            now = reached(graph, start)
+            if now.sum() > seen.sum():
                 kept.add((at, lost))
+                seen = now
                 break
+            graph[at] = was
         else:
             raise RuntimeError("the degree is too small to reach every node")
     return graph

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 import numpy as np
@@ -11,55 +13,171 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
-from annora.operators.graph import build_nodes, checked, graph_search, insert_nodes, last_writes
+from annora.operators.graph import build_nodes, checked, graph_search, insert_nodes, last_writes, shard_of, shards_for, split_shards, within_hops
 from annora.operators.knn import knn_exact
 from annora.operators.quantize import reranked
-from annora.operators.stats import centroid, drift
-from annora.sources.store import IndexStore
+from annora.sources.store import Conflict, IndexStore, Meta
+
+TRIES = 20
+
+
+@dataclass(frozen=True)
+class Tracker:
+    """The mean of an index, at build and now, and its counters."""
+
+    built: np.ndarray
+    total: np.ndarray
+    count: int
+    build_count: int
+
+    @property
+    def current(self) -> np.ndarray:
+        return self.total / self.count if self.count else self.built
+
+    @property
+    def inserts_since(self) -> int:
+        return max(0, self.count - self.build_count)
+
+    @property
+    def drift(self) -> float:
+        norm = float(np.linalg.norm(self.built))
+        return float(np.linalg.norm(self.current.astype(np.float32).astype(float) - self.built)) / norm if norm else 0.0
+
+    def add(self, vectors: np.ndarray) -> Tracker:
+        return replace(self, total=self.total + vectors.astype(float).sum(0), count=self.count + len(vectors))
+
+    def reset(self) -> Tracker:
+        """The mean of now as that of the build."""
+        return replace(self, built=self.current, build_count=self.count)
+
+    def needs_rebuild(self, cfg: IndexConfig) -> bool:
+        return self.build_count > 0 and (self.drift > cfg.drift_threshold or self.inserts_since / self.build_count > cfg.insert_ratio_threshold)
+
+
+class Rebuild:
+    """A build that goes on in the background."""
+
+    def __init__(self, index: VectorIndex, vectors: DataFrame) -> None:
+        self._sc, self._group = index.spark.sparkContext, f"rebuild-{uuid.uuid4().hex}"
+        pool = ThreadPoolExecutor(1)
+        self.future: Future = pool.submit(self._run, index, vectors)
+        pool.shutdown(wait=False)
+
+    def _run(self, index: VectorIndex, vectors: DataFrame) -> None:
+        self._sc.setJobGroup(self._group, "rebuild", interruptOnCancel=True)
+        index.build(vectors)
+
+    def cancel(self) -> None:
+        """Stops its jobs; nothing is committed, and result() raises."""
+        self._sc.cancelJobGroup(self._group)
+
+    def done(self) -> bool:
+        return self.future.done()
+
+    def result(self, timeout: float | None = None) -> None:
+        return self.future.result(timeout)
+
+
+def _sums(rows: DataFrame, dim: int) -> tuple[int, np.ndarray]:
+    """How many vectors, and the sum of each element, in double; partial per partition."""
+    each = rows.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n")).collect()
+    total = np.zeros(dim)
+    for r in each:
+        total[r.i] = r.s
+    return (each[0].n if each else 0), total
 
 
 class VectorIndex:
-    """An index at path. Readers see the newest committed version; a failed build or insert leaves the one before."""
+    """An index at path. Readers see the newest committed version; a failed build or insert leaves the one before.
+
+    Writers may work at the same time. An insert that finds another version committed meanwhile is done again on top of it. A build
+    holds exactly its vectors; what was inserted while it ran is inserted again after it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, config: IndexConfig | None = None, *, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
         self.spark, self.store, self.cfg, self.id_col, self.vec_col = spark, IndexStore(spark, path), config or IndexConfig(), id_col, vec_col
+        self._warm: DataFrame | None = None
 
-    def _meta(self):
-        version = self.store.version()
-        if version < 0:
+    def _newest(self) -> tuple[int, Meta]:
+        last, meta = self.store.newest()
+        if meta is None:
             raise RuntimeError("the index isn't built")
-        return version, self.store.meta(version).first()
+        return last, meta
+
+    def nodes(self) -> DataFrame:
+        return self.store.nodes(self._newest()[1])
+
+    def meta(self) -> Meta:
+        return self._newest()[1]
 
     def count(self) -> int:
-        version = self.store.version()
-        return self.store.nodes(version).count() if version >= 0 else 0
+        meta = self.store.newest()[1]
+        return meta.node_count if meta else 0
 
     def max_node_id(self) -> int:
-        version = self.store.version()
-        return self.store.nodes(version).agg(F.coalesce(F.max("node_id"), F.lit(-1))).first()[0] if version >= 0 else -1
+        """The largest node id that was given, or -1. Ids are unique in the index and stay with their node; a replaced node gets a new one."""
+        meta = self.store.newest()[1]
+        return meta.next_id - 1 if meta else -1
+
+    def lookup(self, ids: Sequence[int]) -> DataFrame:
+        """Nodes of these vector ids; only their shards' folders are read."""
+        meta = self.meta()
+        asked = self.spark.createDataFrame([(int(i),) for i in ids], "id long")
+        shards = {r.s for r in asked.select(shard_of(F.col("id"), meta.shards).alias("s")).distinct().collect()}
+        return self.store.nodes(meta, shards).where(F.col("id").isin([int(i) for i in ids]))
+
+    def lookup_nodes(self, node_ids: Sequence[int]) -> DataFrame:
+        """Nodes of these node ids; files are told apart by their least and largest one."""
+        return self.nodes().where(F.col("node_id").isin([int(i) for i in node_ids]))
+
+    def _rows(self, vectors: DataFrame, dim: int, order: str | None) -> tuple[str, DataFrame]:
+        """(id, vector), checked, the last of each id by order (the order of files and their rows, if not given), stored."""
+        seq = F.col(order) if order else F.monotonically_increasing_id()
+        named = vectors.select(F.col(self.id_col).alias("i"), F.col(self.vec_col).alias("v"), seq.alias("seq"))
+        rows = checked(named, dim, "i", "v", "seq")
+        return self.store.scratch(last_writes(rows).select("id", "vector"))
 
-    def build(self, vectors: DataFrame) -> None:
+    def _first_ids(self, dealt: DataFrame, first: int) -> dict[int, int]:
+        """The first node id of each shard's new rows; there are few shards beside the rows."""
+        out = {}
+        for r in sorted(dealt.groupBy("shard").count().collect()):
+            out[r.shard], first = first, first + r["count"]
+        return out
+
+    def build(self, vectors: DataFrame, order: str | None = None) -> None:
+        """order: the column that tells which of several rows of one id came last."""
         first = vectors.select(F.size(self.vec_col)).first()
         if first is None:
             raise ValueError("no vectors")
-        rows = checked(vectors, first[0], self.id_col, self.vec_col)
-        rows = last_writes(rows.withColumn("seq", F.monotonically_increasing_id())).select("id", "vector")
-        c = centroid(rows, "vector").first()
-        shards = max(1, -(-c.n // self.cfg.shard_rows))
-        nodes = build_nodes(rows, np.array(c.centroid, np.float32), c.n, self.cfg)
-
-        def meta(written: DataFrame) -> tuple:
-            n = written.count()
-            return (first[0], self.cfg.max_degree, shards, n, n, c.centroid, c.centroid, datetime.now(timezone.utc).replace(tzinfo=None))
-
-        self.store.commit(nodes, self.store.version() + 1, meta)
+        before = self.store.newest()[1]
+        name, rows = self._rows(vectors, first[0], order)
+        n, total = _sums(rows, first[0])
+        center = (total / n).astype(np.float32)
+        shards = shards_for(n, self.cfg.shard_rows)
+        dealt = rows.withColumn("shard", shard_of(F.col("id"), shards))
+        ids = self._first_ids(dealt, 0)
+        folder, _ = self.store.write(build_nodes(dealt, center, ids, self.cfg))
+        self.store.remove(name)
+        meta = Meta(first[0], self.cfg.max_degree, shards, n, n, n, center.tolist(), total.tolist(), datetime.now(timezone.utc).isoformat(), folder, {folder: sorted(ids)})
+        for _ in range(TRIES):
+            last, now = self.store.newest()
+            try:
+                self.store.commit(last + 1, meta)
+                break
+            except Conflict:
+                continue
+        else:
+            raise RuntimeError("other writers were faster each time")
+        if before and now and now.build == before.build and now.next_id > before.next_id:
+            late = self.store.nodes(now).where(F.col("node_id") >= before.next_id)
+            self.insert(late.select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col)))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, rank, id, score: exact up to cfg.exact_up_to rows, by graph beyond (or always, if that is 0)."""
         if k < 1:
             raise ValueError("k must be 1 or more")
-        version, meta = self._meta()
-        nodes = self.store.nodes(version)
+        meta = self.meta()
+        nodes = self.store.nodes(meta)
         queries = checked(queries, meta.dim, self.id_col, self.vec_col).select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col))
         if 0 < meta.node_count <= self.cfg.exact_up_to:
             return knn_exact(nodes.select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col)), queries, k, id_col=self.id_col, vec_col=self.vec_col)
@@ -73,33 +191,70 @@ class VectorIndex:
         table = vectors(found.select("id").distinct()) if callable(vectors) else vectors
         return reranked(found, table, queries, k, self.id_col, self.vec_col)
 
-    def insert(self, vectors: DataFrame) -> None:
+    def insert(self, vectors: DataFrame, order: str | None = None) -> None:
+        """Only shards that get rows, or that are split as the index grows, are read and written."""
         if vectors.isEmpty():
             return
-        version, meta = self._meta()
-        rows = checked(vectors, meta.dim, self.id_col, self.vec_col)
-        rows = last_writes(rows.withColumn("seq", F.monotonically_increasing_id()))
-        center = np.array(meta.centroid, np.float32)
+        name, rows = self._rows(vectors, self.meta().dim, order)
+        try:
+            for _ in range(TRIES):
+                last, meta = self._newest()
+                now, folder = self._extended(meta, rows)
+                try:
+                    return self.store.commit(last + 1, now)
+                except Conflict:
+                    self.store.remove(f"data/{folder}")
+            raise RuntimeError("other writers were faster each time")
+        finally:
+            self.store.remove(name)
 
-        def changed(written: DataFrame) -> tuple:
-            now = centroid(written, "vector").first()
-            return (meta.dim, meta.max_degree, meta.shards, now.n, meta.vectors_at_build, meta.centroid, now.centroid, meta.built_at)
+    def _extended(self, meta: Meta, rows: DataFrame) -> tuple[Meta, str]:
+        n_new = rows.count()
+        shards = max(meta.shards, shards_for(meta.node_count + n_new, self.cfg.shard_rows))
+        split = split_shards(meta.shards, shards)
+        dealt = rows.withColumn("shard", shard_of(F.col("id"), shards))
+        ids = self._first_ids(dealt, meta.next_id)
+        was = {r.s for r in rows.select(shard_of(F.col("id"), meta.shards).alias("s")).distinct().collect()}
+        touched = was | set(split)
+        old = self.store.nodes(meta, touched)
+        rebuilt = set(split) | {s for children in split.values() for s in children}
+        cfg = replace(self.cfg, max_degree=meta.max_degree)
+        folder, written = self.store.write(insert_nodes(old.withColumn("shard", shard_of(F.col("id"), shards)), dealt, np.array(meta.centroid, np.float32), ids, rebuilt, cfg))
+        own = sorted(r.shard for r in written.select("shard").distinct().collect())
+        n_was, sum_was = _sums(old, meta.dim)
+        n_now, sum_now = _sums(written, meta.dim)
+        kept = {f: [s for s in live if s not in touched] for f, live in meta.folders.items()}
+        folders = {f: live for f, live in kept.items() if live} | {folder: own}
+        total = np.array(meta.total) + sum_now - sum_was
+        return replace(meta, shards=shards, node_count=meta.node_count + n_now - n_was, next_id=meta.next_id + n_new, total=total.tolist(), folders=folders), folder
 
-        self.store.commit(insert_nodes(self.store.nodes(version), rows, meta.shards, center, self.cfg), version + 1, changed)
+    def tracker(self) -> Tracker:
+        meta = self.meta()
+        return Tracker(np.array(meta.centroid, np.float32).astype(float), np.array(meta.total), meta.node_count, meta.vectors_at_build)
 
     def drift(self) -> DataFrame:
         """One row: drift of the mean, inserts per vector at build, and whether either calls for a rebuild."""
-        version, _ = self._meta()
-        ratio = (F.greatest(F.col("node_count") - F.col("vectors_at_build"), F.lit(0))) / F.col("vectors_at_build")
-        row = self.store.meta(version).select(drift(F.col("current"), F.col("centroid")).alias("drift"), ratio.alias("insert_ratio"))
-        return row.withColumn("needs_rebuild", (F.col("drift") > self.cfg.drift_threshold) | (F.col("insert_ratio") > self.cfg.insert_ratio_threshold))
+        t = self.tracker()
+        return self.spark.createDataFrame([(t.drift, t.inserts_since / t.build_count if t.build_count else 0.0, t.needs_rebuild(self.cfg))], "drift double, insert_ratio double, needs_rebuild boolean")
 
     def needs_rebuild(self) -> bool:
-        return self.store.version() >= 0 and self.drift().first().needs_rebuild
+        return self.store.newest()[1] is not None and self.tracker().needs_rebuild(self.cfg)
 
-    def rebuild_async(self, vectors: DataFrame) -> Future:
-        """build() in the background; searches go on with the version before until it is committed. The future carries any error."""
-        pool = ThreadPoolExecutor(1)
-        done = pool.submit(self.build, vectors)
-        pool.shutdown(wait=False)
-        return done
+    def rebuild_async(self, vectors: DataFrame) -> Rebuild:
+        """build() in the background; searches go on with the version before until it is committed. result() carries any error."""
+        return Rebuild(self, vectors)
+
+    def warm(self, depth: int = 2) -> int:
+        """Keeps the nodes near the entries in memory until close(); how many there are."""
+        self.close()
+        nodes = self.nodes()
+        self._warm = nodes.join(within_hops(nodes, depth).select("node_id", "hop"), "node_id").persist()
+        return self._warm.count()
+
+    def close(self) -> None:
+        if self._warm is not None:
+            self._warm.unpersist()
+            self._warm = None
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        return self.store.vacuum(keep)

@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
 from annora.functions import kernels
 from annora.operators.knn import query_blocks
+from annora.sources.store import NODES
 
-NODES = "shard int, node_id long, id long, vector array<float>, code binary, sq_norm double, l1_norm double, neighbors array<long>, entry boolean"
 
-
-def checked(vectors: DataFrame, dim: int, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vector) with an error where a vector is null, of another length or holds null or non-finite elements."""
+def checked(vectors: DataFrame, dim: int, id_col: str, vec_col: str, *keep: str) -> DataFrame:
+    """(id, vector, keep) with an error where a vector is null, of another length or holds null or non-finite elements."""
     v = F.col(vec_col)
     fine = v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v).otherwise(F.raise_error(F.concat(F.lit("bad vector for id "), F.col(id_col).cast("string")))).cast("array<float>").alias("vector"))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v).otherwise(F.raise_error(F.concat(F.lit("bad vector for id "), F.col(id_col).cast("string")))).cast("array<float>").alias("vector"), *keep)
 
 
 def last_writes(vectors: DataFrame, order: str = "seq") -> DataFrame:
@@ -29,59 +31,129 @@ def last_writes(vectors: DataFrame, order: str = "seq") -> DataFrame:
     return vectors.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def build_nodes(vectors: DataFrame, center: np.ndarray, rows: int, cfg: IndexConfig) -> DataFrame:
-    """Nodes (see NODES) of vectors (id, vector). Rows go to shards by hash of their id, so that a shard holds about cfg.shard_rows at most."""
-    shards = max(1, math.ceil(rows / cfg.shard_rows))
-    centroid = [float(x) for x in center]
+def shards_for(rows: int, shard_rows: int) -> int:
+    """So many that the largest is expected to hold shard_rows at most: dealing to a number that isn't a power of two leaves some twice as full as others."""
+    return 1 if rows <= shard_rows else math.ceil(2 * rows / shard_rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        v = np.stack(pdf.vector.to_numpy()).astype(np.float32)
-        shard = int(pdf["shard"].iloc[0])
-        graph, start = kernels.build_graph(v, degree=cfg.max_degree, search_list=cfg.search_list, passes=cfg.build_passes, alpha=cfg.alpha, seed=cfg.seed + shard)
-        return _frame(shard, pdf.id.to_numpy(), v, graph, start, np.array(centroid, np.float32))
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(run, NODES)
+def _level(shards: int) -> int:
+    return 1 << (shards.bit_length() - 1)
 
 
-def _frame(shard: int, ids: np.ndarray, v: np.ndarray, graph: list[list[int]], start: int, centroid: np.ndarray) -> pd.DataFrame:
-    codes, sq, l1 = kernels.encode(v, centroid)
-    n = np.arange(len(ids), dtype=np.int64)
-    return pd.DataFrame({"shard": np.int32(shard), "node_id": n, "id": ids, "vector": list(v), "code": [c.tobytes() for c in codes], "sq_norm": sq, "l1_norm": l1, "neighbors": [np.array(g, np.int64) for g in graph], "entry": n == start})
+def shard_of(id_col: Column, shards: int) -> Column:
+    """Linear hashing: one more shard takes rows from a single one."""
+    low = _level(shards)
+    r = F.pmod(F.xxhash64(id_col), F.lit(2 * low)).cast("int")
+    return F.when(r < shards, r).otherwise(r - low)
+
 
+def split_shards(old: int, new: int) -> dict[int, set[int]]:
+    """Which of the old shards give rows to which new ones when their number grows."""
+    out: dict[int, set[int]] = {}
+    for shard in range(old, new):
+        parent = shard
+        while parent >= old:
+            parent -= _level(parent)
+        out.setdefault(parent, set()).add(shard)
+    return out
 
-def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, int]:
-    pdf = pdf.sort_values("node_id")
-    v = np.stack(pdf.vector.to_numpy()).astype(np.float32)
-    codes = np.stack([np.frombuffer(c, np.uint8) for c in pdf.code])
-    return pdf, v, kernels.signs(codes, v.shape[1]), int(pdf.node_id[pdf.entry].iloc[0])
 
+def build_nodes(vectors: DataFrame, center: np.ndarray, first_ids: dict[int, int], cfg: IndexConfig) -> DataFrame:
+    """Nodes (see NODES) of vectors (shard, id, vector). Node ids are counted from a shard's own first one, in order of id."""
+    centroid = np.array(center, np.float32)
 
-def _searcher(shared, centroid: np.ndarray, k: int, rerank: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, v, sign, start = _arrays(pdf)
-        own, graph, sq, l1 = pdf.id.to_numpy(), pdf.neighbors.to_list(), pdf.sq_norm.to_numpy(), pdf.l1_norm.to_numpy()
-        out = []
-        for qid, q in zip(*shared.value, strict=True):
-            best = kernels.beam_search(q, start, width, graph, centroid, sign, sq, l1)[:rerank]
-            d = kernels.l2_to(q, v[best])
-            out += [(qid, own[best[i]], d[i]) for i in np.lexsort((own[best], d))[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+        pdf = pdf.sort_values("id")
+        shard = int(pdf["shard"].iloc[0])
+        v = np.stack(pdf.vector.to_numpy()).astype(np.float32)
+        return _frame(shard, first_ids[shard] + np.arange(len(pdf)), pdf.id.to_numpy(), v, *_built(v, shard, cfg), centroid)
+
+    return vectors.groupBy("shard").applyInPandas(run, NODES)
+
+
+def _built(v: np.ndarray, shard: int, cfg: IndexConfig) -> tuple[list[list[int]], int]:
+    return kernels.build_graph(v, degree=cfg.max_degree, search_list=cfg.search_list, passes=cfg.build_passes, alpha=cfg.alpha, seed=cfg.seed + shard)
 
-    return run
+
+def _frame(shard: int, node_ids: np.ndarray, ids: np.ndarray, v: np.ndarray, graph: list[list[int]], start: int, centroid: np.ndarray) -> pd.DataFrame:
+    codes, sq, l1 = kernels.encode(v, centroid)
+    frame = pd.DataFrame({"shard": np.int32(shard), "node_id": node_ids.astype(np.int64), "id": ids, "vector": list(v), "code": [c.tobytes() for c in codes], "sq_norm": sq, "l1_norm": l1, "neighbors": [node_ids[np.array(g, np.int64)].astype(np.int64) for g in graph], "entry": np.arange(len(ids)) == start})
+    return frame.sort_values("node_id")
+
+
+class Shard:
+    """A shard's nodes as arrays; neighbours are places in them."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.take(pc.sort_indices(rows["node_id"]))
+        self.node_ids, self.ids = rows["node_id"].to_numpy(), rows["id"].to_numpy()
+        flat, size = self._lists(rows["neighbors"])
+        place = np.minimum(np.searchsorted(self.node_ids, flat), max(0, len(self.node_ids) - 1))
+        known = self.node_ids[place] == flat if len(flat) else np.empty(0, bool)
+        cuts = np.cumsum(size)[:-1]
+        self.graph = [p[k] for p, k in zip(np.split(place, cuts), np.split(known, cuts), strict=True)]
+        entry = np.flatnonzero(rows["entry"].to_numpy(zero_copy_only=False))
+        if len(entry) != 1:
+            raise RuntimeError("a shard's file is incomplete or was split")
+        self.start, self.rows = int(entry[0]), rows
+
+    @staticmethod
+    def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        column = column.combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+
+    def vectors(self) -> np.ndarray:
+        return self._lists(self.rows["vector"])[0].reshape(len(self.ids), -1)
+
+    def signs(self, dim: int) -> np.ndarray:
+        return kernels.signs(np.stack([np.frombuffer(c, np.uint8) for c in self.rows["code"].to_pylist()]), dim)
+
+
+def by_shard(nodes: DataFrame, work: Callable[[int, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """work on each shard of nodes, whose first column is shard. Nothing is shuffled: a shard's rows are neighbours in one task, as they are stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and of[a] != shard:
+                    yield work(int(shard), pa.Table.from_batches(held))
+                    held = []
+                shard = of[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield work(int(shard), pa.Table.from_batches(held))
+
+    return nodes.mapInArrow(run, schema)
 
 
 def graph_search(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, *, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
-    """The k nearest by beam search over codes in each shard and exact re-ranking: query_id, rank, id, score. Queries go out in blocks."""
+    """The k nearest by beam search over codes in each shard and exact re-ranking: query_id, rank, id, score. Queries go out in blocks; nodes aren't shuffled."""
     rerank, width = cfg.beam(k)
     centroid = np.array(center, np.float32)
     sc, found = nodes.sparkSession.sparkContext, None
     schema = "query_id long, id long, score double"
+
+    def searcher(shared):
+        def work(_: int, rows: pa.Table) -> pa.RecordBatch:
+            shard = Shard(rows)
+            v, sq, l1 = shard.vectors(), rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm")
+            sign, out = shard.signs(v.shape[1]), []
+            for qid, q in zip(*shared.value, strict=True):
+                best = kernels.beam_search(q, shard.start, width, shard.graph, centroid, sign, sq, l1)[:rerank]
+                d = kernels.l2_to(q, v[best])
+                first = np.lexsort((shard.ids[best], d))[:k]
+                out.append((np.full(len(first), qid), shard.ids[best[first]], d[first]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
+
+        return work
+
     for ids, rows in query_blocks(queries.select(F.col(id_col).cast("long"), vec_col), block_bytes, len(centroid)):
         if rows.shape[1] != len(centroid):
             raise ValueError(f"queries have {rows.shape[1]} elements, the index {len(centroid)}")
-        part = nodes.groupBy("shard").applyInPandas(_searcher(sc.broadcast((ids, rows)), centroid, k, rerank, width), schema)
+        part = by_shard(nodes, searcher(sc.broadcast((ids, rows))), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = nodes.sparkSession.createDataFrame([], schema)
@@ -89,61 +161,69 @@ def graph_search(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: in
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def insert_nodes(nodes: DataFrame, new: DataFrame, shards: int, center: np.ndarray, cfg: IndexConfig) -> DataFrame:
-    """nodes with the vectors new (id, vector, order of arrival seq): each is linked to the best that beam search finds, and back; full neighbours are pruned.
+def rows_of(shard: Shard, column: str) -> np.ndarray:
+    return shard.rows[column].to_numpy()
+
+
+def insert_nodes(nodes: DataFrame, new: DataFrame, center: np.ndarray, first_ids: dict[int, int], rebuilt: set[int], cfg: IndexConfig) -> DataFrame:
+    """nodes, dealt by shard, with the vectors new (shard, id, vector): linked to the nearest of their shard, and back; what gets too many neighbours is pruned.
 
-    A known id replaces its row: the old node goes, with the edges to it.
+    A known id replaces its row: the old node goes, with the edges to it. Shards in rebuilt are built anew from all they hold.
     """
     centroid = np.array(center, np.float32)
 
     def run(key: tuple, old: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-        if not len(old):
-            fresh = fresh.sort_values("id")
-            v = np.stack(fresh.vector.to_numpy()).astype(np.float32)
-            graph, start = kernels.build_graph(v, degree=cfg.max_degree, search_list=cfg.search_list, passes=cfg.build_passes, alpha=cfg.alpha, seed=cfg.seed)
-            return _frame(int(key[0]), fresh.id.to_numpy(), v, graph, start, centroid)
-        if not len(fresh):
-            return old
-        old, v, _, start = _arrays(old)
-        fresh = fresh.sort_values(["seq", "id"])
+        shard = int(key[0])
+        old, fresh = old.sort_values("node_id"), fresh.sort_values("id")
         gone = old.id.isin(fresh.id).to_numpy()
-        place = np.cumsum(~gone) - 1
-        graph = [[int(place[j]) for j in g if not gone[j]] for g, lost in zip(old.neighbors, gone, strict=True) if not lost]
-        kept = v[~gone]
-        ids = np.concatenate([old.id.to_numpy()[~gone], fresh.id.to_numpy()])
-        v = np.concatenate([kept, np.stack(fresh.vector.to_numpy()).astype(np.float32)]) if len(kept) else np.stack(fresh.vector.to_numpy()).astype(np.float32)
-        codes, sq, l1 = kernels.encode(v, centroid)
-        sign = kernels.signs(codes, v.shape[1])
-        start = int(place[start]) if len(kept) and not gone[start] else (kernels.medoid(kept) if len(kept) else 0)
-        if not len(graph):
-            graph.append([])
-        for i in range(len(graph), len(v)):
-            near = kernels.beam_search(v[i], start, cfg.search_list, graph, centroid, sign[:i], sq[:i], l1[:i])[: cfg.max_degree].tolist()
-            graph.append(near)
-            for j in near:
-                graph[j] = [*graph[j], i] if len(graph[j]) < cfg.max_degree else kernels.robust_prune(j, np.array([*graph[j], i]), v, cfg.alpha, cfg.max_degree)
-        return _frame(int(key[0]), ids, v, kernels.attach(graph, v, start, cfg.max_degree), start, centroid)
-
-    dealt = new.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return nodes.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(run, NODES)
+        kept = old[~gone]
+        ids = np.concatenate([kept.id.to_numpy(np.int64), fresh.id.to_numpy(np.int64)])
+        node_ids = np.concatenate([kept.node_id.to_numpy(np.int64), first_ids.get(shard, 0) + np.arange(len(fresh))])
+        v = np.stack([*kept.vector, *fresh.vector]).astype(np.float32)
+        if shard in rebuilt or not len(kept) or not kept.entry.any():
+            return _frame(shard, node_ids, ids, v, *_built(v, shard, cfg), centroid)
+        place = {int(x): i for i, x in enumerate(kept.node_id)}
+        graph = [[place[j] for j in map(int, near) if j in place] for near in kept.neighbors]
+        start = int(np.flatnonzero(kept.entry)[0])
+        graph = kernels.extend_graph(graph, v, start, degree=cfg.max_degree, search_list=cfg.search_list, alpha=cfg.alpha)
+        return _frame(shard, node_ids, ids, v, graph, start, centroid)
+
+    return nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(run, NODES)
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
     """(nodes, reached): how many nodes there are, and how many the entries reach."""
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        start = int(pdf.node_id[pdf.entry].iloc[0])
-        return pd.DataFrame({"nodes": [len(pdf)], "reached": [int(kernels.reached([list(map(int, g)) for g in pdf.neighbors], start).sum())]})
+    def count(_: int, rows: pa.Table) -> pa.RecordBatch:
+        shard = Shard(rows)
+        return pa.RecordBatch.from_arrays([pa.array([len(shard.ids)]), pa.array([int(kernels.reached(shard.graph, shard.start).sum())])], names=["nodes", "reached"])
 
-    per = nodes.select("shard", "node_id", "neighbors", "entry").groupBy("shard").applyInPandas(count, "nodes long, reached long")
+    per = by_shard(nodes.select("shard", "node_id", "id", "neighbors", "entry"), count, "nodes long, reached long")
     return per.agg(F.sum("nodes").alias("nodes"), F.sum("reached").alias("reached"))
 
 
+def within_hops(nodes: DataFrame, depth: int) -> DataFrame:
+    """(shard, node_id, hop) of the nodes that are depth edges at most from their shard's entry."""
+
+    def near(number: int, rows: pa.Table) -> pa.RecordBatch:
+        shard = Shard(rows)
+        hop = kernels.hops(shard.graph, shard.start, depth)
+        at = np.flatnonzero(hop >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(shard.node_ids[at]), pa.array(hop[at].astype(np.int32))], names=["shard", "node_id", "hop"])
+
+    return by_shard(nodes.select("shard", "node_id", "id", "neighbors", "entry"), near, "shard int, node_id long, hop int")
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("shard", F.col("node_id").alias("src"), F.posexplode("neighbors").alias("pos", "dst"))
 
 
+def with_neighbours(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """nodes whose neighbours are those that changes (node_id, neighbors) states, where it does."""
+    new = changes.select("node_id", F.col("neighbors").alias("_new"))
+    return nodes.join(new, "node_id", "left").withColumn("neighbors", F.coalesce("_new", "neighbors")).select(*nodes.columns)
+
+
 def degree_stats(nodes: DataFrame, most: int) -> DataFrame:
     d = F.size("neighbors")
     return nodes.agg(F.min(d).alias("min_degree"), F.max(d).alias("max_degree"), F.avg(d).alias("avg_degree"), F.count_if(d > most).alias("over"), F.count_if(d == 0).alias("alone"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annora.functions.columns import asym, code_hex, l1_norm, l2sq, minus, sign_dot, sign_words, sq_norm
+from annora.functions.columns import code_hex, l1_norm, l2sq, minus, sign_dot, sign_words, sq_norm
+from annora.operators.knn import RESULT, best_of, matrix_of, nearest_in_partitions, query_blocks
 from annora.operators.stats import centroid
 
 
@@ -17,16 +20,32 @@ def encoded(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
 
 def pairs(enc: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query (a stated, broadcast set of encoded rows) against every encoded row."""
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("sq_norm").alias("qsq"), F.col("words").alias("qw")))
-    return enc.join(q).withColumn("dot", sign_dot(F.col("qv"), F.col("v")))
+    """Every query (a stated set of encoded rows) against every encoded row; Spark broadcasts the queries if they are small enough."""
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("sq_norm").alias("qsq"), F.col("words").alias("qw"))
+    return enc.crossJoin(q).withColumn("dot", sign_dot(F.col("qv"), F.col("v")))
 
 
-def top_estimates(enc: DataFrame, queries: DataFrame, m: int) -> DataFrame:
-    """The m rows of the smallest estimated distance for each query: query_id, rank, id, score."""
-    scored = pairs(enc, queries).select("query_id", "id", asym(F.col("qsq"), F.col("sq_norm"), F.col("l1_norm"), F.col("dot")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy("score", "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m).select("query_id", "rank", "id", "score")
+def _asym_block(q: np.ndarray, sign: np.ndarray, sq: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = (q * q).sum(1)[:, None] + sq - 2 * sq * (q @ sign.T) / l1
+    return np.where(l1 == 0, sq, d)
+
+
+def top_estimates(enc: DataFrame, queries: DataFrame, m: int, block_bytes: int = 64 << 20) -> DataFrame:
+    """The m rows of the smallest estimated distance for each query: query_id, rank, id, score.
+
+    Each partition keeps its m best, as in exact search; queries are broadcast in blocks of bounded bytes.
+    """
+    first = queries.select("dim").head()
+    sc, found = enc.sparkSession.sparkContext, enc.sparkSession.createDataFrame([], RESULT)
+    rows = enc.select("id", "v", "sq_norm", "l1_norm")
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return np.where(matrix_of(batch.column(1)) >= 0, 1.0, -1.0), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+
+    for ids, q in query_blocks(queries.select("id", "v"), block_bytes, 2 * first[0], m, np.float64) if first else ():
+        found = found.unionByName(nearest_in_partitions(rows, sc.broadcast((ids, q)), m, arrays, _asym_block))
+    return best_of(found, m)
 
 
 def reranked(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
 from annora.functions import columns as V
+from annora.functions.codec import pack_floats, unpack_floats
 from annora.index import VectorIndex
 from annora.operators import graph as G
 from annora.operators.evaluate import recall, spearman
 from annora.operators.knn import knn_exact
-from annora.operators.metavec import meta_vectors, stratum
+from annora.operators.metavec import meta_levels, meta_vectors, stratum
 from annora.operators.quantize import encoded, pairs, reranked, top_estimates
 from annora.operators.stats import centroid, drift, medoid
 from annora.session import shared_dir
@@ -52,16 +53,28 @@ def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("vec_id", "embedding")
 
 
+#: Queries whose SQL is exact stay exact at every size.
+EXACT = IndexConfig(exact_up_to=1 << 62)
+
+
 def index_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(index(spark, embeddings(spark, sf_dir)).count(),)], "n long")
 
 
 def max_node_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).agg(F.coalesce(F.max("vec_id"), F.lit(-1)).alias("max_id"))
+    """Of the nodes themselves; the index's own answer must be the same."""
+    made = index(spark, embeddings(spark, sf_dir))
+    return made.nodes().agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("max_id")).where(F.col("max_id") == made.max_node_id())
 
 
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).where("vec_id in (0, 7, 123)").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+    found = index(spark, embeddings(spark, sf_dir)).lookup([0, 7, 123])
+    return found.select(F.col("id").alias("vec_id"), F.size("vector").cast("long").alias("dim"), F.col("vector").alias("embedding"))
+
+
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir).select("vec_id", pack_floats("embedding").alias("blob"))
+    return e.select("vec_id", F.length("blob").cast("long").alias("bytes"), unpack_floats("blob").alias("embedding"))
 
 
 def centroid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +107,8 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    q = F.broadcast(asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    return e.join(q).select("query_id", "vec_id", F.round(V.l2sq(F.col("q"), F.col("embedding")), 6).alias("score"))
+    q = asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.crossJoin(q).select("query_id", "vec_id", F.round(V.l2sq(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
 def knn_exact_single(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,14 +187,39 @@ def ann_search_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = index(spark, embeddings(spark, sf_dir))
-    return made.store.nodes(made.store.version())
+    return index(spark, embeddings(spark, sf_dir)).nodes()
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the graph finds nine in ten of the true neighbours: with a beam of 200, and after an insert into it."""
+    e, cfg = embeddings(spark, sf_dir), IndexConfig(exact_up_to=0, rerank_top_n=200, ef_search=200)
+    base, batch = split(e)
+    whole, grown, true = index(spark, e, cfg), index(spark, base, cfg), knn_exact(e, asked(e), K)
+    grown.insert(batch)
+    rows = [recall(made.search(asked(e), K), true, K).select(F.lit(name).alias("index"), (F.col("recall") >= 0.9).alias("enough")) for name, made in (("built", whole), ("grown", grown))]
+    return rows[0].unionByName(rows[1])
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edges(_nodes(spark, sf_dir))
 
 
+def graph_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every graph, built or grown: edges go to other nodes, which are there, once each; degrees are from 1 to R; all nodes are reached."""
+    base, batch = split(embeddings(spark, sf_dir))
+    grown = index(spark, base)
+    grown.insert(batch)
+    out = None
+    for name, nodes in (("built", _nodes(spark, sf_dir)), ("grown", grown.nodes())):
+        e = G.edges(nodes).join(nodes.select(F.col("node_id").alias("dst"), F.lit(True).alias("known")), "dst", "left")
+        sane = e.agg((F.count_if(F.col("known").isNull() | (F.col("src") == F.col("dst"))) == 0).alias("edges_sane"), (F.count("*") == F.count_distinct("src", "dst")).alias("edges_distinct"))
+        d = G.degree_stats(nodes, IndexConfig().max_degree).select(((F.col("over") == 0) & (F.col("alone") == 0)).alias("degrees_bounded"))
+        r = G.reachable(nodes).select((F.col("nodes") == F.col("reached")).alias("all_reached"), "nodes")
+        row = sane.crossJoin(d).crossJoin(r).withColumn("index", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degree_stats(_nodes(spark, sf_dir), IndexConfig().max_degree)
 
@@ -202,7 +240,8 @@ def random_init_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
         pdf = pdf.sort_values("vec_id")
         return pd.DataFrame({"vec_id": pdf.vec_id, "degree": [len({*x.tolist()} - {i}) for i, x in enumerate(random_neighbours(len(pdf), r, seed))]})
 
-    one = e.select("vec_id", F.floor(F.col("vec_id") / IndexConfig().shard_rows).alias("shard"))
+    shards = max(1, -(-e.count() // IndexConfig().shard_rows))
+    one = e.select("vec_id", F.pmod("vec_id", F.lit(shards)).alias("shard"))
     return one.groupBy("shard").applyInPandas(run, "vec_id long, degree long")
 
 
@@ -210,13 +249,13 @@ def insert_then_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, batch = split(embeddings(spark, sf_dir))
     made = index(spark, base)
     made.insert(batch)
-    return made.store.nodes(made.store.version()).agg(F.count("*").alias("n"))
+    return made.nodes().agg(F.count("*").alias("n")).where(F.col("n") == made.count())
 
 
 def insert_then_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     base, batch = split(e)
-    made = index(spark, base)
+    made = index(spark, base, EXACT)
     made.insert(batch)
     return ranked(made.search(asked(e), K))
 
@@ -239,13 +278,19 @@ def needs_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_with_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the graph, with a beam of half of the small tables' rows."""
     e = embeddings(spark, sf_dir)
-    return ranked(index(spark, e).search_with_rerank(asked(e), K, e))
+    return ranked(index(spark, e, IndexConfig(exact_up_to=0, rerank_top_n=250, ef_search=250)).search_with_rerank(asked(e), K, e))
 
 
 def rerank_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With vectors that a function fetches for the candidates' ids; some are missing."""
     e = embeddings(spark, sf_dir)
-    return ranked(index(spark, e).search_with_rerank(asked(e), K, e.where("vec_id % 3 <> 0")))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return e.where("vec_id % 3 <> 0").join(ids.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
+
+    return ranked(index(spark, e, EXACT).search_with_rerank(asked(e), K, fetch))
 
 
 def upsert_last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,8 +300,8 @@ def upsert_last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = index(spark, embeddings(spark, sf_dir))
-    return made.store.meta(made.store.version()).select("dim", "max_degree", "node_count", "vectors_at_build")
+    m = index(spark, embeddings(spark, sf_dir)).meta()
+    return spark.createDataFrame([(m.dim, m.max_degree, m.node_count, m.vectors_at_build)], "dim int, max_degree int, node_count long, vectors_at_build long")
 
 
 def metavec_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +311,20 @@ def metavec_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-NAMES = """vector_scan index_count max_node_id point_lookup encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
+def metavec_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, searched by themselves, and what that gives searched by itself again: three distances, then two."""
+    made = meta_levels(embeddings(spark, sf_dir), [3, 2])
+    return made.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL function, used in a query text."""
+    V.register(spark)
+    e = embeddings(spark, sf_dir)
+    return spark.sql("SELECT b.vec_id, round(l2sq(a.embedding, b.embedding), 6) AS score FROM {e} a JOIN {e} b ON a.vec_id = 0 AND b.label = a.label", e=e)
+
+
+NAMES = """vector_scan index_count max_node_id point_lookup codec_roundtrip ann_recall graph_invariants metavec_level2 sql_functions encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
 rabitq_asym rabitq_sym rabitq_paper rabitq_topm two_stage_flat negative_estimates spearman_rho recall_rabitq ann_search_default ann_search_narrow graph_edges degree_stats
 graph_reachability random_init_degree insert_then_count insert_then_search_exact drift_ratio needs_rebuild search_with_rerank rerank_missing_ids upsert_last_writer_wins
 index_meta metavec_level1""".split()
@@ -297,12 +355,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS
 SELECT query_id, rk::INTEGER AS rank, vec_id, round(d, 6) AS score FROM r WHERE rk <= {k}"""
 
 
+def _level(was: str, now: str, size: int) -> str:
+    d = f"SELECT q.vec_id AS id, o.vec_id AS other, {L2.format(a='q.v', b='o.v')} AS d FROM {was} q, {was} o"
+    r = f"SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rk FROM ({d})"
+    return f"{now} AS (SELECT vec_id, list_concat(any_value(v), list(d * 0.5::DOUBLE ORDER BY rk)) AS v FROM ({r}) JOIN {was} ON vec_id = id WHERE rk <= {size} GROUP BY vec_id)"
+
+
 CUT = "(SELECT floor(count(*) / 1.31)::BIGINT FROM embeddings)"
 SQL: dict[str, str] = {
     "vector_scan": "SELECT vec_id, embedding FROM embeddings",
     "index_count": "SELECT count(*) AS n FROM embeddings",
-    "max_node_id": "SELECT coalesce(max(vec_id), -1) AS max_id FROM embeddings",
-    "point_lookup": "SELECT vec_id, label, len(embedding)::BIGINT AS dim FROM embeddings WHERE vec_id IN (0, 7, 123)",
+    "max_node_id": "SELECT count(*) - 1 AS max_id FROM embeddings",
+    "point_lookup": "SELECT vec_id, len(embedding)::BIGINT AS dim, embedding FROM embeddings WHERE vec_id IN (0, 7, 123)",
+    "codec_roundtrip": "SELECT vec_id, (4 * len(embedding))::BIGINT AS bytes, embedding FROM embeddings",
+    "ann_recall": "SELECT unnest(['built', 'grown']) AS index, true AS enough",
+    "graph_invariants": "SELECT unnest(['built', 'grown']) AS index, true AS edges_sane, true AS edges_distinct, true AS degrees_bounded, true AS all_reached, (SELECT count(*) FROM embeddings) AS nodes",
+    "sql_functions": f"SELECT o.vec_id, round({L2.format(a='q.embedding', b='o.embedding')}, 6) AS score FROM embeddings q JOIN embeddings o ON q.vec_id = 0 AND o.label = q.label",
+    "metavec_level2": f"""WITH v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), {_level('v0', 'v1', 3)}, {_level('v1', 'v2', 2)}
+SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 6) AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM v2)""",
     "centroid": f"WITH {CEN} SELECT (i - 1)::BIGINT AS i, round(c[i]::DOUBLE, 6) AS x FROM (SELECT unnest(range(1, len(c) + 1)) AS i, c FROM cen)",
     "medoid": f"WITH {CEN} SELECT vec_id, round(d, 6) AS score FROM (SELECT vec_id, {L2.format(a='embedding', b='c')} AS d FROM embeddings, cen) ORDER BY d, vec_id LIMIT 1",
     "encode_norms": f"WITH {ENC} SELECT vec_id, round(sq, 6) AS sq_norm, round(l1, 6) AS l1_norm FROM enc",

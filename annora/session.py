@@ -23,7 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests).
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master alone, a temporary one where it is unset.
 
     Also sees to it that DataFrame.checkpoint() works.
     """
@@ -33,5 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="annora-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

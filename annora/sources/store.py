@@ -1,35 +1,146 @@
-"""The versioned Parquet store of an index: nodes first, then one row of meta, whose arrival is the commit."""
+"""The versioned store of an index: Parquet folders, one file per shard, and a record per version that names the shards in use."""
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+import uuid
+from dataclasses import asdict, dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-META = "dim int, max_degree int, shards int, node_count long, vectors_at_build long, centroid array<float>, current array<float>, built_at timestamp"
+NODES = "shard int, node_id long, id long, vector array<float>, code binary, sq_norm double, l1_norm double, neighbors array<long>, entry boolean"
+#: A shard's file is one row group, so that one task reads it whole.
+ROW_GROUP = 1 << 30
+
+
+class Conflict(Exception):
+    """Another writer has committed this version."""
+
+
+@dataclass(frozen=True)
+class Meta:
+    """What a version is: its settings and counters, the mean at build and the sum of all vectors, and the shards of each data folder."""
+
+    dim: int
+    max_degree: int
+    shards: int
+    node_count: int
+    next_id: int
+    vectors_at_build: int
+    centroid: list[float]
+    total: list[float]
+    built_at: str
+    build: str
+    folders: dict[str, list[int]] = field(default_factory=dict)
 
 
 class IndexStore:
+    """path/data/<attempt>/shard=<s>/: nodes; path/commits/<version>.json: Meta, created once and never changed, which is the commit.
+
+    Writers work in folders of their own and commit by creating the next record, which fails if it is there; readers take the newest
+    record that can be read. That holds on any file system whose exclusive create is atomic (HDFS); on a local one, in one process.
+    """
+
+    _lock = threading.Lock()
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+
+    def _hadoop(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def version(self) -> int:
-        """The newest version that was committed, or -1."""
+    def _versions(self) -> list[int]:
+        fs, path = self._hadoop("commits")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _read(self, version: int) -> Meta | None:
+        fs, path = self._hadoop(f"commits/{version:012d}.json")
         try:
-            return self.spark.read.parquet(f"{self.path}/meta").agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return -1
-            raise
-
-    def nodes(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/nodes/version={version}")
-
-    def meta(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/meta").where(F.col("version") == version)
-
-    def commit(self, nodes: DataFrame, version: int, meta) -> None:
-        """meta: called with the written nodes, returns the one row of META."""
-        nodes.write.mode("overwrite").parquet(f"{self.path}/nodes/version={version}")
-        row = meta(self.nodes(version))
-        self.spark.createDataFrame([row], META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/version={version}")
+            stream = fs.open(path)
+            try:
+                return Meta(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        except Exception:  # noqa: BLE001 - a record that is being written, was cut off or was removed
+            return None
+
+    def newest(self, patience: float = 2.0) -> tuple[int, Meta | None]:
+        """The largest version number in use (-1: none), and the newest version that can be read; a writer on top of it commits the next number.
+
+        A record that is just being written is waited for.
+        """
+        versions = self._versions()
+        for place, version in enumerate(reversed(versions)):
+            until = time.monotonic() + (patience if place == 0 else 0)
+            while (meta := self._read(version)) is None and time.monotonic() < until:
+                time.sleep(0.1)
+            if meta:
+                return versions[-1], meta
+        return max(versions, default=-1), None
+
+    def meta(self, version: int) -> Meta:
+        found = self._read(version)
+        if found is None:
+            raise RuntimeError(f"version {version} can't be read")
+        return found
+
+    def nodes(self, meta: Meta, shards: set[int] | None = None) -> DataFrame:
+        """Nodes of a version, or of some of its shards; a shard is read by one task, in order of node_id."""
+        found = None
+        for folder, own in meta.folders.items():
+            wanted = [s for s in own if shards is None or s in shards]
+            if wanted:
+                part = self.spark.read.schema(NODES).parquet(f"{self.path}/data/{folder}").where(F.col("shard").isin(wanted)).select(*NODES.replace(",", "").split()[::2])
+                found = part if found is None else found.unionByName(part)
+        return self.spark.createDataFrame([], NODES) if found is None else found
+
+    def write(self, nodes: DataFrame) -> tuple[str, DataFrame]:
+        """A new data folder with nodes, which are dealt by shard, and its rows."""
+        folder = uuid.uuid4().hex
+        path = f"{self.path}/data/{folder}"
+        nodes.write.option("parquet.block.size", ROW_GROUP).partitionBy("shard").parquet(path)
+        return folder, self.spark.read.schema(NODES).parquet(path)
+
+    def scratch(self, df: DataFrame) -> tuple[str, DataFrame]:
+        """df, written to a folder of its own and read again."""
+        name = f"data/scratch-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name, self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def remove(self, name: str) -> None:
+        fs, path = self._hadoop(name)
+        fs.delete(path, True)
+
+    def commit(self, version: int, meta: Meta) -> None:
+        fs, path = self._hadoop(f"commits/{version:012d}.json")
+        with self._lock:
+            if fs.exists(path):
+                raise Conflict(version)
+            try:
+                stream = fs.create(path, False)
+            except Exception as e:
+                if fs.exists(path):
+                    raise Conflict(version) from e
+                raise
+            try:
+                stream.write(bytearray(json.dumps(asdict(meta)).encode()))
+            finally:
+                stream.close()
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes all but the newest keep versions, and data folders that only removed ones name. Readers of those versions fail."""
+        versions = self._versions()
+        old, new = versions[:-keep], versions[-keep:]
+        used = {f for v in new if (m := self._read(v)) for f in m.folders}
+        gone = {f for v in old if (m := self._read(v)) for f in m.folders} - used
+        for v in old:
+            self.remove(f"commits/{v:012d}.json")
+        for f in gone:
+            self.remove(f"data/{f}")
+        return sorted(gone)
