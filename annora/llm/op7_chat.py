@@ -105,19 +105,23 @@ def fold_events(events: DataFrame) -> DataFrame:
     rows = events.select("conv_id", F.col("seq").cast("long").alias("seq"), "kind", "msg", "role", F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.where("msg is null and kind = 'message'").select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), "text")
     logged = rows.where(F.col("msg").isNotNull() & F.col("kind").isin(*KINDS))
-    by_message = Window.partitionBy("conv_id", "msg").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One shuffle of texts by a hash of the message serves the windows, the grouping and the join.
+    key = F.xxhash64(F.col("conv_id").isNull(), "conv_id", "msg").alias("key")
+    by_message = Window.partitionBy("key", "conv_id", "msg").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = F.array_sort(F.collect_list(F.struct("resets", "n", "text")))
     messages = (
-        logged.withColumn("resets", F.sum((F.col("kind") != "delta").cast("int")).over(by_message))
+        logged.select(key, "*").repartition("key").withColumn("resets", F.sum((F.col("kind") != "delta").cast("int")).over(by_message))
         .withColumn("n", F.count("*").over(by_message))
-        .groupBy("conv_id", "msg")
+        .groupBy("key", "conv_id", "msg")
         .agg(F.min_by("role", F.when(F.col("role").isNotNull(), F.col("n"))).alias("role"), F.max("resets").alias("last"), pieces.alias("pieces"))
         .withColumn("text", F.array_join(F.transform(F.filter("pieces", lambda p: p["resets"] == F.col("last")), lambda p: p["text"]), ""))
-        .select("conv_id", "msg", F.coalesce("role", F.lit("")).alias("role"), "text")
+        .select("key", "conv_id", "msg", F.coalesce("role", F.lit("")).alias("role"), "text")
         .alias("m")
     )
-    live = _live(logged).alias("l")
-    both = messages.join(live, F.col("m.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("m.msg") == F.col("l.msg")))
+    live = _live(logged).select(key, "*").alias("l")
+    # Not as keys of the join, which would shuffle by them again.
+    same = F.when(F.col("m.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("m.msg") == F.col("l.msg")), True).otherwise(False)
+    both = messages.join(live, (F.col("m.key") == F.col("l.key")) & same)
     return whole.unionByName(both.select("m.conv_id", F.col("l.opened").alias("seq"), "m.role", "m.text"))
 
 

@@ -222,7 +222,8 @@ def embedding_duplicates(vectors: DataFrame, *, threshold: float = 0.98, target_
     dealt = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("home"), F.col("lb")).otherwise(F.col("hb")) - 1)))
     h, look = (F.when(F.col("home") == x, F.col("mine")).otherwise(F.col("theirs")) for x in (True, False))
     dealt = dealt.select(*key, h.alias("h"), look.alias("l"), "home", "own", "looks", "rid", "copies", "v")
-    found = stored(dealt.groupBy(*key, "h", "l").applyInPandas(_compare(threshold), "id long, links long, other long"), "vectors-links")
+    # Dealt by block, or all blocks of a cell would stay in the task that the sizes were looked up in.
+    found = stored(dealt.repartition(*key, "h", "l").groupBy(*key, "h", "l").applyInPandas(_compare(threshold), "id long, links long, other long"), "vectors-links")
     part = stored(components(found.select(F.col("id").alias("a"), F.col("other").alias("b"))), "vectors-parts")
     counted = found.groupBy(F.col("id").alias("rid")).agg(F.sum("links").alias("links"))
     known = reps.select("rid", "low", "copies").join(counted, "rid", "left").join(part.withColumnRenamed("node", "rid"), "rid", "left")
