@@ -18,9 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of scratch tables that this process has written.
+_scratch: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the scratch tables of all operators so far; DataFrames that operators returned can't be read any more."""
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, and is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,8 +58,9 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def id_text(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+def id_text(doc_id: Column, text: Column) -> Column:
+    """What stands for a row in a shuffled order: its id, or, lest all rows without one draw the same place, a digest of its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, *, seed: int = 17, bit
         source_key(F.col("source")).alias("skey"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        digest_number(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id"))), DIGITS).alias("h"),
+        digest_number(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id"), F.col("text"))), DIGITS).alias("h"),
     ).withColumn("hb", F.shiftright("h", 4 * DIGITS - bits))
 
     ahead = Window.partitionBy("skey").orderBy("hb").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,7 +57,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
         "doc_id",
         source_key(F.col("source")).alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        digest_number(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id"))), DIGITS).alias("h"),
+        digest_number(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id"), F.col("text"))), DIGITS).alias("h"),
     )
     if quality is not None:
         rows = rows.join(quality.select(F.col("doc_id"), F.col("quality").cast("double")), "doc_id", "left")

@@ -82,9 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 CRC32 = """
 crc AS (SELECT list(list_reduce(range(0, 9), lambda c, j: CASE WHEN j = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS tab
   FROM (SELECT unnest(range(0, 256)) AS i)),
-bytes AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+bytes AS (SELECT doc_id, source, text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
-sums AS (SELECT doc_id, source, size, xor(list_reduce(b, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295), 4294967295)::BIGINT AS crc FROM bytes, crc)"""
+sums AS (SELECT doc_id, source, text, size, xor(list_reduce(b, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295), 4294967295)::BIGINT AS crc FROM bytes, crc)"""
 
 #: Components by spreading the smallest id along links (a, b), given in both directions.
 COMPONENTS = """
@@ -94,7 +94,7 @@ part AS (SELECT node, min(low) AS low FROM reach GROUP BY node)"""
 SQL: dict[str, str] = {
     "op1_sharding": f"""
 WITH {CRC32},
-r AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM sums),
+r AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h FROM sums),
 k AS (SELECT *, ('0x' || substr(md5('17/' || skey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift,
   row_number() OVER (PARTITION BY skey ORDER BY h, doc_id NULLS FIRST, crc, size) AS rk, count(*) OVER (PARTITION BY skey) AS n FROM r),
 f AS (SELECT *, (rk - 1 + shift) / n AS f FROM k),
@@ -123,7 +123,7 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id) A
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS h
+    ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT AS h
   FROM documents),
 q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS quality FROM labels
   WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),

@@ -93,8 +93,8 @@ def number(text, digits=13):
     return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
 
 
-def named(doc_id):
-    return "null" if doc_id is None else str(doc_id)
+def named(row):
+    return f"null:{hashlib.md5((row[1] or '').encode()).hexdigest()}" if row[0] is None else str(row[0])
 
 
 def mixed(rows, quality):
@@ -115,7 +115,7 @@ def mixed(rows, quality):
     for s, own in by.items():
         target = 3 * words[s] if s in full else share[s]
         epochs, sofar = int(target // words[s]), 0
-        keyed = [(-math.log((number(f"29:{named(r[0])}") + 0.5) / 16**13) / {None: 1.0, 0: 0.5, 1: 2.0}[quality.get(r[0])], r) for r in own]
+        keyed = [(-math.log((number(f"29:{named(r)}") + 0.5) / 16**13) / {None: 1.0, 0: 0.5, 1: 2.0}[quality.get(r[0])], r) for r in own]
         for _, r in sorted(keyed, key=lambda x: (x[0], -1 if x[1][0] is None else x[1][0], len((x[1][1] or "").split()))):
             size = len((r[1] or "").split())
             sofar += size
@@ -127,7 +127,7 @@ def sharded(rows, seed):
     by = defaultdict(list)
     for r in rows:
         data = (r[1] or "").encode()
-        by[skey(r[3])].append((number(f"{seed}:{named(r[0])}", 15), -1 if r[0] is None else r[0], zlib.crc32(data), len(data) + 1))
+        by[skey(r[3])].append((number(f"{seed}:{named(r)}", 15), -1 if r[0] is None else r[0], zlib.crc32(data), len(data) + 1))
     placed = []
     for s, own in by.items():
         shift = number(f"{seed}/{s}") / 16**13
