@@ -23,7 +23,7 @@ ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF5
 class _Words(dict):
     """word -> the hash of its normal form, for a bounded number of words."""
 
-    most = 1 << 20
+    most = 1 << 18
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:

@@ -13,7 +13,7 @@ _SHIFT = np.uint64(29)
 class _Numbers(dict):
     """The number of each word, remembered for a bounded number of words."""
 
-    most = 1 << 18
+    most = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
