@@ -18,23 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of scratch tables that this process has written.
-_scratch: list[str] = []
+#: Scratch tables that this process has written and not removed, by folder.
+_scratch: dict[str, DataFrame] = {}
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        del _scratch[name]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Removes the scratch tables of all operators so far; DataFrames that operators returned can't be read any more."""
-    while _scratch:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, list(_scratch))
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that stored() has returned, once all that is still to be computed from them has been stored itself."""
+    for table_ in tables:
+        _remove(table_.sparkSession, [path for path, df in _scratch.items() if df is table_])
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, and is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    _scratch.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = _scratch[path] = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annora.llm.common import bounded_batches, stored
+from annora.llm.common import bounded_batches, release, stored
 
 EDGE = ".,;:!?\"'()[]{}«»„“”‘’…-"
 #: Texts are worked on together up to so many code points.
@@ -179,6 +179,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     every = stored(_pieces(docs, min_words), "substring-pieces")
     often = stored(every.groupBy("digest").count().where("count > 1").select("digest"), "substring-often")
     repeated = stored(every.join(often, "digest"), "substring-repeated")
+    release(every, often)
     first = stored(repeated.groupBy("digest", "whole").agg(F.min(F.struct("doc_id", "key", "size", "at")).alias("first")), "substring-first")
     itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("size") == F.col("first.size"))
     later = repeated.join(first, ["digest", "whole"]).where(~itself)
@@ -205,6 +206,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     )
     return out.select("doc_id", "key", "start", "end", "n_words", "n_units", "first_doc_id")
 
+
 def repeated_spans(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
     """Spans of docs (doc_id, text) to remove: what windows of min_words words cover that have occurred before, in order of (doc_id, place).
 
