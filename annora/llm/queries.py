@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from annora.llm.common import table
 from annora.llm.op1_sharding import interleaved_shards
@@ -16,7 +17,7 @@ from annora.llm.op5_mixing import mix_sources, quality_weights
 from annora.llm.op6_toxicity import toxicity_report
 from annora.llm.op7_chat import fold_events, read_back, render, turns_as_events
 from annora.llm.op8_embedding import embedding_duplicates
-from annora.llm.op9_substring import repeated_spans
+from annora.llm.op9_substring import EDGE, repeated_spans
 
 #: Conversation -1 of op7: both texts try to end their turn.
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -54,7 +55,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents"))
+    lines = line_classes(table(spark, sf_dir, "documents"))
+    first = F.concat_ws(":", F.coalesce(F.col("first_doc_id").cast("string"), F.lit("null")), F.col("first_line_no").cast("string"))
+    return lines.withColumn("class_id", first)
 
 
 def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +65,7 @@ def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,6 +94,17 @@ COMPONENTS = """
 reach(node, low) AS (SELECT a, a FROM link UNION SELECT l.b, r.low FROM reach r JOIN link l ON l.a = r.node WHERE r.low < l.b),
 part AS (SELECT node, min(low) AS low FROM reach GROUP BY node)"""
 
+#: What parts words for op9, inside a bracket of a pattern: str.split()'s spaces.
+SPACES = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+#: Edit distance of the code points in lists a and b, whose lengths m and n differ by two at most, as far as it is two or less:
+#: row after row of the matrix, each cut to five diagonals.
+BANDED = """list_reduce(list_transform(range(1, n + 1), lambda j: [j]), lambda old, j: list_transform(range(1, 6), lambda i:
+    CASE WHEN j[1] + i - 3 NOT BETWEEN 0 AND m THEN 99 ELSE list_min(list_transform(range(1, i + 1), lambda q: i - q + least(
+      CASE WHEN j[1] + q - 3 BETWEEN 1 AND m THEN old[q] + CASE WHEN a[j[1] + q - 3] = b[j[1]] THEN 0 ELSE 1 END ELSE 99 END,
+      CASE WHEN j[1] + q - 3 BETWEEN 0 AND m AND q < 5 THEN old[q + 1] + 1 ELSE 99 END))) END),
+    [99, 99, 0, 1, 2]::BIGINT[])[m - n + 3]"""
+
 SQL: dict[str, str] = {
     "op1_sharding": f"""
 WITH {CRC32},
@@ -119,6 +133,34 @@ both_ AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q O
 link AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 {COMPONENTS}
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN part ON node = d.doc_id""",
+    "op4_lines": f"""
+WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, line_no, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, unnest(range(0, len(parts))) AS line_no, unnest(parts) AS line FROM raw)),
+u AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY line) AS lid, length(line) AS n, least(2, length(line) // 10) AS k FROM (SELECT DISTINCT line FROM l WHERE line <> '')),
+s AS (SELECT *, n // (k + 1) AS base FROM u WHERE k > 0),
+near AS (SELECT p.lid AS x, q.lid AS y, p.k, regexp_extract_all(p.line, '(?s).') AS a, regexp_extract_all(q.line, '(?s).') AS b, p.n AS m, q.n
+  FROM (SELECT *, unnest([0, 1, 2]) AS more FROM s) p JOIN u q ON q.n = p.n + p.more AND p.more <= p.k AND (p.n < q.n OR p.lid < q.lid)
+  WHERE contains(q.line, p.line[1 : base]) OR contains(q.line, p.line[base + 1 : 2 * base]) OR contains(q.line, p.line[p.k * base + 1 :])),
+found AS (SELECT x, y FROM near WHERE {BANDED} <= k),
+link AS MATERIALIZED (SELECT x AS a, y AS b FROM found UNION ALL SELECT y, x FROM found),
+{COMPONENTS},
+c AS (SELECT doc_id, line_no, coalesce(low, lid) AS root FROM l JOIN u USING (line) LEFT JOIN part ON node = lid),
+f AS (SELECT *, count(*) OVER (PARTITION BY root) AS n_lines, first_value(doc_id) OVER w AS first_doc_id, first_value(line_no) OVER w AS first_line_no
+  FROM c WINDOW w AS (PARTITION BY root ORDER BY doc_id NULLS FIRST, line_no))
+SELECT doc_id, line_no::INTEGER AS line_no, coalesce(first_doc_id::VARCHAR, 'null') || ':' || first_line_no AS class_id, n_lines::BIGINT AS n_lines,
+  first_doc_id, first_line_no::INTEGER AS first_line_no, doc_id IS NOT DISTINCT FROM first_doc_id AND line_no = first_line_no AS kept FROM f""",
+    "op9_substring": f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '[{SPACES}]*[^{SPACES}]+') AS p FROM documents),
+t AS (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS piece FROM p),
+w AS (SELECT doc_id, k, regexp_extract(piece, '[^{SPACES}]+') AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM t),
+n AS (SELECT doc_id, k, stop - length(word) AS start, stop, lower(trim(word, '{EDGE.replace("'", "''")}')) AS word FROM w),
+g AS (SELECT doc_id, k, start, max(stop) OVER f AS stop, md5(string_agg(word, ' ') OVER f) AS g, count(*) OVER f AS size
+  FROM n WINDOW f AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+again AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, k) AS time FROM g WHERE size = 30) WHERE time > 1),
+edge AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 30 >= k THEN 0 ELSE 1 END AS fresh FROM again),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM edge)
+SELECT doc_id, min(start)::INTEGER AS start, max(stop)::INTEGER AS "end", (max(k) + 30 - min(k))::BIGINT AS n_words FROM run GROUP BY doc_id, run""",
     "op5_mixing": """
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
