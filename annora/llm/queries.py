@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from annora.llm.common import table
 from annora.llm.op1_sharding import interleaved_shards
 from annora.llm.op10_ngram_join import ngram_components
+from annora.llm.op11_periodic import periodic_runs
+from annora.llm.op13_divergence import divergence
 from annora.llm.op2_secrets import fit_forest, labelled_findings, scan_secrets
 from annora.llm.op3_decontamination import find_leaks
 from annora.llm.op4_lines import line_classes
@@ -68,6 +70,33 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words")
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with h = crc32(doc_id) and g = h div 10: where h % 10 = 0, what follows the first g % n of its n words is these words' first few, over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("w"), F.floor(h / 10).alias("g"))
+    n = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    p = n.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    made = F.array_join(F.slice(F.concat(F.slice("w", 1, F.col("a")), again), 1, F.col("n")), " ")
+    return p.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    ahead = lambda a, b: b["length"] * a["period"] - a["length"] * b["period"]
+    best = F.get(F.array_sort("runs", lambda a, b: F.when(ahead(a, b) != 0, F.signum(ahead(a, b))).otherwise(F.signum(F.coalesce(F.nullif(a["start"] - b["start"], F.lit(0)), a["period"] - b["period"]))).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -79,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding": op8_embedding,
     "op9_substring": op9_substring,
     "op10_ngram_join": op10_ngram_join,
+    "op11_periodic": op11_periodic,
+    "op13_divergence": op13_divergence,
 }
 
 #: CRC-32 of a text's UTF-8 bytes, by the reflected polynomial's table.
@@ -193,4 +224,39 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')))::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id""",
+    "op11_periodic": f"""
+WITH crc AS (SELECT list(list_reduce(range(0, 9), lambda c, j: CASE WHEN j = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295), 4294967295)::BIGINT AS h FROM documents, crc),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, CASE WHEN a IS NOT NULL THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+t AS (SELECT rid, doc_id, n, unnest(range(0, n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END) AS x FROM p),
+m AS (SELECT s.rid, s.i, s.i - f.i AS q FROM t s JOIN t f ON s.rid = f.rid AND s.x = f.x AND f.i < s.i AND 3 * (s.i - f.i) <= s.n),
+isle AS (SELECT rid, q, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle, i FROM m),
+run AS (SELECT rid, min(i) - q AS start, count(*) + q AS length, q AS period FROM isle GROUP BY rid, q, isle HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT rid, start, length, min(period) AS period FROM run GROUP BY rid, start, length),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT t.rid, string_agg(x, ' ' ORDER BY t.i) AS text FROM t LEFT JOIN gone USING (rid, i) WHERE gone.rid IS NULL GROUP BY t.rid),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY rid),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)""",
+    "op13_divergence": """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+l AS (SELECT lang, count(*) AS kinds, sum(n) AS total FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT s.lang, s.source, v.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.total + 5 * kinds))::HUGEINT AS p,
+  (1 + (1000000000::HUGEINT * (v.n + 5)) // (l.total + 5 * kinds))::HUGEINT AS q
+  FROM s JOIN v ON v.lang = s.lang JOIN l ON l.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = v.term),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source),
+both_ AS (SELECT * FROM every UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
