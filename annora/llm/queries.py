@@ -11,6 +11,7 @@ from annora.llm.common import table
 from annora.llm.op1_sharding import interleaved_shards
 from annora.llm.op10_ngram_join import ngram_components
 from annora.llm.op11_periodic import periodic_runs
+from annora.llm.op12_language import language_report
 from annora.llm.op13_divergence import divergence
 from annora.llm.op2_secrets import fit_forest, labelled_findings, scan_secrets
 from annora.llm.op3_decontamination import find_leaks
@@ -93,6 +94,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring": op9_substring,
     "op10_ngram_join": op10_ngram_join,
     "op11_periodic": op11_periodic,
+    "op12_language": op12_language,
     "op13_divergence": op13_divergence,
 }
 
