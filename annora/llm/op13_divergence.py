@@ -18,7 +18,7 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 #: Term counts that a task holds before it passes them on.
 HELD = 1 << 18
 #: Terms of a block, and sources of a chunk: what a task compares.
-BLOCK, CHUNK = 4096, 64
+BLOCK, CHUNK = 512, 64
 #: A probability in billionths is reckoned in two steps of these factors, so that nothing overflows while a denominator is below 2.8e14.
 BILLION = (31_250, 32_000)
 PAIR = "lang string, a string, b string, value long"
