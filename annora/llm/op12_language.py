@@ -22,6 +22,8 @@ STRIDE = WINDOW - max(WIDTHS) + 1
 #: Windows that a task looks at together.
 TOGETHER = 64
 UNKNOWN = "und"
+#: Numbers that texts draw.
+DRAWS = 1_000_003
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,10 @@ def train(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], *, epochs: i
 
 
 def samples(docs: DataFrame, *, per_language: int, seed: int) -> DataFrame:
-    """(lang, x): two windows of each of per_language documents of each language, and beginnings of them that are shorter; equal texts count once."""
+    """(lang, x): two windows of each of per_language documents of each language at most, and beginnings of them that are shorter; equal texts count once.
+
+    A hash of the text draws three times as many rows, of which copies go first, so that what is ranked doesn't grow with the table.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +151,11 @@ def samples(docs: DataFrame, *, per_language: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "x"])
 
     bounded_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.lit(seed), F.col("text")).alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    best = known.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2 * per_language)
-    once = best.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    rows = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(DRAWS))
+    some = known.join(rows, "lang").where(drawn * F.col("rows") < DRAWS * 3 * per_language).where(has_letter(F.col("text")))
+    once = some.groupBy("lang", F.xxhash64(F.lit(seed + 1), "text").alias("h")).agg(F.min("text").alias("text"))
     few = once.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_language)
     return few.select("lang", F.col("text").cast("binary").alias("text"), "h").mapInArrow(cut, "lang string, x binary")
 
