@@ -7,7 +7,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """The defaults. shard_rows bounds what one task holds of an index."""
+    """The defaults up to insert_ratio_threshold. shard_rows bounds what one task holds of an index.
+
+    cells: 0 deals rows to shards by id, and a search visits all of them. A number deals them by their nearest of so many coarse centres,
+    fitted on 64 vectors per cell; a vector whose second nearest centre is at most boundary times as far (by squared distance) is in that cell, too,
+    and a search visits the probes nearest cells of a query. The centres are kept in each version's record.
+    max_folders: how many data folders a version has at most before an insert merges the smaller ones.
+    """
 
     max_degree: int = 64
     search_list: int = 128
@@ -20,10 +26,14 @@ class IndexConfig:
     insert_ratio_threshold: float = 0.30
     shard_rows: int = 20_000
     seed: int = 42
+    cells: int = 0
+    probes: int = 8
+    boundary: float = 1.5
+    max_folders: int = 16
 
     def __post_init__(self) -> None:
-        if min(self.max_degree, self.search_list, self.ef_search, self.rerank_top_n, self.shard_rows) < 1 or self.build_passes < 0 or self.alpha < 1:
-            raise ValueError("degrees, list sizes and shard_rows must be 1 or more, alpha too")
+        if min(self.max_degree, self.search_list, self.ef_search, self.rerank_top_n, self.shard_rows, self.probes, self.max_folders) < 1 or min(self.build_passes, self.cells) < 0 or min(self.alpha, self.boundary) < 1:
+            raise ValueError("degrees, list sizes, shard_rows, probes and max_folders must be 1 or more, alpha and boundary too")
 
     def beam(self, k: int) -> tuple[int, int]:
         """How many candidates are re-ranked, and how wide the beam is."""

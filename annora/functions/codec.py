@@ -1,29 +1,42 @@
-"""Vectors and neighbour lists as little-endian blobs, for exchange with stores that keep them so; Arrow batches, no row at a time in Spark."""
+"""Vectors and neighbour lists as little-endian blobs, for exchange with stores that keep them so; whole Arrow buffers at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 
 def _packer(kind: str) -> Callable:
-    @F.pandas_udf("binary")
-    def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else np.asarray(v, kind).tobytes())
+    size = np.dtype(kind).itemsize
+
+    @F.arrow_udf("binary")
+    def pack(lists: pa.Array) -> pa.Array:
+        counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), kind)
+        ends = (np.concatenate([[0], np.cumsum(counts)]) * size).astype(np.int64)
+        whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
     return pack
 
 
 def _unpacker(kind: str, returns: str) -> Callable:
     """Null for null and for blobs of another length than so many whole numbers."""
-
-    @F.pandas_udf(returns)
-    def unpack(blobs: pd.Series) -> pd.Series:
-        size = np.dtype(kind).itemsize
-        return blobs.map(lambda b: None if b is None or len(b) % size else np.frombuffer(b, kind))
+    size = np.dtype(kind).itemsize
+
+    @F.arrow_udf(returns)
+    def unpack(blobs: pa.Array) -> pa.Array:
+        length = np.asarray(pc.fill_null(pc.binary_length(blobs), -1))
+        fine = (length >= 0) & (length % size == 0)
+        kept = blobs.filter(pa.array(fine)).cast(pa.binary())
+        ends = np.frombuffer(kept.buffers()[1], np.int32)[kept.offset : kept.offset + len(kept) + 1] if len(kept) else np.zeros(1, np.int32)
+        flat = np.frombuffer(kept.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+        starts = np.concatenate([[0], np.cumsum(np.where(fine, length // size, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat), mask=pa.array(~fine))
 
     return unpack
 

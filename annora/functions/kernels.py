@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -47,11 +46,15 @@ def robust_prune(node: int, candidates: np.ndarray, vectors: np.ndarray, alpha:
 
 
 def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float, degree: int, block: int = 64) -> list[list[int]]:
-    """robust_prune() of many nodes at once, each with its pool; of a pool of more than 8 * degree the nearest so many count."""
+    """robust_prune() of many nodes, each with its pool, a block of nodes at a time; large pools, whose mutual distances would take much room, one by one."""
     out: list[list[int]] = [[] for _ in pools]
     pools = [p[p != i] for i, p in zip(nodes, map(np.unique, pools), strict=True)]
-    by_size = np.argsort([len(p) for p in pools], kind="stable")
-    for at in range(0, len(pools), block):
+    sizes = np.array([len(p) for p in pools], np.int64)
+    for which in np.flatnonzero(sizes > 8 * degree).tolist():
+        out[which] = robust_prune(int(nodes[which]), pools[which], vectors, alpha, degree)
+    by_size = np.argsort(sizes, kind="stable")
+    by_size = by_size[sizes[by_size] <= 8 * degree]
+    for at in range(0, len(by_size), block):
         part = by_size[at : at + block]
         most = max(len(pools[r]) for r in part)
         if not most:
@@ -61,7 +64,7 @@ def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray,
             cand[r, : len(pools[which])] = pools[which]
         own = np.stack([l2_to(vectors[nodes[which]], vectors[cand[r]]) for r, which in enumerate(part)])
         own[cand < 0] = np.inf
-        order = np.lexsort((cand, own), axis=1)[:, : 8 * degree]
+        order = np.lexsort((cand, own), axis=1)
         cand, own = np.take_along_axis(cand, order, 1), np.take_along_axis(own, order, 1)
         x = vectors[cand].astype(np.float64)
         norms = (x * x).sum(2)
@@ -80,19 +83,143 @@ def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray,
     return out
 
 
-def nearest(vectors: np.ndarray, k: int, rows: np.ndarray | None = None, block: int = 512) -> np.ndarray:
-    """The k nearest other rows of each of the rows (of all, if not given)."""
-    v = vectors.astype(np.float64)
-    norms, n = (v * v).sum(1), len(v)
-    rows = np.arange(n) if rows is None else rows
-    k = min(k, n - 1)
-    out = np.empty((len(rows), k), np.int64)
-    for at in range(0, len(rows), block):
-        some = rows[at : at + block]
-        d = norms[None] - 2 * v[some] @ v.T
-        d[np.arange(len(d)), some] = np.inf
-        out[at : at + block] = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
-    return out
+class Adjacency:
+    """Neighbours of nodes as rows of one array, -1 where there are fewer; never more than degree."""
+
+    def __init__(self, graph: list, degree: int) -> None:
+        self.near = np.full((len(graph), degree), -1, np.int64)
+        for i, own in enumerate(graph):
+            self.near[i, : len(own)] = own
+
+    def of(self, node: int) -> np.ndarray:
+        own = self.near[node]
+        return own[own >= 0]
+
+    def put(self, node: int, own: list[int] | np.ndarray) -> None:
+        self.near[node, : len(own)], self.near[node, len(own) :] = own, -1
+
+    def link(self, nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float) -> None:
+        """Each of nodes gets what pruning leaves of its pool, and these get it back; what has no room for more is pruned."""
+        degree, back = self.near.shape[1], {}
+        for i, own in zip(nodes.tolist(), prune_many(nodes, pools, vectors, alpha, degree), strict=True):
+            self.put(i, own)
+            for j in own:
+                back.setdefault(j, []).append(i)
+        full = []
+        for j, more in back.items():
+            own = self.of(j)
+            known = set(own.tolist())
+            more = [i for i in more if i not in known]
+            if len(own) + len(more) <= degree:
+                self.near[j, len(own) : len(own) + len(more)] = more
+            else:
+                full.append((j, np.concatenate([own, more])))
+        ids = np.array([j for j, _ in full], np.int64)
+        for j, own in zip(ids.tolist(), prune_many(ids, [pool for _, pool in full], vectors, alpha, degree), strict=True):
+            self.put(j, own)
+
+    def lists(self) -> list[list[int]]:
+        return [row[row >= 0].tolist() for row in self.near]
+
+
+Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def exactly(queries: np.ndarray, vectors: np.ndarray) -> Measure:
+    """Squared distances of queries (by number) to nodes."""
+    q, v = queries.astype(np.float32), vectors.astype(np.float32, copy=False)
+
+    def measure(row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        diff = v[node] - q[row]
+        return np.einsum("ij,ij->i", diff, diff)
+
+    return measure
+
+
+def by_codes(queries: np.ndarray, centroid: np.ndarray, sign: np.ndarray, sq: np.ndarray, l1: np.ndarray) -> Measure:
+    """Estimated distances of queries (by number) to nodes."""
+    q = queries.astype(np.float64) - centroid.astype(np.float64)
+    qsq = (q * q).sum(1)
+
+    def measure(row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = qsq[row] + sq[node] - 2 * sq[node] * np.einsum("ij,ij->i", sign[node], q[row]) / l1[node]
+        return np.where(l1[node] == 0, sq[node], d)
+
+    return measure
+
+
+def search_many(measure: Measure, queries: int, near: np.ndarray, start: int, width: int, ahead: int = 4) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each query the width best nodes that best-first search from start meets (best first, -1 where there are fewer), and those it looked into.
+
+    Queries go side by side: in each step every one of them looks into its `ahead` best nodes that it hasn't yet, until the width best
+    are all looked into. A node is measured once per query.
+    """
+    b, n = queries, len(near)
+    seen = np.zeros((b, n), bool)
+    seen[:, start] = True
+    best = np.full((b, width), -1, np.int64)
+    far = np.full((b, width), np.inf)
+    opened = np.ones((b, width), bool)
+    best[:, 0], far[:, 0], opened[:, 0] = start, measure(np.arange(b), np.full(b, start)), False
+    looked: list[tuple[np.ndarray, np.ndarray]] = []
+    while not opened.all():
+        closed = np.where(opened, np.inf, far)
+        some = np.argsort(closed, axis=1, kind="stable")[:, :ahead]
+        who, which = np.nonzero(np.isfinite(np.take_along_axis(closed, some, 1)))
+        at = some[who, which]
+        opened[who, at] = True
+        nodes = best[who, at]
+        looked.append((who, nodes))
+        row, to = np.repeat(who, near.shape[1]), near[nodes].ravel()
+        fresh = to >= 0
+        fresh[fresh] = ~seen[row[fresh], to[fresh]]
+        key = np.unique(row[fresh] * n + to[fresh])
+        row, to = key // n, key % n
+        seen[row, to] = True
+        d = measure(row, to)
+        good = d < far[row, -1]
+        row, to, d = row[good], to[good], d[good]
+        if not len(row):
+            continue
+        rows, begin, count = np.unique(row, return_index=True, return_counts=True)
+        place, slot = np.repeat(np.arange(len(rows)), count), np.arange(len(row)) - np.repeat(begin, count)
+        more, more_far = np.full((len(rows), count.max()), -1, np.int64), np.full((len(rows), count.max()), np.inf)
+        more[place, slot], more_far[place, slot] = to, d
+        both_far = np.concatenate([far[rows], more_far], 1)
+        order = np.argsort(both_far, axis=1, kind="stable")[:, :width]
+        best[rows] = np.take_along_axis(np.concatenate([best[rows], more], 1), order, 1)
+        far[rows] = np.take_along_axis(both_far, order, 1)
+        opened[rows] = np.take_along_axis(np.concatenate([opened[rows], more < 0], 1), order, 1)
+    who, nodes = (np.concatenate(x) for x in zip(*looked, strict=True))
+    return best, np.split(nodes[np.argsort(who, kind="stable")], np.cumsum(np.bincount(who, minlength=b))[:-1])
+
+
+def nearest_centres(vectors: np.ndarray, centres: np.ndarray, m: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The m nearest centres of each row, nearest first, and their squared distances."""
+    c, m = centres.astype(np.float64), min(m, len(centres))
+    who, far = np.empty((len(vectors), m), np.int64), np.empty((len(vectors), m))
+    norms = (c * c).sum(1)
+    for at in range(0, len(vectors), block):
+        v = vectors[at : at + block].astype(np.float64)
+        d = np.maximum(norms[None] - 2 * v @ c.T + (v * v).sum(1)[:, None], 0)
+        who[at : at + block] = np.argsort(d, axis=1, kind="stable")[:, :m]
+        far[at : at + block] = np.take_along_axis(d, who[at : at + block], 1)
+    return who, far
+
+
+def coarse_centres(vectors: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Centres of cells groups of the vectors (as many as there are different vectors, if fewer) by Lloyd's rounds; a group that gets nothing takes the vector that is farthest from its centre."""
+    rng, v = np.random.default_rng(seed), np.unique(vectors, axis=0).astype(np.float64)
+    centres = v[rng.choice(len(v), min(cells, len(v)), replace=False)]
+    for _ in range(rounds):
+        own, far = (x[:, 0] for x in nearest_centres(v, centres, 1))
+        count = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, v)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+        centres[count == 0] = v[np.argsort(-far, kind="stable")[: (count == 0).sum()]]
+    return centres.astype(np.float32)
 
 
 def random_neighbours(n: int, degree: int, seed: int) -> list[np.ndarray]:
@@ -116,42 +243,35 @@ def reached(graph: list[list[int]], start: int) -> np.ndarray:
 def build_graph(vectors: np.ndarray, *, degree: int, search_list: int, passes: int, alpha: float, seed: int) -> tuple[list[list[int]], int]:
     """Neighbours of each node (degree at most) and the medoid, from which every node is reached.
 
-    A node's pool are its search_list nearest nodes and some random ones; it is pruned, edges are made mutual, and what exceeds the degree is
-    pruned again, passes times. Nodes that can't be reached are hung below the nearest node that can.
+    From a random graph, passes times: nodes are taken in a shuffled order; what a search for one from the medoid looks into, its search_list best and
+    its neighbours are its pool, which is pruned, and its new neighbours are linked back (`Adjacency.link`). A batch of nodes searches the graph as the
+    batch before left it. Nodes that can't be reached in the end are hung below the nearest node that can.
     """
     n = len(vectors)
     start = medoid(vectors) if n else -1
     if n < 2:
         return [[] for _ in range(n)], start
-    pools, spare = nearest(vectors, search_list), random_neighbours(n, degree, seed)
-    graph = prune_many(np.arange(n), [np.concatenate(x) for x in zip(pools, spare, strict=True)], vectors, alpha, degree)
-    for _ in range(max(1, passes)):
-        graph = with_back_edges(graph, vectors, alpha, degree, range(n))
-    return attach(graph, vectors, start, degree), start
-
-
-def with_back_edges(graph: list[list[int]], vectors: np.ndarray, alpha: float, degree: int, sources: Iterable[int]) -> list[list[int]]:
-    """graph with the edges of sources made mutual; nodes that get too many neighbours are pruned."""
-    back: dict[int, list[int]] = {}
-    for i in sources:
-        for j in graph[i]:
-            back.setdefault(j, []).append(i)
-    full = []
-    for j, more in back.items():
-        graph[j] = list(dict.fromkeys(graph[j] + more))
-        if len(graph[j]) > degree:
-            full.append(j)
-    for j, near in zip(full, prune_many(np.array(full, np.int64), [np.array(graph[j]) for j in full], vectors, alpha, degree), strict=True):
-        graph[j] = near
-    return graph
+    graph, rng = Adjacency(random_neighbours(n, degree, seed), degree), np.random.default_rng([seed, n])
+    for _ in range(passes):
+        refine(graph, rng.permutation(n), vectors, start, search_list, alpha)
+    return attach(graph.lists(), vectors, start, degree), start
+
+
+def refine(graph: Adjacency, order: np.ndarray, vectors: np.ndarray, start: int, search_list: int, alpha: float, most: int = 128) -> None:
+    """Links the nodes in order anew, in batches of most nodes, or a sixteenth of all if that is fewer, as a batch's nodes don't see each other's links."""
+    batch = max(1, min(most, len(vectors) // 16))
+    for at in range(0, len(order), batch):
+        nodes = order[at : at + batch]
+        best, looked = search_many(exactly(vectors[nodes], vectors), len(nodes), graph.near, start, search_list)
+        graph.link(nodes, [np.concatenate([b[b >= 0], x, graph.of(i)]) for i, b, x in zip(nodes.tolist(), best, looked, strict=True)], vectors, alpha)
 
 
 def extend_graph(graph: list[list[int]], vectors: np.ndarray, start: int, *, degree: int, search_list: int, alpha: float) -> list[list[int]]:
-    """graph, of the first of vectors, with nodes for the others: each is linked to what pruning leaves of its nearest, and back."""
-    old, n = len(graph), len(vectors)
-    new = np.arange(old, n)
-    graph = graph + prune_many(new, list(nearest(vectors, search_list, new)), vectors, alpha, degree)
-    return attach(with_back_edges(graph, vectors, alpha, degree, range(old, n)), vectors, start, degree)
+    """graph, of the first of vectors, with nodes for the others, which are searched for and linked as in a build."""
+    n = len(vectors)
+    grown = Adjacency(graph + [[]] * (n - len(graph)), degree)
+    refine(grown, np.arange(len(graph), n), vectors, start, search_list, alpha)
+    return attach(grown.lists(), vectors, start, degree)
 
 
 def hops(graph: list, start: int, depth: int) -> np.ndarray:
@@ -193,35 +313,3 @@ def attach(graph: list[list[int]], vectors: np.ndarray, start: int, degree: int)
         else:
             raise RuntimeError("the degree is too small to reach every node")
     return graph
-
-
-def beam_search(query: np.ndarray, start: int, width: int, graph: list, centroid: np.ndarray, sign: np.ndarray, sq: np.ndarray, l1: np.ndarray) -> np.ndarray:
-    """The width best nodes by estimated distance that best-first search from start finds, best first."""
-    q = query.astype(np.float64) - centroid.astype(np.float64)
-    qsq = float(q @ q)
-
-    def distance(nodes: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = qsq + sq[nodes] - 2 * sq[nodes] * (sign[nodes] @ q) / l1[nodes]
-        return np.where(l1[nodes] == 0, sq[nodes], d)
-
-    seen = np.zeros(len(sq), bool)
-    seen[start] = True
-    first = float(distance(np.array([start]))[0])
-    todo, best = [(first, start)], [(-first, -start)]
-    while todo:
-        d, node = heapq.heappop(todo)
-        if len(best) >= width and d > -best[0][0]:
-            break
-        near = np.asarray(graph[node], np.int64)
-        near = near[~seen[near]]
-        seen[near] = True
-        for x, j in zip(distance(near).tolist(), near.tolist(), strict=True) if len(near) else ():
-            if len(best) < width:
-                heapq.heappush(best, (-x, -j))
-            elif x < -best[0][0]:
-                heapq.heapreplace(best, (-x, -j))
-            else:
-                continue
-            heapq.heappush(todo, (x, j))
-    return np.array([-j for _, j in sorted(best, reverse=True)], np.int64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annora.session import shared_dir
+
 
 def recall(approx: DataFrame, exact: DataFrame, k: int, m: int | None = None) -> DataFrame:
     """One row (recall): the mean share of the exact top k (query_id, rank, id) that is among the approximate top m (k if not given)."""
@@ -13,9 +15,27 @@ def recall(approx: DataFrame, exact: DataFrame, k: int, m: int | None = None) ->
     return hits.groupBy("query_id").agg((F.count("hit") / F.lit(k)).alias("r")).agg(F.avg("r").alias("recall"))
 
 
+#: Rows of one query that a task ranks, about.
+RANKED = 50_000
+
+
+def places(rows: DataFrame, value: str, name: str, id_col: str) -> DataFrame:
+    """rows with the place (name, from 1) of each among its query_id's rows by value, ties by id_col.
+
+    A query's rows are dealt to buckets between quantiles of value, so that no task ranks them all: a place is the number of rows in the
+    buckets before and the place in its own. Rows of one value share a bucket. Values are not null.
+    """
+    sizes = rows.groupBy("query_id").agg(F.count("*").alias("_n"), F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
+    dealt = rows.join(sizes, "query_id").withColumn("_bucket", F.when(F.col("_n") > RANKED, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).otherwise(0)).drop("_n", "_cuts")
+    before = F.sum("_rows").over(Window.partitionBy("query_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = dealt.groupBy("query_id", "_bucket").agg(F.count("*").alias("_rows")).select("query_id", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("query_id", "_bucket").orderBy(value, id_col))
+    return dealt.withColumn("_own", own).join(ahead, ["query_id", "_bucket"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
+
+
 def spearman(pairs: DataFrame, a: str, b: str, id_col: str = "id") -> DataFrame:
-    """One row per query_id (rho): rank correlation of columns a and b by ordinal ranks, ties by id."""
-    ra = F.row_number().over(Window.partitionBy("query_id").orderBy(a, id_col))
-    rb = F.row_number().over(Window.partitionBy("query_id").orderBy(b, id_col))
-    d = pairs.select("query_id", (ra - rb).cast("double").alias("d")).groupBy("query_id").agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("*").alias("n"))
+    """One row per query_id (rho): rank correlation of columns a and b by ordinal ranks, ties by id. The pairs are checkpointed, as they are gone over several times."""
+    shared_dir(pairs.sparkSession)
+    both = places(places(pairs.select("query_id", id_col, a, b).checkpoint(), a, "_pa", id_col), b, "_pb", id_col)
+    d = both.select("query_id", (F.col("_pa") - F.col("_pb")).cast("double").alias("d")).groupBy("query_id").agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("*").alias("n"))
     return d.select("query_id", (1 - 6 * F.col("s") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho"))

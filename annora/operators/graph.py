@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
 from annora.functions import kernels
 from annora.operators.knn import query_blocks
+from annora.operators.routing import Layout, split_shards  # noqa: F401
 from annora.sources.store import NODES
 
 
@@ -31,42 +31,15 @@ def last_writes(vectors: DataFrame, order: str = "seq") -> DataFrame:
     return vectors.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def shards_for(rows: int, shard_rows: int) -> int:
-    """So many that the largest is expected to hold shard_rows at most: dealing to a number that isn't a power of two leaves some twice as full as others."""
-    return 1 if rows <= shard_rows else math.ceil(2 * rows / shard_rows)
-
-
-def _level(shards: int) -> int:
-    return 1 << (shards.bit_length() - 1)
-
-
-def shard_of(id_col: Column, shards: int) -> Column:
-    """Linear hashing: one more shard takes rows from a single one."""
-    low = _level(shards)
-    r = F.pmod(F.xxhash64(id_col), F.lit(2 * low)).cast("int")
-    return F.when(r < shards, r).otherwise(r - low)
-
-
-def split_shards(old: int, new: int) -> dict[int, set[int]]:
-    """Which of the old shards give rows to which new ones when their number grows."""
-    out: dict[int, set[int]] = {}
-    for shard in range(old, new):
-        parent = shard
-        while parent >= old:
-            parent -= _level(parent)
-        out.setdefault(parent, set()).add(shard)
-    return out
-
-
 def build_nodes(vectors: DataFrame, center: np.ndarray, first_ids: dict[int, int], cfg: IndexConfig) -> DataFrame:
-    """Nodes (see NODES) of vectors (shard, id, vector). Node ids are counted from a shard's own first one, in order of id."""
+    """Nodes (see NODES) of vectors (shard, id, vector, copy). Node ids are counted from a shard's own first one, in order of id."""
     centroid = np.array(center, np.float32)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         shard = int(pdf["shard"].iloc[0])
         v = np.stack(pdf.vector.to_numpy()).astype(np.float32)
-        return _frame(shard, first_ids[shard] + np.arange(len(pdf)), pdf.id.to_numpy(), v, *_built(v, shard, cfg), centroid)
+        return _frame(shard, first_ids[shard] + np.arange(len(pdf)), pdf.id.to_numpy(), v, *_built(v, shard, cfg), centroid, pdf["copy"].to_numpy())
 
     return vectors.groupBy("shard").applyInPandas(run, NODES)
 
@@ -75,9 +48,10 @@ def _built(v: np.ndarray, shard: int, cfg: IndexConfig) -> tuple[list[list[int]]
     return kernels.build_graph(v, degree=cfg.max_degree, search_list=cfg.search_list, passes=cfg.build_passes, alpha=cfg.alpha, seed=cfg.seed + shard)
 
 
-def _frame(shard: int, node_ids: np.ndarray, ids: np.ndarray, v: np.ndarray, graph: list[list[int]], start: int, centroid: np.ndarray) -> pd.DataFrame:
+def _frame(shard: int, node_ids: np.ndarray, ids: np.ndarray, v: np.ndarray, graph: list[list[int]], start: int, centroid: np.ndarray, copy: np.ndarray) -> pd.DataFrame:
     codes, sq, l1 = kernels.encode(v, centroid)
-    frame = pd.DataFrame({"shard": np.int32(shard), "node_id": node_ids.astype(np.int64), "id": ids, "vector": list(v), "code": [c.tobytes() for c in codes], "sq_norm": sq, "l1_norm": l1, "neighbors": [node_ids[np.array(g, np.int64)].astype(np.int64) for g in graph], "entry": np.arange(len(ids)) == start})
+    near = [node_ids[np.array(g, np.int64)].astype(np.int64) for g in graph]
+    frame = pd.DataFrame({"shard": np.int32(shard), "node_id": node_ids.astype(np.int64), "id": ids, "vector": list(v), "code": [c.tobytes() for c in codes], "sq_norm": sq, "l1_norm": l1, "neighbors": near, "entry": np.arange(len(ids)) == start, "copy": copy.astype(bool)})
     return frame.sort_values("node_id")
 
 
@@ -92,6 +66,7 @@ class Shard:
         known = self.node_ids[place] == flat if len(flat) else np.empty(0, bool)
         cuts = np.cumsum(size)[:-1]
         self.graph = [p[k] for p, k in zip(np.split(place, cuts), np.split(known, cuts), strict=True)]
+        self.near = kernels.Adjacency(self.graph, max(1, *map(len, self.graph))).near
         entry = np.flatnonzero(rows["entry"].to_numpy(zero_copy_only=False))
         if len(entry) != 1:
             raise RuntimeError("a shard's file is incomplete or was split")
@@ -106,7 +81,8 @@ class Shard:
         return self._lists(self.rows["vector"])[0].reshape(len(self.ids), -1)
 
     def signs(self, dim: int) -> np.ndarray:
-        return kernels.signs(np.stack([np.frombuffer(c, np.uint8) for c in self.rows["code"].to_pylist()]), dim)
+        codes = np.frombuffer(b"".join(self.rows["code"].to_pylist()), np.uint8)
+        return kernels.signs(codes.reshape(len(self.ids), -1), dim)
 
 
 def by_shard(nodes: DataFrame, work: Callable[[int, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
@@ -129,23 +105,41 @@ def by_shard(nodes: DataFrame, work: Callable[[int, pa.Table], pa.RecordBatch],
     return nodes.mapInArrow(run, schema)
 
 
-def graph_search(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, *, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
-    """The k nearest by beam search over codes in each shard and exact re-ranking: query_id, rank, id, score. Queries go out in blocks; nodes aren't shuffled."""
+#: Queries that a task searches side by side.
+TOGETHER = 64
+
+
+def graph_search(nodes: DataFrame | Callable[[set[int]], DataFrame], queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, *, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 32 << 20, layout: Layout | None = None) -> DataFrame:
+    """The k nearest by best-first search over codes in shards and exact re-ranking: query_id, rank, id, score.
+
+    Queries go out in blocks; nodes aren't shuffled. Every shard is searched for every query, or, with a layout that has centres, those
+    of the cfg.probes cells nearest to the query: nodes then gives those of some shards, and only what a query of the block needs is read.
+    """
     rerank, width = cfg.beam(k)
     centroid = np.array(center, np.float32)
-    sc, found = nodes.sparkSession.sparkContext, None
+    sc, found = queries.sparkSession.sparkContext, None
     schema = "query_id long, id long, score double"
+    cells = layout.cells if layout else 1
 
     def searcher(shared):
-        def work(_: int, rows: pa.Table) -> pa.RecordBatch:
-            shard = Shard(rows)
-            v, sq, l1 = shard.vectors(), rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm")
-            sign, out = shard.signs(v.shape[1]), []
-            for qid, q in zip(*shared.value, strict=True):
-                best = kernels.beam_search(q, shard.start, width, shard.graph, centroid, sign, sq, l1)[:rerank]
-                d = kernels.l2_to(q, v[best])
-                first = np.lexsort((shard.ids[best], d))[:k]
-                out.append((np.full(len(first), qid), shard.ids[best[first]], d[first]))
+        def work(number: int, rows: pa.Table) -> pa.RecordBatch:
+            ids, asked, probed = shared.value
+            if probed is not None:
+                own = (probed == number % cells).any(1)
+                ids, asked = ids[own], asked[own]
+            out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            if len(ids):
+                shard = Shard(rows)
+                v, sq, l1 = shard.vectors(), rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm")
+                sign = shard.signs(v.shape[1])
+            for at in range(0, len(ids), TOGETHER):
+                q = asked[at : at + TOGETHER]
+                best, _ = kernels.search_many(kernels.by_codes(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
+                for qid, one, met in zip(ids[at : at + TOGETHER], q, best[:, :rerank], strict=True):
+                    met = met[met >= 0]
+                    d = kernels.l2_to(one, v[met])
+                    first = np.lexsort((shard.ids[met], d))[:k]
+                    out.append((np.full(len(first), qid), shard.ids[met[first]], d[first]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
 
         return work
@@ -153,10 +147,14 @@ def graph_search(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: in
     for ids, rows in query_blocks(queries.select(F.col(id_col).cast("long"), vec_col), block_bytes, len(centroid)):
         if rows.shape[1] != len(centroid):
             raise ValueError(f"queries have {rows.shape[1]} elements, the index {len(centroid)}")
-        part = by_shard(nodes, searcher(sc.broadcast((ids, rows))), schema)
+        probed = layout.probed(rows, cfg.probes) if layout else None
+        scan = nodes if isinstance(nodes, DataFrame) else nodes(layout.shards(set(range(cells) if probed is None else np.unique(probed).tolist())))
+        part = by_shard(scan, searcher(sc.broadcast((ids, rows, probed))), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = nodes.sparkSession.createDataFrame([], schema)
+        found = queries.sparkSession.createDataFrame([], schema)
+    if layout and layout.centres is not None:  # a vector near a boundary is found in two cells
+        found = found.repartition("query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -166,27 +164,28 @@ def rows_of(shard: Shard, column: str) -> np.ndarray:
 
 
 def insert_nodes(nodes: DataFrame, new: DataFrame, center: np.ndarray, first_ids: dict[int, int], rebuilt: set[int], cfg: IndexConfig) -> DataFrame:
-    """nodes, dealt by shard, with the vectors new (shard, id, vector): linked to the nearest of their shard, and back; what gets too many neighbours is pruned.
+    """nodes, dealt by shard, with the vectors new (shard, id, vector, copy): searched for and linked as in a build.
 
-    A known id replaces its row: the old node goes, with the edges to it. Shards in rebuilt are built anew from all they hold.
+    A known id replaces its row: the old node goes, with the edges to it; a null vector only does that. Shards in rebuilt are built anew from all they hold.
     """
     centroid = np.array(center, np.float32)
 
     def run(key: tuple, old: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
-        old, fresh = old.sort_values("node_id"), fresh.sort_values("id")
         gone = old.id.isin(fresh.id).to_numpy()
-        kept = old[~gone]
-        ids = np.concatenate([kept.id.to_numpy(np.int64), fresh.id.to_numpy(np.int64)])
+        kept, fresh = old[~gone].sort_values("node_id"), fresh[fresh.vector.notna()].sort_values("id")
+        if not len(kept) + len(fresh):
+            return pd.DataFrame(columns=NODES.replace(",", "").split()[::2])
+        ids, copy = (np.concatenate([kept[c].to_numpy(), fresh[c].to_numpy()]) for c in ("id", "copy"))
         node_ids = np.concatenate([kept.node_id.to_numpy(np.int64), first_ids.get(shard, 0) + np.arange(len(fresh))])
         v = np.stack([*kept.vector, *fresh.vector]).astype(np.float32)
         if shard in rebuilt or not len(kept) or not kept.entry.any():
-            return _frame(shard, node_ids, ids, v, *_built(v, shard, cfg), centroid)
+            return _frame(shard, node_ids, ids.astype(np.int64), v, *_built(v, shard, cfg), centroid, copy)
         place = {int(x): i for i, x in enumerate(kept.node_id)}
         graph = [[place[j] for j in map(int, near) if j in place] for near in kept.neighbors]
         start = int(np.flatnonzero(kept.entry)[0])
         graph = kernels.extend_graph(graph, v, start, degree=cfg.max_degree, search_list=cfg.search_list, alpha=cfg.alpha)
-        return _frame(shard, node_ids, ids, v, graph, start, centroid)
+        return _frame(shard, node_ids, ids.astype(np.int64), v, graph, start, centroid, copy)
 
     return nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(run, NODES)
 

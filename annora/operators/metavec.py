@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annora.operators.knn import knn_exact
+from annora.operators.knn import knn_join
 from annora.session import shared_dir
 
 
@@ -20,8 +20,8 @@ def _times(values: str, weight: float):
 
 
 def stratum(vectors: DataFrame, objects: DataFrame, size: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, s): the distances of the size nearest vectors, ascending; short ones are filled with zeros."""
-    found = knn_exact(vectors, objects, size, id_col=id_col, vec_col=vec_col)
+    """(id, s): the distances of the size nearest vectors, ascending; short ones are filled with zeros. Both sides may be large (`knn_join`)."""
+    found = knn_join(vectors, objects, size, id_col=id_col, vec_col=vec_col)
     scores = F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda p: p["score"])
     return found.groupBy(F.col("query_id").alias(id_col)).agg(_filled(scores, size).alias("s"))
 

@@ -43,7 +43,7 @@ def top_estimates(enc: DataFrame, queries: DataFrame, m: int, block_bytes: int =
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         return np.where(matrix_of(batch.column(1)) >= 0, 1.0, -1.0), batch.column(2).to_numpy(), batch.column(3).to_numpy()
 
-    for ids, q in query_blocks(queries.select("id", "v"), block_bytes, 2 * first[0], m, np.float64) if first else ():
+    for ids, q in query_blocks(queries.select(F.col("id").cast("long"), "v"), block_bytes, first[0], m) if first else ():
         found = found.unionByName(nearest_in_partitions(rows, sc.broadcast((ids, q)), m, arrays, _asym_block))
     return best_of(found, m)
 

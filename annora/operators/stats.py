@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annora.functions.columns import l2sq, minus, sq_norm
+from annora.operators.knn import matrix_of
+
+
+SUMS = "n long, total array<double>"
+
+
+def vector_sums(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """One row (n, total): how many vectors there are (nulls left out), and the sum of each element, added up in double.
+
+    Each partition gives one row, which is all that is shuffled; the task that adds them up holds a batch of them at a time.
+    """
+
+    def added(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(0)
+        for more, part in parts:
+            n, total = n + more, part if not len(total) else total + part if len(part) else total
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["n", "total"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added((len(x), matrix_of(x.column(0)).sum(0)) for x in batches if len(x))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added((n, np.array(total, float)) for x in batches for n, total in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
+
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(vec_col)
+    return rows.mapInArrow(partial, SUMS).repartition(1).mapInArrow(merged, SUMS)
 
 
 def centroid(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """One row (n, centroid): the element-wise mean, added up in double, as float. Sums are partial per partition."""
-    each = vectors.select(F.posexplode(vec_col).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).cast("float").alias("m"), F.count("*").alias("n"))
-    return each.agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("centroid"))
+    """One row (n, centroid): the element-wise mean as float; none (an empty array) without vectors."""
+    return vector_sums(vectors, vec_col).select("n", F.transform("total", lambda x: (x / F.col("n")).cast("float")).alias("centroid"))
 
 
 def medoid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,22 +205,100 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edges(_nodes(spark, sf_dir))
 
 
+#: Several shards in the small tables.
+SHARDED = IndexConfig(exact_up_to=0, shard_rows=160)
+#: As many cells; boundary vectors are in two of them, and a search looks into fewer than half.
+ROUTED = IndexConfig(exact_up_to=0, cells=20, probes=9)
+
+
 def graph_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds of every graph, built or grown: edges go to other nodes, which are there, once each; degrees are from 1 to R; all nodes are reached."""
+    """What must hold of every graph, built or grown, over several shards: how many edges lead nowhere or to their node, or are there twice, how many nodes have too many
+    neighbours or none (all 0), how many nodes there are and how many are reached (all)."""
     base, batch = split(embeddings(spark, sf_dir))
-    grown = index(spark, base)
+    grown = index(spark, base, SHARDED)
     grown.insert(batch)
     out = None
-    for name, nodes in (("built", _nodes(spark, sf_dir)), ("grown", grown.nodes())):
-        e = G.edges(nodes).join(nodes.select(F.col("node_id").alias("dst"), F.lit(True).alias("known")), "dst", "left")
-        sane = e.agg((F.count_if(F.col("known").isNull() | (F.col("src") == F.col("dst"))) == 0).alias("edges_sane"), (F.count("*") == F.count_distinct("src", "dst")).alias("edges_distinct"))
-        d = G.degree_stats(nodes, IndexConfig().max_degree).select(((F.col("over") == 0) & (F.col("alone") == 0)).alias("degrees_bounded"))
-        r = G.reachable(nodes).select((F.col("nodes") == F.col("reached")).alias("all_reached"), "nodes")
-        row = sane.crossJoin(d).crossJoin(r).withColumn("index", F.lit(name))
+    for name, nodes in (("built", index(spark, embeddings(spark, sf_dir), SHARDED).nodes()), ("grown", grown.nodes())):
+        e = G.edges(nodes).join(nodes.select("shard", F.col("node_id").alias("dst"), F.lit(True).alias("known")), ["shard", "dst"], "left")
+        sane = e.agg(F.count_if(F.col("known").isNull() | (F.col("src") == F.col("dst"))).alias("stray_edges"), (F.count("*") - F.count_distinct("src", "dst")).alias("double_edges"))
+        d = G.degree_stats(nodes, IndexConfig().max_degree).select(F.col("over").alias("over_degree"), F.col("alone").alias("without_neighbours"))
+        row = sane.crossJoin(d).crossJoin(G.reachable(nodes)).withColumn("index", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def routed_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a routed index looked into: the exact neighbours, each once, though boundary vectors are in two cells."""
+    e = embeddings(spark, sf_dir)
+    return ranked(index(spark, e, replace(ROUTED, probes=ROUTED.cells)).search(asked(e), K))
+
+
+def routed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of a routed search: how many shards the index has, which share of them a query looks into, and the share of true neighbours it finds."""
+    e = embeddings(spark, sf_dir)
+    made = index(spark, e, ROUTED)
+    shards = made.meta().shards
+    found = recall(made.search(asked(e), K), knn_exact(e, asked(e), K), K)
+    return found.select(F.lit(shards).alias("shards"), F.lit(ROUTED.probes / ROUTED.cells).alias("share_probed"), F.round("recall", 6).alias("recall"))
+
+
+def routed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New vectors go to their cells, and known ids that get the opposite vector (vec_id below 50) leave theirs; then as routed_search_all."""
+    e = embeddings(spark, sf_dir)
+    base, batch = split(e)
+    made = index(spark, base, replace(ROUTED, probes=ROUTED.cells))
+    turned = e.where("vec_id < 50").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    made.insert(batch.unionByName(turned))
+    return ranked(made.search(asked(e), K))
+
+
+def build_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each pass over a small-degree graph brings: recall of a narrow beam after none (the random graph), one and two."""
+    e, out = embeddings(spark, sf_dir), None
+    true = knn_exact(e, asked(e), K)
+    for passes in (0, 1, 2):
+        cfg = IndexConfig(exact_up_to=0, max_degree=12, search_list=24, rerank_top_n=60, ef_search=60, build_passes=passes)
+        row = recall(index(spark, e, cfg).search(asked(e), K), true, K).select(F.lit(passes).alias("passes"), F.round("recall", 6).alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def warm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the graph of several shards, of which some are in memory and the others are read."""
+    e = embeddings(spark, sf_dir)
+    made = index(spark, e, SHARDED)
+    made.warm(3)
+    found = ranked(made.search(asked(e), K)).checkpoint()
+    made.close()
+    return found
+
+
+def repeated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's micro-batch that comes twice is inserted once: vectors, and node ids given."""
+    base, batch = split(embeddings(spark, sf_dir))
+    made = index(spark, base, SHARDED)
+    for _ in range(2):
+        made.insert(batch, batch=("stream", 0))
+    return made.nodes().agg(F.count("*").alias("n"), F.lit(made.max_node_id() + 1).cast("long").alias("ids_given"), F.lit(made.meta().batches["stream"]).alias("batch"))
+
+
+def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a table of ids, among them some that the index lacks."""
+    e = embeddings(spark, sf_dir)
+    made = index(spark, e, SHARDED)
+    found = made.lookup(e.where("vec_id % 3 = 0").select((F.col("vec_id") * 2).alias("id")))
+    return found.select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
+
+
+def neighbour_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth node's neighbours overwritten by the next two nodes; the others keep theirs."""
+    made = index(spark, embeddings(spark, sf_dir))
+    was = made.nodes().select("node_id", F.col("neighbors").alias("was")).checkpoint()
+    made.set_neighbours(was.where("node_id % 50 = 0").select("node_id", F.array(F.col("node_id") + 1, F.col("node_id") + 2).alias("neighbors")))
+    now = made.nodes().join(was, "node_id")
+    return now.select("node_id", F.when(F.col("node_id") % 50 == 0, F.col("neighbors")[1] - F.col("neighbors")[0]).otherwise((F.col("neighbors") == F.col("was")).cast("long")).alias("mark"))
+
+
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degree_stats(_nodes(spark, sf_dir), IndexConfig().max_degree)
 
@@ -229,20 +308,9 @@ def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_init_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees of the graph that building starts from: each node has min(R, n - 1) distinct others."""
-    e, r, seed = embeddings(spark, sf_dir), IndexConfig().max_degree, IndexConfig().seed
-
-    def run(pdf):
-        import pandas as pd
-
-        from annora.functions.kernels import random_neighbours
-
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame({"vec_id": pdf.vec_id, "degree": [len({*x.tolist()} - {i}) for i, x in enumerate(random_neighbours(len(pdf), r, seed))]})
-
-    shards = max(1, -(-e.count() // IndexConfig().shard_rows))
-    one = e.select("vec_id", F.pmod("vec_id", F.lit(shards)).alias("shard"))
-    return one.groupBy("shard").applyInPandas(run, "vec_id long, degree long")
+    """Degrees of the graph that building starts from, which a build without passes leaves: each node has min(R, n - 1) others."""
+    nodes = index(spark, embeddings(spark, sf_dir), IndexConfig(build_passes=0)).nodes()
+    return nodes.select(F.col("id").alias("vec_id"), F.size(F.array_except(F.array_distinct("neighbors"), F.array("node_id"))).cast("long").alias("degree"))
 
 
 def insert_then_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +342,7 @@ def drift_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needs_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drift(spark, sf_dir).select(F.round("insert_ratio", 6).alias("insert_ratio"), "needs_rebuild")
+    return _drift(spark, sf_dir).select(F.round("drift", 4).alias("drift"), F.round("insert_ratio", 6).alias("insert_ratio"), "needs_rebuild")
 
 
 def search_with_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +395,8 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = """vector_scan index_count max_node_id point_lookup codec_roundtrip ann_recall graph_invariants metavec_level2 sql_functions encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
 rabitq_asym rabitq_sym rabitq_paper rabitq_topm two_stage_flat negative_estimates spearman_rho recall_rabitq ann_search_default ann_search_narrow graph_edges degree_stats
 graph_reachability random_init_degree insert_then_count insert_then_search_exact drift_ratio needs_rebuild search_with_rerank rerank_missing_ids upsert_last_writer_wins
-index_meta metavec_level1""".split()
+index_meta metavec_level1
+routed_search_all routed_recall routed_upsert build_passes warm_search repeated_batch lookup_many neighbour_update""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"centroid": centroid_q, "medoid": medoid_q} | {n: globals()[n] for n in NAMES}
 
@@ -348,9 +417,9 @@ a AS (SELECT *, CASE WHEN l1 = 0 THEN sq ELSE qsq + sq - 2 * sq * dot / l1 END A
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY est, vec_id) AS rk FROM a)"""
 
 
-def _knn(where: str = "true", k: int = K) -> str:
+def _knn(where: str = "true", k: int = K, table: str = "embeddings", queries: str = "embeddings") -> str:
     return f"""
-WITH d AS (SELECT q.vec_id AS query_id, o.vec_id, {L2.format(a="q.embedding", b="o.embedding")} AS d FROM embeddings q, embeddings o WHERE q.vec_id % 50 = 0 AND {where}),
+WITH d AS (SELECT q.vec_id AS query_id, o.vec_id, {L2.format(a="q.embedding", b="o.embedding")} AS d FROM {queries} q, {table} o WHERE q.vec_id % 50 = 0 AND {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rk FROM d)
 SELECT query_id, rk::INTEGER AS rank, vec_id, round(d, 6) AS score FROM r WHERE rk <= {k}"""
 
@@ -362,6 +431,8 @@ def _level(was: str, now: str, size: int) -> str:
 
 
 CUT = "(SELECT floor(count(*) / 1.31)::BIGINT FROM embeddings)"
+DRIFT = f"""x AS (SELECT i, avg(x)::FLOAT::DOUBLE AS now, avg(x) FILTER (WHERE vec_id < {CUT})::FLOAT::DOUBLE AS built FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i),
+moved AS (SELECT round(sqrt(sum((now - built) * (now - built))) / sqrt(sum(built * built)), 4) AS drift FROM x)"""
 SQL: dict[str, str] = {
     "vector_scan": "SELECT vec_id, embedding FROM embeddings",
     "index_count": "SELECT count(*) AS n FROM embeddings",
@@ -369,7 +440,7 @@ SQL: dict[str, str] = {
     "point_lookup": "SELECT vec_id, len(embedding)::BIGINT AS dim, embedding FROM embeddings WHERE vec_id IN (0, 7, 123)",
     "codec_roundtrip": "SELECT vec_id, (4 * len(embedding))::BIGINT AS bytes, embedding FROM embeddings",
     "ann_recall": "SELECT unnest(['built', 'grown']) AS index, true AS enough",
-    "graph_invariants": "SELECT unnest(['built', 'grown']) AS index, true AS edges_sane, true AS edges_distinct, true AS degrees_bounded, true AS all_reached, (SELECT count(*) FROM embeddings) AS nodes",
+    "graph_invariants": "SELECT unnest(['built', 'grown']) AS index, 0::BIGINT AS stray_edges, 0::BIGINT AS double_edges, 0::BIGINT AS over_degree, 0::BIGINT AS without_neighbours, (SELECT count(*) FROM embeddings) AS nodes, (SELECT count(*) FROM embeddings) AS reached",
     "sql_functions": f"SELECT o.vec_id, round({L2.format(a='q.embedding', b='o.embedding')}, 6) AS score FROM embeddings q JOIN embeddings o ON q.vec_id = 0 AND o.label = q.label",
     "metavec_level2": f"""WITH v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), {_level('v0', 'v1', 3)}, {_level('v1', 'v2', 2)}
 SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 6) AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM v2)""",
@@ -396,9 +467,14 @@ SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 6) AS x FROM (SELECT vec_id, v,
     "random_init_degree": "SELECT vec_id, least(64, count(*) OVER () - 1)::BIGINT AS degree FROM embeddings",
     "insert_then_count": "SELECT count(*) AS n FROM embeddings",
     "insert_then_search_exact": _knn(),
-    "drift_ratio": f"""WITH x AS (SELECT i, avg(x)::FLOAT::DOUBLE AS now, avg(x) FILTER (WHERE vec_id < {CUT})::FLOAT::DOUBLE AS built FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i)
-SELECT round(sqrt(sum((now - built) * (now - built))) / sqrt(sum(built * built)), 4) AS drift FROM x""",
-    "needs_rebuild": f"SELECT round((count(*) - {CUT}) / {CUT}::DOUBLE, 6) AS insert_ratio, true AS needs_rebuild FROM embeddings",
+    "drift_ratio": f"WITH {DRIFT} SELECT drift FROM moved",
+    "needs_rebuild": f"WITH {DRIFT}, r AS (SELECT round((count(*) - {CUT}) / {CUT}::DOUBLE, 6) AS insert_ratio FROM embeddings) SELECT drift, insert_ratio, drift > 0.05 OR insert_ratio > 0.3 AS needs_rebuild FROM moved, r",
+    "routed_search_all": _knn(),
+    "routed_upsert": _knn(table="(SELECT vec_id, CASE WHEN vec_id < 50 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings)", queries="embeddings"),
+    "warm_search": _knn(),
+    "repeated_batch": "SELECT count(*) AS n, count(*) AS ids_given, 0::INTEGER AS batch FROM embeddings",
+    "lookup_many": "SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT 2 * vec_id FROM embeddings WHERE vec_id % 3 = 0)",
+    "neighbour_update": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node_id, 1::BIGINT AS mark FROM embeddings",
     "search_with_rerank": _knn(),
     "rerank_missing_ids": _knn("o.vec_id % 3 <> 0"),
     "upsert_last_writer_wins": "SELECT vec_id % 100 AS id, max(vec_id) AS seq, arg_max(label, vec_id) AS label FROM embeddings GROUP BY vec_id % 100",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import threading
-import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = "shard int, node_id long, id long, vector array<float>, code binary, sq_norm double, l1_norm double, neighbors array<long>, entry boolean"
+NODES = "shard int, node_id long, id long, vector array<float>, code binary, sq_norm double, l1_norm double, neighbors array<long>, entry boolean, copy boolean"
 #: A shard's file is one row group, so that one task reads it whole.
 ROW_GROUP = 1 << 30
 
@@ -22,11 +22,15 @@ class Conflict(Exception):
 
 @dataclass(frozen=True)
 class Meta:
-    """What a version is: its settings and counters, the mean at build and the sum of all vectors, and the shards of each data folder."""
+    """What a version is: its settings and counters, the mean at build and the sum of all vectors, and the shards of each data folder.
+
+    subs: how many shards each cell has; cells: their centres, none where ids alone deal; cell_rows: nodes of each cell. node_count
+    counts vectors, next_id nodes, of which a vector at a boundary has two. batches: the last micro-batch of each stream.
+    """
 
     dim: int
     max_degree: int
-    shards: int
+    subs: list[int]
     node_count: int
     next_id: int
     vectors_at_build: int
@@ -35,13 +39,22 @@ class Meta:
     built_at: str
     build: str
     folders: dict[str, list[int]] = field(default_factory=dict)
+    cells: list[list[float]] = field(default_factory=list)
+    cell_rows: list[int] = field(default_factory=list)
+    boundary: float = 1.0
+    batches: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def shards(self) -> int:
+        return sum(self.subs)
 
 
 class IndexStore:
     """path/data/<attempt>/shard=<s>/: nodes; path/commits/<version>.json: Meta, created once and never changed, which is the commit.
 
-    Writers work in folders of their own and commit by creating the next record, which fails if it is there; readers take the newest
-    record that can be read. That holds on any file system whose exclusive create is atomic (HDFS); on a local one, in one process.
+    Writers work in folders of their own and commit by renaming a whole record to the next number, which fails if that is there; readers
+    take the newest record. One that was cut off or isn't a record was never committed, and is passed over; an error in reading one is an error. That
+    holds on any file system that renames atomically and not over a file (HDFS); on a local one, in one process.
     """
 
     _lock = threading.Lock()
@@ -67,22 +80,18 @@ class IndexStore:
                 return Meta(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
             finally:
                 stream.close()
-        except Exception:  # noqa: BLE001 - a record that is being written, was cut off or was removed
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileNotFoundException":
+                raise
+            return None  # vacuumed meanwhile
+        except (ValueError, TypeError):
             return None
 
-    def newest(self, patience: float = 2.0) -> tuple[int, Meta | None]:
-        """The largest version number in use (-1: none), and the newest version that can be read; a writer on top of it commits the next number.
-
-        A record that is just being written is waited for.
-        """
+    def newest(self) -> tuple[int, Meta | None]:
+        """The largest version number in use (-1: none), and the newest version that was committed; a writer on top of it commits the next number."""
         versions = self._versions()
-        for place, version in enumerate(reversed(versions)):
-            until = time.monotonic() + (patience if place == 0 else 0)
-            while (meta := self._read(version)) is None and time.monotonic() < until:
-                time.sleep(0.1)
-            if meta:
-                return versions[-1], meta
-        return max(versions, default=-1), None
+        found = (m for v in reversed(versions) if (m := self._read(v)))
+        return max(versions, default=-1), next(found, None)
 
     def meta(self, version: int) -> Meta:
         found = self._read(version)
@@ -122,16 +131,15 @@ class IndexStore:
         with self._lock:
             if fs.exists(path):
                 raise Conflict(version)
-            try:
-                stream = fs.create(path, False)
-            except Exception as e:
-                if fs.exists(path):
-                    raise Conflict(version) from e
-                raise
+            _, new = self._hadoop(f"commits/new-{uuid.uuid4().hex}")
+            stream = fs.create(new, False)
             try:
                 stream.write(bytearray(json.dumps(asdict(meta)).encode()))
             finally:
                 stream.close()
+            if not fs.rename(new, path):
+                fs.delete(new, False)
+                raise Conflict(version)
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Removes all but the newest keep versions, and data folders that only removed ones name. Readers of those versions fail."""

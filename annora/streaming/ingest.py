@@ -11,10 +11,13 @@ from annora.index import VectorIndex
 
 
 def ingest(stream: DataFrame, index: VectorIndex, checkpoint: str, on_drift: Callable[[VectorIndex], None] | None = None, **trigger) -> StreamingQuery:
-    """Inserts each micro-batch of stream as one version; a batch that is repeated after a failure replaces the same ids, so it counts once."""
+    """Inserts each micro-batch of stream as one version, which notes its number: one that is repeated after a failure changes nothing.
 
-    def take(batch: DataFrame, _: int) -> None:
-        index.insert(batch)
+    The stream is known by its checkpoint folder, which has the numbers.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        index.insert(batch, batch=(checkpoint, number))
         if on_drift and index.needs_rebuild():
             on_drift(index)
 
