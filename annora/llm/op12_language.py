@@ -134,7 +134,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], *, epochs: i
 def samples(docs: DataFrame, *, per_language: int, seed: int) -> DataFrame:
     """(lang, x): two windows of each of per_language documents of each language at most, and beginnings of them that are shorter; equal texts count once.
 
-    A hash of the text draws three times as many rows, of which copies go first, so that what is ranked doesn't grow with the table.
+    A hash of the text draws three times as many rows, of which copies go first, so that what is ranked doesn't grow with the table. What is
+    broadcast is a row per language, as many as the network has outputs.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def samples(docs: DataFrame, *, per_language: int, seed: int) -> DataFrame:
     known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     rows = known.groupBy("lang").agg(F.count("*").alias("rows"))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(DRAWS))
-    some = known.join(rows, "lang").where(drawn * F.col("rows") < DRAWS * 3 * per_language).where(has_letter(F.col("text")))
+    some = known.join(F.broadcast(rows), "lang").where(drawn * F.col("rows") < DRAWS * 3 * per_language).where(has_letter(F.col("text")))
     once = some.groupBy("lang", F.xxhash64(F.lit(seed + 1), "text").alias("h")).agg(F.min("text").alias("text"))
     few = once.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_language)
     return few.select("lang", F.col("text").cast("binary").alias("text"), "h").mapInArrow(cut, "lang string, x binary")
