@@ -45,10 +45,14 @@ def robust_prune(node: int, candidates: np.ndarray, vectors: np.ndarray, alpha:
     return chosen
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of each a[i] to rows of b[i]."""
+    return (a * a).sum(2)[:, :, None] + (b * b).sum(2)[:, None] - 2 * a @ b.transpose(0, 2, 1)
+
+
 def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float, degree: int, block: int = 64) -> list[list[int]]:
     """robust_prune() of many nodes, each with its pool, a block of nodes at a time; large pools, whose mutual distances would take much room, one by one."""
     out: list[list[int]] = [[] for _ in pools]
-    pools = [p[p != i] for i, p in zip(nodes, map(np.unique, pools), strict=True)]
     sizes = np.array([len(p) for p in pools], np.int64)
     for which in np.flatnonzero(sizes > 8 * degree).tolist():
         out[which] = robust_prune(int(nodes[which]), pools[which], vectors, alpha, degree)
@@ -56,70 +60,92 @@ def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray,
     by_size = by_size[sizes[by_size] <= 8 * degree]
     for at in range(0, len(by_size), block):
         part = by_size[at : at + block]
-        most = max(len(pools[r]) for r in part)
+        most = sizes[part].max()
         if not most:
             continue
         cand = np.full((len(part), most), -1, np.int64)
         for r, which in enumerate(part):
-            cand[r, : len(pools[which])] = pools[which]
-        own = np.stack([l2_to(vectors[nodes[which]], vectors[cand[r]]) for r, which in enumerate(part)])
+            cand[r, : sizes[which]] = pools[which]
+        cand.sort(axis=1)
+        cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
+        cand[cand == nodes[part][:, None]] = -1
+        diff = vectors[cand].astype(np.float64) - vectors[nodes[part]].astype(np.float64)[:, None]
+        own = np.einsum("ijk,ijk->ij", diff, diff)
         own[cand < 0] = np.inf
-        order = np.lexsort((cand, own), axis=1)
+        order = np.argsort(own, axis=1, kind="stable")[:, : (cand >= 0).sum(1).max()]
         cand, own = np.take_along_axis(cand, order, 1), np.take_along_axis(own, order, 1)
         x = vectors[cand].astype(np.float64)
-        norms = (x * x).sum(2)
-        apart = norms[:, :, None] + norms[:, None, :] - 2 * x @ x.transpose(0, 2, 1)
         alive, chosen = cand >= 0, np.full((len(part), degree), -1, np.int64)
-        for step in range(degree):
-            rows = np.flatnonzero(alive.any(1))
-            if not len(rows):
-                break
-            first = alive[rows].argmax(1)
-            chosen[rows, step] = cand[rows, first]
-            alive[rows] &= alpha * apart[rows, first] > own[rows]
-            alive[rows, first] = False
+        picked = np.full((len(part), degree), -1, np.int64)  # places in cand
+        count, every = np.zeros(len(part), np.int64), np.arange(len(part))
+        # Nearest first, as many at a time as a node may keep: what is far is mostly ruled out by what was chosen before it.
+        for low in range(0, cand.shape[1], degree):
+            tier = slice(low, low + degree)
+            if low:
+                before = x[every[:, None], np.maximum(picked[:, : max(1, count.max())], 0)]
+                near = _apart(before, x[:, tier])
+                near[picked[:, : near.shape[1]] < 0] = np.inf
+                alive[:, tier] &= (alpha * near > own[:, None, tier]).all(1)
+            mutual = _apart(x[:, tier], x[:, tier])
+            while True:
+                rows = np.flatnonzero(alive[:, tier].any(1) & (count < degree))
+                if not len(rows):
+                    break
+                best = alive[rows, tier].argmax(1)
+                chosen[rows, count[rows]] = cand[rows, low + best]
+                picked[rows, count[rows]] = low + best
+                count[rows] += 1
+                alive[rows, tier] &= alpha * mutual[rows, best] > own[rows, tier]
+                alive[rows, low + best] = False
         for r, which in enumerate(part):
             out[which] = chosen[r][chosen[r] >= 0].tolist()
     return out
 
 
 class Adjacency:
-    """Neighbours of nodes as rows of one array, -1 where there are fewer; never more than degree."""
+    """Neighbours of nodes as rows of one array, -1 where there are fewer. Pruning leaves degree of them; links back may add half as many before a node is pruned."""
 
     def __init__(self, graph: list, degree: int) -> None:
-        self.near = np.full((len(graph), degree), -1, np.int64)
+        self.degree = degree
+        self.near = np.full((len(graph), degree + (degree + 1) // 2), -1, np.int64)
+        self.size = np.array([len(own) for own in graph], np.int64)
         for i, own in enumerate(graph):
             self.near[i, : len(own)] = own
 
     def of(self, node: int) -> np.ndarray:
-        own = self.near[node]
-        return own[own >= 0]
+        return self.near[node, : self.size[node]]
 
     def put(self, node: int, own: list[int] | np.ndarray) -> None:
-        self.near[node, : len(own)], self.near[node, len(own) :] = own, -1
+        self.near[node, : len(own)], self.near[node, len(own) :], self.size[node] = own, -1, len(own)
+
+    def prune(self, nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float) -> None:
+        for i, own in zip(nodes.tolist(), prune_many(nodes, pools, vectors, alpha, self.degree), strict=True):
+            self.put(i, own)
 
     def link(self, nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float) -> None:
         """Each of nodes gets what pruning leaves of its pool, and these get it back; what has no room for more is pruned."""
-        degree, back = self.near.shape[1], {}
-        for i, own in zip(nodes.tolist(), prune_many(nodes, pools, vectors, alpha, degree), strict=True):
-            self.put(i, own)
-            for j in own:
+        self.prune(nodes, pools, vectors, alpha)
+        back: dict[int, list[int]] = {}
+        for i in nodes.tolist():
+            for j in self.of(i).tolist():
                 back.setdefault(j, []).append(i)
         full = []
         for j, more in back.items():
-            own = self.of(j)
-            known = set(own.tolist())
+            known = set(self.of(j).tolist())
             more = [i for i in more if i not in known]
-            if len(own) + len(more) <= degree:
-                self.near[j, len(own) : len(own) + len(more)] = more
+            n = self.size[j]
+            if n + len(more) <= self.near.shape[1]:
+                self.near[j, n : n + len(more)] = more
+                self.size[j] += len(more)
             else:
-                full.append((j, np.concatenate([own, more])))
-        ids = np.array([j for j, _ in full], np.int64)
-        for j, own in zip(ids.tolist(), prune_many(ids, [pool for _, pool in full], vectors, alpha, degree), strict=True):
-            self.put(j, own)
+                full.append((j, np.concatenate([self.of(j), more])))
+        self.prune(np.array([j for j, _ in full], np.int64), [pool for _, pool in full], vectors, alpha)
 
-    def lists(self) -> list[list[int]]:
-        return [row[row >= 0].tolist() for row in self.near]
+    def settle(self, vectors: np.ndarray, alpha: float) -> list[list[int]]:
+        """Neighbours of each node, once those that have more than degree are pruned."""
+        over = np.flatnonzero(self.size > self.degree)
+        self.prune(over, [self.of(i) for i in over.tolist()], vectors, alpha)
+        return [self.of(i).tolist() for i in range(len(self.near))]
 
 
 Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -149,14 +175,14 @@ def by_codes(queries: np.ndarray, centroid: np.ndarray, sign: np.ndarray, sq: np
     return measure
 
 
-def search_many(measure: Measure, queries: int, near: np.ndarray, start: int, width: int, ahead: int = 4) -> tuple[np.ndarray, list[np.ndarray]]:
+def search_many(measure: Measure, queries: int, near: np.ndarray, start: int, width: int, ahead: int = 8) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each query the width best nodes that best-first search from start meets (best first, -1 where there are fewer), and those it looked into.
 
     Queries go side by side: in each step every one of them looks into its `ahead` best nodes that it hasn't yet, until the width best
     are all looked into. A node is measured once per query.
     """
     b, n = queries, len(near)
-    seen = np.zeros((b, n), bool)
+    seen, last = np.zeros((b, n), bool), np.empty((b, n), np.int32)
     seen[:, start] = True
     best = np.full((b, width), -1, np.int64)
     far = np.full((b, width), np.inf)
@@ -174,16 +200,20 @@ def search_many(measure: Measure, queries: int, near: np.ndarray, start: int, wi
         row, to = np.repeat(who, near.shape[1]), near[nodes].ravel()
         fresh = to >= 0
         fresh[fresh] = ~seen[row[fresh], to[fresh]]
-        key = np.unique(row[fresh] * n + to[fresh])
-        row, to = key // n, key % n
+        row, to = row[fresh], to[fresh]
+        last[row, to] = np.arange(len(row))
+        once = last[row, to] == np.arange(len(row))
+        row, to = row[once], to[once]
         seen[row, to] = True
         d = measure(row, to)
         good = d < far[row, -1]
         row, to, d = row[good], to[good], d[good]
         if not len(row):
             continue
-        rows, begin, count = np.unique(row, return_index=True, return_counts=True)
-        place, slot = np.repeat(np.arange(len(rows)), count), np.arange(len(row)) - np.repeat(begin, count)
+        count = np.bincount(row, minlength=b)  # row ascends
+        rows = np.flatnonzero(count)
+        count = count[rows]
+        place, slot = np.repeat(np.arange(len(rows)), count), np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         more, more_far = np.full((len(rows), count.max()), -1, np.int64), np.full((len(rows), count.max()), np.inf)
         more[place, slot], more_far[place, slot] = to, d
         both_far = np.concatenate([far[rows], more_far], 1)
@@ -254,7 +284,7 @@ def build_graph(vectors: np.ndarray, *, degree: int, search_list: int, passes: i
     graph, rng = Adjacency(random_neighbours(n, degree, seed), degree), np.random.default_rng([seed, n])
     for _ in range(passes):
         refine(graph, rng.permutation(n), vectors, start, search_list, alpha)
-    return attach(graph.lists(), vectors, start, degree), start
+    return attach(graph.settle(vectors, alpha), vectors, start, degree), start
 
 
 def refine(graph: Adjacency, order: np.ndarray, vectors: np.ndarray, start: int, search_list: int, alpha: float, most: int = 128) -> None:
@@ -271,7 +301,7 @@ def extend_graph(graph: list[list[int]], vectors: np.ndarray, start: int, *, deg
     n = len(vectors)
     grown = Adjacency(graph + [[]] * (n - len(graph)), degree)
     refine(grown, np.arange(len(graph), n), vectors, start, search_list, alpha)
-    return attach(grown.lists(), vectors, start, degree)
+    return attach(grown.settle(vectors, alpha), vectors, start, degree)
 
 
 def hops(graph: list, start: int, depth: int) -> np.ndarray:

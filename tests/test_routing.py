@@ -280,11 +280,11 @@ def test_build_recall_with_a_beam_of_128(n):
 
 
 def test_second_pass_helps_a_narrow_beam():
-    v, q = normal(1500, 64), normal(100, 64, 5)
+    v, q = normal(2500, 64), normal(300, 64, 5)
     recall = []
     for passes in (0, 1, 2):
         graph, start = kernels.build_graph(v, degree=12, search_list=24, passes=passes, alpha=1.2, seed=42)
-        best, _ = kernels.search_many(kernels.exactly(q, v), len(q), kernels.Adjacency(graph, 12).near, start, 20)
+        best, _ = kernels.search_many(kernels.exactly(q, v), len(q), kernels.Adjacency(graph, 12).near, start, 10)
         recall.append(np.mean([len(set(b[:10].tolist()) & set(exact(v, x, 10))) / 10 for x, b in zip(q, best, strict=True)]))
     assert recall[0] < recall[1] < recall[2]
 
