@@ -26,9 +26,15 @@ def _any(words: tuple[str, ...]) -> str:
 
 ANNOUNCED = _any(ANNOUNCE) + r"[\s\"'`]{0,3}[:=]?[>\s\"'`]{0,4}"
 _RUN = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}|" + _any(KNOWN) + r"[A-Za-z0-9+/_-]{8,})={0,2}"
+_STOP = r".,;:)\]"
+_OUT = r"\s\"'`<>"
 #: Runs that may be a secret: 16 characters or more with a digit; 8 or more behind a known prefix; and behind a word that announces a
-#: secret 6 to 512 of any but spaces, quotes and angle brackets, up to where a run of the first two kinds begins or the last stop or bracket.
-CANDIDATE = _RUN + r"|(?<=[\s:=>\"'`])(?=[^\s\"'`<>]{6})(?<=(?i:" + ANNOUNCED + r"))(?:(?!" + _RUN + r")[^\s\"'`<>]){5,511}(?!" + _RUN + r")[^\s\"'`<>.,;:)\]]"
+#: secret 6 or more of any but spaces, quotes and angle brackets, up to where a run of the first two kinds begins or the last stop or bracket.
+#: Loops are possessive, so that a run may have any length, and take stops together, so that each is looked at once.
+CANDIDATE = (
+    _RUN + r"|(?<=[\s:=>\"'`])(?=(?:(?!" + _RUN + ")[^" + _OUT + "]){5}[" + _STOP + "]*+(?!" + _RUN + ")[^" + _OUT + _STOP + "])(?<=(?i:" + ANNOUNCED + "))"
+    "(?:(?!" + _RUN + ")[^" + _OUT + _STOP + "]|[" + _STOP + "]++(?![" + _OUT + r"]|\z)(?!" + _RUN + "))++"
+)
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -133,18 +139,22 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
     return r.withColumn("x", F.get(chosen, pick.cast("int"))).select("x.token", "x.before", F.lit(" and then ").alias("after"), F.when(F.pmod(F.xxhash64("b"), F.lit(9)) == 0, F.lit("tests/example.txt")).alias("path"), F.col("x.label").cast("double").alias("label"))
 
 
-def fit_forest(labelled: DataFrame, *, max_rows: int = 50_000, trees: int = 24, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel:
+def fit_forest(labelled: DataFrame, *, max_rows: int = 50_000, trees: int = 24, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel | float:
     """A forest fitted on max_rows labelled findings (token, before, after, path, label 0/1) at most, a seeded sample.
 
-    Findings and features are stored, as fitting reads them once per level of the trees.
+    Findings and features are stored, as fitting reads them once per level of the trees. Where all labels are the same there is nothing to
+    tell apart: then it is that label, which every finding gets as its score, or 0.5 without labels. Null and empty tokens and null labels are left out.
     """
     rows = stored(labelled, "secrets-labelled").where("token is not null and token <> '' and label is not null").orderBy(F.xxhash64(F.lit(seed), "token", "before"), "token", "before").limit(max_rows)
+    labels = [float(r.label) for r in rows.select("label").distinct().limit(2).collect()]
+    if len(labels) < 2:
+        return labels[0] if labels else 0.5
     rated = stored(features(rows).select(*FEATURES, "label").coalesce(1), "secrets-features")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rated).select("_features", "label").coalesce(1)
     return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(ready)
 
 
-def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, *, path_col: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel | float, *, path_col: str | None = None) -> DataFrame:
     """Every candidate in docs (doc_id, text) with the forest's score; is_secret from 0.5 on.
 
     Edge cases: null and empty texts have no candidates; a null id is kept; repeated rows are reported each; equal candidates of a
@@ -152,6 +162,10 @@ def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, *, pa
 
     Returns doc_id, start, end (code points of the whole text), token_sha256 (the secret itself isn't repeated), score, is_secret.
     """
-    rated = forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(features(candidates(docs, path_col))))
-    score = F.get(vector_to_array("probability"), F.lit(1))
+    found = candidates(docs, path_col)
+    if isinstance(forest, float):
+        rated, score = found, F.lit(forest)
+    else:
+        rated = forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(features(found)))
+        score = F.get(vector_to_array("probability"), F.lit(1))
     return rated.select("doc_id", "start", "end", F.sha2("token", 256).alias("token_sha256"), score.alias("score"), (score >= 0.5).alias("is_secret"))

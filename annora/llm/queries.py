@@ -20,7 +20,7 @@ from annora.llm.op5_mixing import mix_sources, quality_weights
 from annora.llm.op6_toxicity import toxicity_report
 from annora.llm.op7_chat import fold_events, read_back, render, turns_as_events
 from annora.llm.op8_embedding import embedding_duplicates
-from annora.llm.op9_substring import EDGE, repeated_spans
+from annora.llm.op9_substring import EDGE, repeated_spans, without_repeats
 
 #: Conversation -1 of op7: both texts try to end their turn.
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -68,7 +68,18 @@ def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words")
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def substring_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9_substring SQL can express."""
+    return op9_substring(spark, sf_dir).select("doc_id", "start", "end", "n_words")
+
+
+def substring_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the removal of its repeated spans leaves it: how many spans went, and the digest of what is left (null: no text)."""
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).cast("long").alias("n_spans"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def made_periodic(docs: DataFrame) -> DataFrame:
@@ -116,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_periodic": op11_periodic,
     "op12_language": op12_language,
     "op13_divergence": op13_divergence,
+    "substring_spans": substring_spans,
+    "substring_removed": substring_removed,
 }
 
 #: CRC-32 of a text's UTF-8 bytes, by the reflected polynomial's table.
@@ -142,6 +155,19 @@ BANDED = """list_reduce(list_transform(range(1, n + 1), lambda j: [j]), lambda o
       CASE WHEN j[1] + q - 3 BETWEEN 0 AND m AND q < 5 THEN old[q + 1] + 1 ELSE 99 END))) END),
     [99, 99, 0, 1, 2]::BIGINT[])[m - n + 3]"""
 
+#: The spans of op9.
+REPEATED = f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '[{SPACES}]*[^{SPACES}]+') AS p FROM documents),
+t AS (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS piece FROM p),
+w AS (SELECT doc_id, k, regexp_extract(piece, '[^{SPACES}]+') AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM t),
+n AS (SELECT doc_id, k, stop - length(word) AS start, stop, lower(trim(word, '{EDGE.replace("'", "''")}')) AS word FROM w),
+g AS (SELECT doc_id, k, start, max(stop) OVER f AS stop, md5(string_agg(word, ' ') OVER f) AS g, count(*) OVER f AS size
+  FROM n WINDOW f AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+again AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, k) AS time FROM g WHERE size = 30) WHERE time > 1),
+edge AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 30 >= k THEN 0 ELSE 1 END AS fresh FROM again),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM edge),
+spans AS (SELECT doc_id, min(start)::INTEGER AS start, max(stop)::INTEGER AS "end", (max(k) + 30 - min(k))::BIGINT AS n_words FROM run GROUP BY doc_id, run)"""
+
 SQL: dict[str, str] = {
     "op1_sharding": f"""
 WITH {CRC32},
@@ -187,17 +213,12 @@ f AS (SELECT *, count(*) OVER (PARTITION BY root) AS n_lines, first_value(doc_id
   FROM c WINDOW w AS (PARTITION BY root ORDER BY doc_id NULLS FIRST, line_no))
 SELECT doc_id, line_no::INTEGER AS line_no, coalesce(first_doc_id::VARCHAR, 'null') || ':' || first_line_no AS class_id, n_lines::BIGINT AS n_lines,
   first_doc_id, first_line_no::INTEGER AS first_line_no, doc_id IS NOT DISTINCT FROM first_doc_id AND line_no = first_line_no AS kept FROM f""",
-    "op9_substring": f"""
-WITH p AS (SELECT doc_id, regexp_extract_all(text, '[{SPACES}]*[^{SPACES}]+') AS p FROM documents),
-t AS (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS piece FROM p),
-w AS (SELECT doc_id, k, regexp_extract(piece, '[^{SPACES}]+') AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM t),
-n AS (SELECT doc_id, k, stop - length(word) AS start, stop, lower(trim(word, '{EDGE.replace("'", "''")}')) AS word FROM w),
-g AS (SELECT doc_id, k, start, max(stop) OVER f AS stop, md5(string_agg(word, ' ') OVER f) AS g, count(*) OVER f AS size
-  FROM n WINDOW f AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
-again AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, k) AS time FROM g WHERE size = 30) WHERE time > 1),
-edge AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 30 >= k THEN 0 ELSE 1 END AS fresh FROM again),
-run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM edge)
-SELECT doc_id, min(start)::INTEGER AS start, max(stop)::INTEGER AS "end", (max(k) + 30 - min(k))::BIGINT AS n_words FROM run GROUP BY doc_id, run""",
+    "substring_spans": f"{REPEATED} SELECT doc_id, start, \"end\", n_words FROM spans",
+    "substring_removed": f"""{REPEATED},
+each AS (SELECT doc_id, list(start ORDER BY start) AS s, list("end" ORDER BY start) AS e FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(s), 0)::BIGINT AS n_spans, length(kept)::BIGINT AS n_chars, sha256(kept) AS text_sha256
+FROM (SELECT d.doc_id, s, CASE WHEN s IS NULL THEN text ELSE array_to_string(list_transform(range(0, len(s) + 1),
+  lambda i: text[CASE WHEN i = 0 THEN 1 ELSE e[i] + 1 END : CASE WHEN i = len(s) THEN length(text) ELSE s[i + 1] END]), '') END AS kept FROM documents d LEFT JOIN each USING (doc_id)) d""",
     "op5_mixing": """
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,

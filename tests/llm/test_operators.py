@@ -436,3 +436,17 @@ def test_one_per_component_of_shared_ids(spark, none):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(1, x), (5, y), (5, ""), (5, None), (9, z.upper()), (11, "q r")], key=str)
     assert one_per_component(none, width=5, num=80, den=100).count() == 0
+
+
+def test_long_secrets_are_found_whole(spark):
+    rows = [(1, f"token: {'k' * 800}! next", "a"), (2, f"password = {'é.' * 50_000}é))) end", "a"), (3, f"secret: {'.' * 100_000}", "a"), (4, f"token: {'a' * 600}ghp_{'b' * 20}", "a"), (5, f"token: {'a.' * 300}ghp_{'b' * 20} x", "a")]
+    found = {(r.doc_id, r.start): r.end for r in candidates(documents(spark, rows)).collect()}
+    assert found == {(1, 7): 808, (2, 11): 100_012, (4, 7): 631, (5, 7): 606, (5, 607): 631}
+
+
+@pytest.mark.parametrize(("labels", "score"), [([], 0.5), ([1.0, 1.0], 1.0), ([0.0], 0.0), ([None], 0.5)])
+def test_labels_that_tell_nothing_apart(spark, labels, score):
+    rows = [("abcdef0123456789abcd", "token: ", "", None, y) for y in labels]
+    forest = fit_forest(spark.createDataFrame(rows, "token string, before string, after string, path string, label double"))
+    found = scan_secrets(documents(spark, [(1, "token: abcdef0123456789abcd", "a")]), forest).collect()
+    assert [(r.score, r.is_secret) for r in found] == [(score, score >= 0.5)]
