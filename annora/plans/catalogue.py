@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
 from annora.functions import columns as V
-from annora.functions.codec import pack_floats, unpack_floats
+from annora.functions.codec import pack_floats, pack_longs, unpack_floats, unpack_longs
 from annora.index import VectorIndex
 from annora.operators import graph as G
 from annora.operators.evaluate import recall, spearman
 from annora.operators.knn import knn_exact
-from annora.operators.metavec import meta_levels, meta_vectors, stratum
+from annora.operators.metavec import meta_levels, meta_vectors, refreshed, stratum
 from annora.operators.quantize import encoded, pairs, reranked, top_estimates
 from annora.operators.stats import centroid, drift, medoid
 from annora.session import shared_dir
@@ -392,11 +392,74 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT b.vec_id, round(l2sq(a.embedding, b.embedding), 6) AS score FROM {e} a JOIN {e} b ON a.vec_id = 0 AND b.label = a.label", e=e)
 
 
+def codec_longs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of longs as blobs of 8 bytes each, and back."""
+    e = embeddings(spark, sf_dir).select("vec_id", pack_longs(F.array(F.col("vec_id"), F.col("vec_id") * -3_000_000_000, F.col("label").cast("long"))).alias("blob"))
+    return e.select("vec_id", F.lower(F.hex("blob")).alias("blob"), unpack_longs("blob").alias("longs"))
+
+
+def tracked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running mean of an index after an insert, as a new object at its path reads it."""
+    base, batch = split(embeddings(spark, sf_dir))
+    made = index(spark, base)
+    made.insert(batch)
+    t = VectorIndex(spark, made.store.path).tracker()
+    return spark.createDataFrame([(i, round(float(x), 6), t.inserts_since) for i, x in enumerate(t.current)], "i long, x double, inserts_since long")
+
+
+def rebuilt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built, rebuilt in the background from other vectors, old versions removed, opened again and searched."""
+    e = embeddings(spark, sf_dir)
+    made = index(spark, split(e)[0], EXACT)
+    made.rebuild_async(e).result()
+    made.vacuum()
+    return ranked(VectorIndex(spark, made.store.path, EXACT).search(asked(e), K))
+
+
+def metavec_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five smallest distances to all vectors, made over the base and brought up to date with the insert batch alone."""
+    e = embeddings(spark, sf_dir)
+    base, batch = split(e)
+    made = refreshed(stratum(base, asked(e), 5), batch, asked(e), 5, base.count())
+    return made.select("vec_id", F.posexplode("s").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def metavec_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strata, searched on even and odd vec_ids and weighted 0.5 and 2, after the query set's vectors."""
+    e = embeddings(spark, sf_dir)
+    made = meta_vectors(asked(e), [(stratum(e.where(f"vec_id % 2 = {odd}"), asked(e), 3), weight) for odd, weight in ((0, 0.5), (1, 2.0))])
+    return made.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def sql_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered estimate, used in a query text."""
+    V.register(spark)
+    p = _estimated(spark, sf_dir)
+    return spark.sql("SELECT query_id, id AS vec_id, round(rabitq_asym(qsq, sq_norm, l1_norm, dot), 6) AS score FROM {p}", p=p)
+
+
+def start_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degree statistics of the graph that building starts from."""
+    return G.degree_stats(index(spark, embeddings(spark, sf_dir), IndexConfig(build_passes=0)).nodes(), IndexConfig().max_degree)
+
+
+def insert_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall by the graph with a beam of 200, and how many of the inserted vectors among the queries find themselves, after an insert of a third."""
+    e, cfg = embeddings(spark, sf_dir), IndexConfig(exact_up_to=0, rerank_top_n=200, ef_search=200)
+    base, batch = split(e)
+    grown, true = index(spark, base, cfg), knn_exact(e, asked(e), K)
+    grown.insert(batch)
+    found = grown.search(asked(e), K).checkpoint()
+    own = found.join(asked(batch).select(F.col("vec_id").alias("query_id")), "query_id").agg(F.count_if(F.col("id") == F.col("query_id")).alias("found_themselves"), F.count_distinct("query_id").alias("inserted_queries"))
+    return recall(found, true, K).select(F.round("recall", 6).alias("recall")).crossJoin(own)
+
+
 NAMES = """vector_scan index_count max_node_id point_lookup codec_roundtrip ann_recall graph_invariants metavec_level2 sql_functions encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
 rabitq_asym rabitq_sym rabitq_paper rabitq_topm two_stage_flat negative_estimates spearman_rho recall_rabitq ann_search_default ann_search_narrow graph_edges degree_stats
 graph_reachability random_init_degree insert_then_count insert_then_search_exact drift_ratio needs_rebuild search_with_rerank rerank_missing_ids upsert_last_writer_wins
 index_meta metavec_level1
-routed_search_all routed_recall routed_upsert build_passes warm_search repeated_batch lookup_many neighbour_update""".split()
+routed_search_all routed_recall routed_upsert build_passes warm_search repeated_batch lookup_many neighbour_update
+codec_longs tracked_mean rebuilt_index metavec_refreshed metavec_strata sql_estimates start_graph_degrees insert_recall""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"centroid": centroid_q, "medoid": medoid_q} | {n: globals()[n] for n in NAMES}
 
@@ -474,6 +537,15 @@ SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 6) AS x FROM (SELECT vec_id, v,
     "warm_search": _knn(),
     "repeated_batch": "SELECT count(*) AS n, count(*) AS ids_given, 0::INTEGER AS batch FROM embeddings",
     "lookup_many": "SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT 2 * vec_id FROM embeddings WHERE vec_id % 3 = 0)",
+    "codec_longs": "SELECT vec_id, lower(string_agg(hex, '' ORDER BY k)) AS blob, list(x ORDER BY k) AS longs FROM (SELECT vec_id, k, x, (SELECT string_agg(format('{:02x}', ((x >> (8 * b)) & 255)::BIGINT), '' ORDER BY b) FROM range(0, 8) t(b)) AS hex FROM (SELECT vec_id, unnest([0, 1, 2]) AS k, unnest([vec_id, vec_id * -3000000000, label::BIGINT]) AS x FROM embeddings)) GROUP BY vec_id",
+    "tracked_mean": f"SELECT i - 1 AS i, round(avg(x), 6) AS x, any_value(n - {CUT})::BIGINT AS inserts_since FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x, count(*) OVER () AS n FROM embeddings) GROUP BY i",
+    "rebuilt_index": _knn(),
+    "metavec_refreshed": f"SELECT query_id AS vec_id, (rank - 1)::BIGINT AS i, score AS x FROM ({_knn(k=5)})",
+    "metavec_strata": f"""WITH a AS ({_knn("o.vec_id % 2 = 0", 3).replace("round(d, 6)", "d")}), b AS ({_knn("o.vec_id % 2 = 1", 3).replace("round(d, 6)", "d")})
+SELECT vec_id, (i - 1)::BIGINT AS i, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 50 = 0)
+UNION ALL SELECT query_id, (64 + rank - 1)::BIGINT, round(score * 0.5::DOUBLE, 6) FROM a UNION ALL SELECT query_id, (67 + rank - 1)::BIGINT, round(score * 2.0::DOUBLE, 6) FROM b""",
+    "sql_estimates": f"WITH {EST} SELECT query_id, vec_id, round(est, 6) AS score FROM a",
+    "start_graph_degrees": "SELECT least(64, count(*) - 1)::INTEGER AS min_degree, least(64, count(*) - 1)::INTEGER AS max_degree, least(64, count(*) - 1)::DOUBLE AS avg_degree, 0::BIGINT AS over, 0::BIGINT AS alone FROM embeddings",
     "neighbour_update": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node_id, 1::BIGINT AS mark FROM embeddings",
     "search_with_rerank": _knn(),
     "rerank_missing_ids": _knn("o.vec_id % 3 <> 0"),
