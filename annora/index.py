@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
-from annora.operators.graph import build_nodes, checked, graph_search, insert_nodes, last_writes, with_neighbours
-from annora.operators.knn import knn_exact
+from annora.operators.graph import build_nodes, checked, graph_join, graph_search, insert_nodes, last_writes, with_neighbours
+from annora.operators.knn import knn_exact, knn_join
 from annora.operators.quantize import reranked
 from annora.operators.routing import Layout, fit_centres
 from annora.operators.stats import vector_sums
@@ -212,6 +212,17 @@ class VectorIndex:
             return knn_exact(self._scan(meta).where(HOME).select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col)), queries, k, id_col=self.id_col, vec_col=self.vec_col)
         return graph_search(lambda shards: self._scan(meta, shards), queries, np.array(meta.centroid, np.float32), k, self.cfg, id_col=self.id_col, vec_col=self.vec_col, layout=Layout.of(meta))
 
+    def search_join(self, queries: DataFrame, k: int) -> DataFrame:
+        """search() for query sets as large as the index: both sides are shuffled, and no query passes the driver. Exact or by graph, as search() is."""
+        if k < 1:
+            raise ValueError("k must be 1 or more")
+        meta = self.meta()
+        nodes = self._scan(meta)
+        queries = checked(queries, meta.dim, self.id_col, self.vec_col)
+        if 0 < meta.node_count <= self.cfg.exact_up_to:
+            return knn_join(nodes.where(HOME).select("id", "vector"), queries, k, id_col="id", vec_col="vector")
+        return graph_join(nodes, queries, np.array(meta.centroid, np.float32), k, self.cfg, Layout.of(meta), id_col="id", vec_col="vector")
+
     def search_with_rerank(self, queries: DataFrame, k: int, vectors: DataFrame | Callable[[DataFrame], DataFrame] | None, *, fallback: bool = False) -> DataFrame:
         """Candidates of search(), scored again with vectors kept elsewhere: a table, or what a function makes of the candidates' ids. None: as they are.
 

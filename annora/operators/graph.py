@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
 from annora.functions import kernels
-from annora.operators.knn import query_blocks
+from annora.operators.knn import matrix_of, query_blocks
 from annora.operators.routing import Layout, split_shards  # noqa: F401
 from annora.sources.store import NODES
 
@@ -115,32 +115,18 @@ def graph_search(nodes: DataFrame | Callable[[set[int]], DataFrame], queries: Da
     Queries go out in blocks; nodes aren't shuffled. Every shard is searched for every query, or, with a layout that has centres, those
     of the cfg.probes cells nearest to the query: nodes then gives those of some shards, and only what a query of the block needs is read.
     """
-    rerank, width = cfg.beam(k)
     centroid = np.array(center, np.float32)
     sc, found = queries.sparkSession.sparkContext, None
     schema = "query_id long, id long, score double"
     cells = layout.cells if layout else 1
 
+    answer = _searcher(centroid, k, cfg)
+
     def searcher(shared):
         def work(number: int, rows: pa.Table) -> pa.RecordBatch:
             ids, asked, probed = shared.value
-            if probed is not None:
-                own = (probed == number % cells).any(1)
-                ids, asked = ids[own], asked[own]
-            out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-            if len(ids):
-                shard = Shard(rows)
-                v, sq, l1 = shard.vectors(), rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm")
-                sign = shard.signs(v.shape[1])
-            for at in range(0, len(ids), TOGETHER):
-                q = asked[at : at + TOGETHER]
-                best, _ = kernels.search_many(kernels.by_codes(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
-                for qid, one, met in zip(ids[at : at + TOGETHER], q, best[:, :rerank], strict=True):
-                    met = met[met >= 0]
-                    d = kernels.l2_to(one, v[met])
-                    first = np.lexsort((shard.ids[met], d))[:k]
-                    out.append((np.full(len(first), qid), shard.ids[met[first]], d[first]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
+            own = np.ones(len(ids), bool) if probed is None else (probed == number % cells).any(1)
+            return answer(rows, ids[own], asked[own])
 
         return work
 
@@ -153,12 +139,78 @@ def graph_search(nodes: DataFrame | Callable[[set[int]], DataFrame], queries: Da
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = queries.sparkSession.createDataFrame([], schema)
-    if layout and layout.centres is not None:  # a vector near a boundary is found in two cells
+    return _ranked(found, k, layout is not None and layout.centres is not None)
+
+
+def _searcher(centroid: np.ndarray, k: int, cfg: IndexConfig) -> Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]:
+    """(a shard's nodes, query ids, query vectors) -> (query_id, id, score): the k nearest of what the search over codes finds."""
+    rerank, width = cfg.beam(k)
+
+    def answer(rows: pa.Table, ids: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(ids):
+            shard = Shard(rows)
+            v, sq, l1 = shard.vectors(), rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm")
+            sign = shard.signs(v.shape[1])
+        for at in range(0, len(ids), TOGETHER):
+            q = asked[at : at + TOGETHER]
+            best, _ = kernels.search_many(kernels.by_codes(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
+            for qid, one, met in zip(ids[at : at + TOGETHER], q, best[:, :rerank], strict=True):
+                met = met[met >= 0]
+                d = kernels.l2_to(one, v[met])
+                first = np.lexsort((shard.ids[met], d))[:k]
+                out.append((np.full(len(first), qid), shard.ids[met[first]], d[first]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
+
+    return answer
+
+
+def _ranked(found: DataFrame, k: int, twice: bool) -> DataFrame:
+    """The k best rows of each query; twice: a vector near a boundary may be found in two cells."""
+    if twice:
         found = found.repartition("query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def graph_join(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, layout: Layout, *, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """What graph_search() returns, for query sets of any size: no query passes the driver.
+
+    Queries are sent to the shards that they look into, in blocks of about block_rows, so that a cell that very many of them look into is searched by
+    several tasks; nodes are shuffled, as many times as their cell has blocks. The driver counts queries per cell.
+    """
+    centroid, cells, probes = np.array(center, np.float32), layout.cells, cfg.probes
+    answer = _searcher(centroid, k, cfg)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                probed = layout.probed(matrix_of(batch.column(1)), probes)
+                probed = np.zeros((len(batch), 1), np.int64) if probed is None else probed
+                own = batch.take(pa.array(np.repeat(np.arange(len(batch)), probed.shape[1])))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(probed.ravel().astype(np.int32))], names=["query_id", "q", "cell"])
+
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<float>").alias("q")).mapInArrow(routed, "query_id long, q array<float>, cell int")
+    count = dict(map(tuple, asked.groupBy("cell").count().collect()))
+    blocks = F.array(*(F.lit(max(1, -(-count.get(c, 0) // block_rows))) for c in range(cells)))
+    subs = F.array(*map(F.lit, layout.subs))
+    asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.get(subs, F.col("cell")) - 1)))
+    asked = asked.select("query_id", "q", (F.col("sub") * cells + F.col("cell")).alias("shard"), F.pmod(F.xxhash64("query_id"), F.get(blocks, F.col("cell"))).cast("int").alias("block"))
+    cell = F.col("shard") % cells
+    wanted = nodes.where(cell.isin(sorted(count))) if len(count) < cells else nodes
+    dealt = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, cell) - 1)))
+
+    def work(own: pa.Table, some: pa.Table) -> pa.Table:
+        ids = some["query_id"].to_numpy() if len(own) else np.empty(0, np.int64)
+        rows = matrix_of(some["q"].combine_chunks()).astype(np.float32) if len(ids) else np.empty((0, len(centroid)))
+        if len(ids) and rows.shape[1] != len(centroid):
+            raise ValueError(f"queries have {rows.shape[1]} elements, the index {len(centroid)}")
+        return pa.Table.from_batches([answer(own, ids, rows)])
+
+    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(work, "query_id long, id long, score double")
+    return _ranked(found, k, layout.centres is not None)
+
+
 def rows_of(shard: Shard, column: str) -> np.ndarray:
     return shard.rows[column].to_numpy()
 

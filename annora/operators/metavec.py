@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annora.config import IndexConfig
+from annora.index import VectorIndex
 from annora.operators.knn import knn_join
 from annora.session import shared_dir
 
@@ -19,9 +22,13 @@ def _times(values: str, weight: float):
     return F.transform(values, lambda x: x * weight)
 
 
-def stratum(vectors: DataFrame, objects: DataFrame, size: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, s): the distances of the size nearest vectors, ascending; short ones are filled with zeros. Both sides may be large (`knn_join`)."""
-    found = knn_join(vectors, objects, size, id_col=id_col, vec_col=vec_col)
+def stratum(vectors: DataFrame | VectorIndex, objects: DataFrame, size: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, s): the distances of the size nearest vectors, ascending; short ones are filled with zeros.
+
+    Both sides may be large: vectors are compared all against all in blocks (`knn_join`), or, if an index is given, searched by its graph (`search_join`), whose columns
+    have the same names.
+    """
+    found = vectors.search_join(objects, size) if isinstance(vectors, VectorIndex) else knn_join(vectors, objects, size, id_col=id_col, vec_col=vec_col)
     scores = F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda p: p["score"])
     return found.groupBy(F.col("query_id").alias(id_col)).agg(_filled(scores, size).alias("s"))
 
@@ -50,10 +57,21 @@ def meta_vectors(objects: DataFrame, strata: Sequence[tuple[DataFrame, float]],
     return whole.select(id_col, F.flatten(F.transform("parts", lambda p: p["part"])).alias(vec_col))
 
 
-def meta_levels(vectors: DataFrame, sizes: Sequence[int], weight: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vectors, each level of which is searched by the one before: level n appends to a vector of level n - 1 its sizes[n] smallest distances there."""
-    shared_dir(vectors.sparkSession)
+def meta_levels(vectors: DataFrame, sizes: Sequence[int], weight: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding", config: IndexConfig | None = None) -> DataFrame:
+    """vectors, each level of which is searched by the one before: level n appends to a vector of level n - 1 its sizes[n] smallest distances there.
+
+    With a config each level is indexed with it, in the shared folder, and searched by its graph: the work is then that of a build and of a search per
+    vector, not of all pairs.
+    """
+    spark = vectors.sparkSession
+    shared = shared_dir(spark)
     level = vectors.select(id_col, vec_col)
     for size in sizes:
-        level = meta_vectors(level, [(stratum(level, level, size, id_col, vec_col), weight)], id_col, vec_col).checkpoint()
+        searched = level
+        if config:
+            searched = VectorIndex(spark, f"{shared}/level-{uuid.uuid4().hex}", config, id_col=id_col, vec_col=vec_col)
+            searched.build(level)
+        level = meta_vectors(level, [(stratum(searched, level, size, id_col, vec_col), weight)], id_col, vec_col).checkpoint()
+        if config:
+            searched.store.remove("")
     return level

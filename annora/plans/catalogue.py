@@ -454,12 +454,25 @@ def insert_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(found, true, K).select(F.round("recall", 6).alias("recall")).crossJoin(own)
 
 
+def search_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as queries of a routed index, whose cells are all looked into: everyone's nearest other vector."""
+    e = embeddings(spark, sf_dir)
+    found = index(spark, e, replace(ROUTED, probes=ROUTED.cells)).search_join(e, 2).where("query_id <> id")
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def metavec_by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As metavec_level2, each level indexed and searched by its graph in several shards, with a beam as wide as they are. Indexes keep floats: the second level's distances agree to about 7 digits."""
+    made = meta_levels(embeddings(spark, sf_dir), [3, 2], config=SHARDED)
+    return made.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), (F.round("x", 3) + 0.0).alias("x"))
+
+
 NAMES = """vector_scan index_count max_node_id point_lookup codec_roundtrip ann_recall graph_invariants metavec_level2 sql_functions encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
 rabitq_asym rabitq_sym rabitq_paper rabitq_topm two_stage_flat negative_estimates spearman_rho recall_rabitq ann_search_default ann_search_narrow graph_edges degree_stats
 graph_reachability random_init_degree insert_then_count insert_then_search_exact drift_ratio needs_rebuild search_with_rerank rerank_missing_ids upsert_last_writer_wins
 index_meta metavec_level1
 routed_search_all routed_recall routed_upsert build_passes warm_search repeated_batch lookup_many neighbour_update
-codec_longs tracked_mean rebuilt_index metavec_refreshed metavec_strata sql_estimates start_graph_degrees insert_recall""".split()
+codec_longs tracked_mean rebuilt_index metavec_refreshed metavec_strata sql_estimates start_graph_degrees insert_recall search_join_all metavec_by_graph""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"centroid": centroid_q, "medoid": medoid_q} | {n: globals()[n] for n in NAMES}
 
@@ -505,6 +518,9 @@ SQL: dict[str, str] = {
     "ann_recall": "SELECT unnest(['built', 'grown']) AS index, true AS enough",
     "graph_invariants": "SELECT unnest(['built', 'grown']) AS index, 0::BIGINT AS stray_edges, 0::BIGINT AS double_edges, 0::BIGINT AS over_degree, 0::BIGINT AS without_neighbours, (SELECT count(*) FROM embeddings) AS nodes, (SELECT count(*) FROM embeddings) AS reached",
     "sql_functions": f"SELECT o.vec_id, round({L2.format(a='q.embedding', b='o.embedding')}, 6) AS score FROM embeddings q JOIN embeddings o ON q.vec_id = 0 AND o.label = q.label",
+    "search_join_all": f"WITH d AS (SELECT q.vec_id AS query_id, o.vec_id, {L2.format(a='q.embedding', b='o.embedding')} AS d FROM embeddings q JOIN embeddings o ON q.vec_id <> o.vec_id) SELECT query_id, vec_id, round(d, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) = 1",
+    "metavec_by_graph": f"""WITH v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), {_level('v0', 'v1', 3)}, {_level('v1', 'v2', 2)}
+SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 3) + 0.0::DOUBLE AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM v2)""",
     "metavec_level2": f"""WITH v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), {_level('v0', 'v1', 3)}, {_level('v1', 'v2', 2)}
 SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 6) AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM v2)""",
     "centroid": f"WITH {CEN} SELECT (i - 1)::BIGINT AS i, round(c[i]::DOUBLE, 6) AS x FROM (SELECT unnest(range(1, len(c) + 1)) AS i, c FROM cen)",

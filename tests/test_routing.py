@@ -339,3 +339,22 @@ def test_codec_of_parts(spark):
     assert all(got[i] == values[i % 5] for i in got) and len(got) == 200
     blobs = spark.createDataFrame([(bytearray(b),) if b is not None else (None,) for b in (b"", b"abc", None, b"\0\0\x80?", b"\0\0\x80?\0")], "b binary")
     assert [r.y for r in blobs.coalesce(1).select(unpack_floats("b").alias("y")).collect()] == [[], None, None, [1.0], None]
+
+
+def test_large_query_sets_by_graph(spark, tmp_path):
+    """The same rows as search(), with hot cells' queries in several blocks; ids that meet in two cells once."""
+    v = clustered(600, 12, 8)
+    index = VectorIndex(spark, str(tmp_path / "i"), replace(SMALL, cells=8, probes=3, shard_rows=90))
+    index.build(frame(spark, v))
+    meta = index.meta()
+    want = found_by(index.search(frame(spark, v), 5))
+    got = found_by(index.search_join(frame(spark, v), 5))
+    assert want == got and len(got) == 600
+    small = G.graph_join(index.nodes(), frame(spark, v), np.array(meta.centroid, np.float32), 5, index.cfg, Layout.of(meta), block_rows=20)
+    assert found_by(small) == want
+    assert index.search_join(frame(spark, v[:0]), 5).count() == 0
+    plain = VectorIndex(spark, str(tmp_path / "p"), replace(SMALL, cells=0, shard_rows=150))
+    plain.build(frame(spark, v))
+    assert found_by(plain.search_join(frame(spark, v[:50]), 5)) == found_by(plain.search(frame(spark, v[:50]), 5))
+    exact_ = VectorIndex(spark, str(tmp_path / "p"), IndexConfig())
+    assert found_by(exact_.search_join(frame(spark, v[:50]), 5)) == {q: exact(v, v[q], 5) for q in range(50)}
