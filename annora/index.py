@@ -22,6 +22,8 @@ from annora.operators.stats import vector_sums
 from annora.sources.store import Conflict, IndexStore, Meta
 
 TRIES = 20
+#: Bytes of queries, and of what is kept of them, that a search by graph sends to all tasks.
+BROADCAST = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -203,13 +205,18 @@ class VectorIndex:
             self.insert(late.select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col)))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, id, score: exact up to cfg.exact_up_to rows, by graph beyond (or always, if that is 0)."""
+        """query_id, rank, id, score: exact up to cfg.exact_up_to rows, by graph beyond (or always, if that is 0).
+
+        Queries of more than BROADCAST bytes are joined (`search_join`); others are sent to all tasks.
+        """
         if k < 1:
             raise ValueError("k must be 1 or more")
         meta = self.meta()
         queries = checked(queries, meta.dim, self.id_col, self.vec_col).select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col))
         if 0 < meta.node_count <= self.cfg.exact_up_to:
             return knn_exact(self._scan(meta).where(HOME).select(F.col("id").alias(self.id_col), F.col("vector").alias(self.vec_col)), queries, k, id_col=self.id_col, vec_col=self.vec_col)
+        if queries.count() * (8 * meta.dim + 16 * k) > BROADCAST:
+            return self.search_join(queries, k)
         return graph_search(lambda shards: self._scan(meta, shards), queries, np.array(meta.centroid, np.float32), k, self.cfg, id_col=self.id_col, vec_col=self.vec_col, layout=Layout.of(meta))
 
     def search_join(self, queries: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annora.functions.columns import code_hex, l1_norm, l2sq, minus, sign_dot, sign_words, sq_norm
-from annora.operators.knn import RESULT, best_of, matrix_of, nearest_in_partitions, query_blocks
+from annora.operators.knn import best_of, matrix_of, nearest
 from annora.operators.stats import centroid
 
 
@@ -32,20 +32,13 @@ def _asym_block(q: np.ndarray, sign: np.ndarray, sq: np.ndarray, l1: np.ndarray)
 
 
 def top_estimates(enc: DataFrame, queries: DataFrame, m: int, block_bytes: int = 64 << 20) -> DataFrame:
-    """The m rows of the smallest estimated distance for each query: query_id, rank, id, score.
-
-    Each partition keeps its m best, as in exact search; queries are broadcast in blocks of bounded bytes.
-    """
-    first = queries.select("dim").head()
-    sc, found = enc.sparkSession.sparkContext, enc.sparkSession.createDataFrame([], RESULT)
-    rows = enc.select("id", "v", "sq_norm", "l1_norm")
+    """The m rows of the smallest estimated distance for each query: query_id, rank, id, score. See nearest() for how."""
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         return np.where(matrix_of(batch.column(1)) >= 0, 1.0, -1.0), batch.column(2).to_numpy(), batch.column(3).to_numpy()
 
-    for ids, q in query_blocks(queries.select(F.col("id").cast("long"), "v"), block_bytes, first[0], m) if first else ():
-        found = found.unionByName(nearest_in_partitions(rows, sc.broadcast((ids, q)), m, arrays, _asym_block))
-    return best_of(found, m)
+    rows, asked = (df.withColumn("id", F.col("id").cast("long")) for df in (enc.select("id", "v", "sq_norm", "l1_norm"), queries.select("id", "v")))
+    return best_of(nearest(rows, asked, m, arrays, _asym_block, block_bytes), m)
 
 
 def reranked(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

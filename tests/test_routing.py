@@ -358,3 +358,19 @@ def test_large_query_sets_by_graph(spark, tmp_path):
     assert found_by(plain.search_join(frame(spark, v[:50]), 5)) == found_by(plain.search(frame(spark, v[:50]), 5))
     exact_ = VectorIndex(spark, str(tmp_path / "p"), IndexConfig())
     assert found_by(exact_.search_join(frame(spark, v[:50]), 5)) == {q: exact(v, v[q], 5) for q in range(50)}
+
+
+def test_many_queries_are_joined(spark, tmp_path, monkeypatch):
+    from annora import index as I
+    from annora.operators.quantize import encoded, top_estimates
+
+    v = normal(300, 8)
+    index = VectorIndex(spark, str(tmp_path / "i"), replace(SMALL, cells=6, probes=3))
+    index.build(frame(spark, v))
+    few = found_by(index.search(frame(spark, v[:90]), 4))
+    monkeypatch.setattr(I, "BROADCAST", 1000)
+    many = index.search(frame(spark, v[:90]), 4)
+    assert "FlatMapCoGroupsInArrow" in many._jdf.queryExecution().executedPlan().toString() and found_by(many) == few
+    enc = encoded(frame(spark, v))
+    assert found_by(top_estimates(enc, enc.where("id < 50"), 7, block_bytes=4000)) == found_by(top_estimates(enc, enc.where("id < 50"), 7))
+    assert top_estimates(enc, enc.limit(0), 3).count() == 0
