@@ -200,7 +200,10 @@ def _logistic(x: Iterable[float], y: Iterable[int], ridge: float = 1e-3, rounds:
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All columns of docs, with tox_score (0 to 1) of the whole text; null and empty texts score as texts without a match do."""
+    """All columns of docs, with tox_score (0 to 1) of the whole text, which replaces a column so named; null and empty texts score as texts without a match do.
+
+    Rows are scored one by one, so that repeated rows, equal texts and null ids each keep theirs; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         density = lexicon.matcher()

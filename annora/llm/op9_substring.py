@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, *, min_words: int = 30) -> DataFrame:
-    """docs, all columns, whose text lacks the spans of repeated_spans(); removed_spans retains their original offsets (null: none).
+    """docs, all columns, whose text lacks the spans of repeated_spans(); removed_spans retains their original offsets (null: none), and replaces a column so named.
 
     Rows are told apart by id and text, a null id included, so that a row that shares the id of another loses only its own spans;
     rows equal in both lose the same.
