@@ -19,18 +19,29 @@ SHARDS = 16
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity score is 0.5 or more."""
+    """Drops documents whose toxicity score is 0.5 or more.
+
+    Null and empty texts score as texts without a match, and stay, as do rows without an id; repeated rows go or stay together. Without
+    labels, or with one class, the score is the class's share. Only the columns of documents are returned, here and by the next three stages.
+    """
     lexicon = fit_lexicon(docs, training_labels(spark, table(spark, sf_dir, "labels")))
     return score_toxicity(docs.select(*COLUMNS), lexicon).where("tox_score < 0.5").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by sets of 5-word shingles with a similarity of 0.8 or more."""
+    """Keeps one document of each group linked by sets of 5-word shingles with a similarity of 0.8 or more.
+
+    Texts that are null or hold no words are linked with nothing, and stay all. Rows are told apart by id and text: of rows equal in both one
+    stays, and rows that share an id, or have none, go only for what their own text is.
+    """
     return one_per_component(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its edit budget."""
+    """Drops documents that hold a benchmark item within its edit budget.
+
+    Null and empty texts hold none, and stay; null and empty items are in no document. Repeated rows go or stay together.
+    """
     return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -50,7 +61,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row goes: shard and slot."""
+    """Where each row goes: shard and slot. Every row gets a place, repeated rows and rows without text or id included."""
     return interleaved_shards(docs, SHARDS)
 
 
