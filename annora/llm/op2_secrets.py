@@ -32,7 +32,8 @@ _OUT = r"\s\"'`<>"
 #: secret 6 or more of any but spaces, quotes and angle brackets, up to where a run of the first two kinds begins or the last stop or bracket.
 #: Loops are possessive, so that a run may have any length, and take stops together, so that each is looked at once.
 CANDIDATE = (
-    _RUN + r"|(?<=[\s:=>\"'`])(?=(?:(?!" + _RUN + ")[^" + _OUT + "]){5}[" + _STOP + "]*+(?!" + _RUN + ")[^" + _OUT + _STOP + "])(?<=(?i:" + ANNOUNCED + "))"
+    _RUN + r"|(?<=[\s:=>\"'`])(?=[^" + _OUT + "]{6})(?<=(?i:" + ANNOUNCED + "))"
+    "(?=(?:(?!" + _RUN + ")[^" + _OUT + "]){5}[" + _STOP + "]*+(?!" + _RUN + ")[^" + _OUT + _STOP + "])"
     "(?:(?!" + _RUN + ")[^" + _OUT + _STOP + "]|[" + _STOP + "]++(?![" + _OUT + r"]|\z)(?!" + _RUN + "))++"
 )
 
