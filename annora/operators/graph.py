@@ -15,6 +15,7 @@ from annora.config import IndexConfig
 from annora.functions import kernels
 from annora.operators.knn import matrix_of, query_blocks
 from annora.operators.routing import Layout, split_shards  # noqa: F401
+from annora.session import shared_dir
 from annora.sources.store import NODES
 
 
@@ -265,6 +266,25 @@ def within_hops(nodes: DataFrame, depth: int) -> DataFrame:
     return by_shard(nodes.select("shard", "node_id", "id", "neighbors", "entry"), near, "shard int, node_id long, hop int")
 
 
+def hops_across(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node_id, hop) of the nodes that are depth edges at most (any number, if not given) from an entry, over edges that may lead to other shards.
+
+    A step joins the nodes that the one before found with all edges and leaves out what is known, and is checkpointed; the driver learns whether it found any.
+    Edges to nodes that aren't there lead nowhere.
+    """
+    shared_dir(nodes.sparkSession)
+    there = nodes.select(F.col("node_id").alias("dst"))
+    links = nodes.select(F.col("node_id").alias("src"), F.explode("neighbors").alias("dst")).join(there, "dst", "left_semi").checkpoint()
+    found = latest = nodes.where("entry").select("node_id", F.lit(0).alias("hop")).checkpoint()
+    step = 0
+    while step != depth and not latest.isEmpty():
+        step += 1
+        met = links.join(latest.select(F.col("node_id").alias("src")), "src").select(F.col("dst").alias("node_id")).distinct()
+        latest = met.join(found, "node_id", "left_anti").withColumn("hop", F.lit(step)).checkpoint()
+        found = found.unionByName(latest)
+    return found
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("shard", F.col("node_id").alias("src"), F.posexplode("neighbors").alias("pos", "dst"))
 

@@ -467,12 +467,23 @@ def metavec_by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), (F.round("x", 3) + 0.0).alias("x"))
 
 
+def reachability_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of several shards that are reached by joins over their edges, from the first shard's entry alone: each entry gets an edge to the next shard's."""
+    made = index(spark, embeddings(spark, sf_dir), SHARDED)
+    entries = made.nodes().where("entry").select("shard", "node_id")
+    last = made.meta().shards
+    following = entries.select(((F.col("shard") + last - 1) % last).alias("shard"), F.col("node_id").alias("next"))
+    linked = made.nodes().join(entries.join(following, "shard").select("node_id", "next"), "node_id", "left")
+    nodes = linked.withColumn("neighbors", F.when(F.col("next").isNotNull(), F.array_append("neighbors", F.col("next"))).otherwise(F.col("neighbors"))).withColumn("entry", F.col("entry") & (F.col("shard") == 0))
+    return G.hops_across(nodes).agg(F.count("*").alias("reached"))
+
+
 NAMES = """vector_scan index_count max_node_id point_lookup codec_roundtrip ann_recall graph_invariants metavec_level2 sql_functions encode_norms encode_code_hex code_size footprint l2_pairs knn_exact_single knn_exact_batch self_match
 rabitq_asym rabitq_sym rabitq_paper rabitq_topm two_stage_flat negative_estimates spearman_rho recall_rabitq ann_search_default ann_search_narrow graph_edges degree_stats
 graph_reachability random_init_degree insert_then_count insert_then_search_exact drift_ratio needs_rebuild search_with_rerank rerank_missing_ids upsert_last_writer_wins
 index_meta metavec_level1
 routed_search_all routed_recall routed_upsert build_passes warm_search repeated_batch lookup_many neighbour_update
-codec_longs tracked_mean rebuilt_index metavec_refreshed metavec_strata sql_estimates start_graph_degrees insert_recall search_join_all metavec_by_graph""".split()
+codec_longs tracked_mean rebuilt_index metavec_refreshed metavec_strata sql_estimates start_graph_degrees insert_recall search_join_all metavec_by_graph reachability_by_joins""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"centroid": centroid_q, "medoid": medoid_q} | {n: globals()[n] for n in NAMES}
 
@@ -542,6 +553,7 @@ SELECT vec_id, (i - 1)::BIGINT AS i, round(v[i], 6) AS x FROM (SELECT vec_id, v,
     "spearman_rho": f"WITH {EST}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY est, vec_id) - row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS x FROM a) SELECT query_id, round(1 - 6 * sum((x * x)::DOUBLE) / (count(*) * (count(*) * count(*) - 1)), 6) AS rho FROM r GROUP BY query_id",
     "recall_rabitq": f"WITH {EST}, e AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS er, rk FROM t) SELECT round(avg(r), 6) AS recall FROM (SELECT query_id, count(*) FILTER (WHERE er <= {K} AND rk <= 50) / {K}.0::DOUBLE AS r FROM e GROUP BY query_id)",
     "ann_search_default": _knn(),
+    "reachability_by_joins": "SELECT count(*) AS reached FROM embeddings",
     "graph_reachability": "SELECT count(*) AS reached FROM embeddings",
     "random_init_degree": "SELECT vec_id, least(64, count(*) OVER () - 1)::BIGINT AS degree FROM embeddings",
     "insert_then_count": "SELECT count(*) AS n FROM embeddings",

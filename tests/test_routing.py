@@ -374,3 +374,19 @@ def test_many_queries_are_joined(spark, tmp_path, monkeypatch):
     enc = encoded(frame(spark, v))
     assert found_by(top_estimates(enc, enc.where("id < 50"), 7, block_bytes=4000)) == found_by(top_estimates(enc, enc.where("id < 50"), 7))
     assert top_estimates(enc, enc.limit(0), 3).count() == 0
+
+
+def test_hops_across_shards(spark, tmp_path):
+    v = normal(200, 4)
+    index = VectorIndex(spark, str(tmp_path / "i"), IndexConfig(max_degree=6, search_list=8, shard_rows=60))
+    index.build(frame(spark, v))
+    nodes = index.nodes()
+    for depth in (0, 1, 2):
+        assert {(r.node_id, r.hop) for r in G.hops_across(nodes, depth).collect()} == {(r.node_id, r.hop) for r in G.within_hops(nodes, depth).collect()}
+    assert G.hops_across(nodes).count() == 200
+    entries = {r.shard: r.node_id for r in nodes.where("entry").collect()}
+    near = [r.neighbors for r in nodes.where(f"node_id = {entries[0]}").collect()][0]
+    index.set_neighbours(spark.createDataFrame([(entries[0], [entries[1], 10_000, *near])], "node_id long, neighbors array<long>"))
+    one = index.nodes().withColumn("entry", F.col("entry") & (F.col("shard") == 0))
+    assert {r.shard for r in one.join(G.hops_across(one), "node_id").select("shard").collect()} == {0, 1}
+    assert G.hops_across(nodes.limit(0)).count() == 0
