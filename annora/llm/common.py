@@ -70,8 +70,8 @@ def source_key(source: Column) -> Column:
 
 
 def id_text(doc_id: Column, text: Column) -> Column:
-    """What stands for a row in a shuffled order: its id, or, lest all rows without one draw the same place, a digest of its text."""
-    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    """What stands for a row in a shuffled order: its id and a digest of its text, so that rows that share an id, or have none, draw places of their own."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
 
     A source's target is its share by weight of all words, at most cap times its own. It takes each document floor(target / source)
     times (complete epochs), then some once more: documents are sorted by the exponential key -ln(u) / quality, u being a uniform
-    number drawn from seed and doc_id, their sizes are summed up in that order, and a document is taken if the middle of its words
+    number drawn from seed, doc_id and text, their sizes are summed up in that order, and a document is taken if the middle of its words
     is within what is left of the budget, so that the sum misses the target by half a document at most. The running sums are exact:
     per bucket of the key first, then within a bucket, so that no task holds a source.
 

@@ -13,7 +13,7 @@ from annora.llm.op10_ngram_join import ngram_components
 from annora.llm.op11_periodic import periodic_runs
 from annora.llm.op12_language import language_report
 from annora.llm.op13_divergence import divergence
-from annora.llm.op2_secrets import fit_forest, labelled_findings, scan_secrets
+from annora.llm.op2_secrets import common_words, fit_forest, labelled_findings, learn_wording, scan_secrets
 from annora.llm.op3_decontamination import find_leaks
 from annora.llm.op4_lines import line_classes
 from annora.llm.op5_mixing import mix_sources, quality_weights
@@ -50,7 +50,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"), fit_forest(labelled_findings(spark)), path_col="source")
+    docs = table(spark, sf_dir, "documents")
+    wording = learn_wording(docs)
+    forest = fit_forest(labelled_findings(spark, names=common_words(wording)), wording)
+    return scan_secrets(docs, forest, wording, path_col="source")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +174,7 @@ spans AS (SELECT doc_id, min(start)::INTEGER AS start, max(stop)::INTEGER AS "en
 SQL: dict[str, str] = {
     "op1_sharding": f"""
 WITH {CRC32},
-r AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h FROM sums),
+r AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM sums),
 k AS (SELECT *, ('0x' || substr(md5('17/' || skey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift,
   row_number() OVER (PARTITION BY skey ORDER BY h, doc_id NULLS FIRST, crc, size) AS rk, count(*) OVER (PARTITION BY skey) AS n FROM r),
 f AS (SELECT *, (rk - 1 + shift) / n AS f FROM k),
@@ -223,7 +226,7 @@ FROM (SELECT d.doc_id, s, CASE WHEN s IS NULL THEN text ELSE array_to_string(lis
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT AS h
+    ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h
   FROM documents),
 q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS quality FROM labels
   WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),

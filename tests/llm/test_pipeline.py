@@ -94,7 +94,7 @@ def number(text, digits=13):
 
 
 def named(row):
-    return f"null:{hashlib.md5((row[1] or '').encode()).hexdigest()}" if row[0] is None else str(row[0])
+    return f"{'null' if row[0] is None else row[0]}:{hashlib.md5((row[1] or '').encode()).hexdigest()}"
 
 
 def mixed(rows, quality):
