@@ -12,6 +12,7 @@ class IndexConfig:
     cells: 0 deals rows to shards by id, and a search visits all of them. A number deals them by their nearest of so many coarse centres,
     fitted on 64 vectors per cell; a vector whose second nearest centre is at most boundary times as far (by squared distance) is in that cell, too,
     and a search visits the probes nearest cells of a query. The centres are kept in each version's record.
+    verify: a search by the graph is followed by an exact check of the shards it looks into, which adds what it missed: exact where all of them are looked into.
     max_folders: how many data folders a version has at most before an insert merges the smaller ones.
     """
 
@@ -30,6 +31,7 @@ class IndexConfig:
     probes: int = 8
     boundary: float = 1.5
     max_folders: int = 16
+    verify: bool = False
 
     def __post_init__(self) -> None:
         if min(self.max_degree, self.search_list, self.ef_search, self.rerank_top_n, self.shard_rows, self.probes, self.max_folders) < 1 or min(self.build_passes, self.cells) < 0 or min(self.alpha, self.boundary) < 1:

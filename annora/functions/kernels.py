@@ -270,6 +270,17 @@ def reached(graph: list[list[int]], start: int) -> np.ndarray:
     return seen
 
 
+def reached_by(near: np.ndarray, start: int) -> np.ndarray:
+    """reached(), of neighbours as rows of one array, -1 where there are fewer."""
+    seen, todo = np.zeros(len(near), bool), np.array([start])
+    while len(todo):
+        seen[todo] = True
+        met = near[todo].ravel()
+        met = met[met >= 0]
+        todo = np.unique(met[~seen[met]])
+    return seen
+
+
 def build_graph(vectors: np.ndarray, *, degree: int, search_list: int, passes: int, alpha: float, seed: int) -> tuple[list[list[int]], int]:
     """Neighbours of each node (degree at most) and the medoid, from which every node is reached.
 

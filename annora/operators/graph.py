@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from annora.config import IndexConfig
 from annora.functions import kernels
-from annora.operators.knn import matrix_of, query_blocks
+from annora.operators.knn import TASKS, Best, l2_near, matrix_of, query_blocks
 from annora.operators.routing import Layout, split_shards  # noqa: F401
 from annora.session import shared_dir
 from annora.sources.store import NODES
@@ -42,7 +42,12 @@ def build_nodes(vectors: DataFrame, center: np.ndarray, first_ids: dict[int, int
         v = np.stack(pdf.vector.to_numpy()).astype(np.float32)
         return _frame(shard, first_ids[shard] + np.arange(len(pdf)), pdf.id.to_numpy(), v, *_built(v, shard, cfg), centroid, pdf["copy"].to_numpy())
 
-    return vectors.groupBy("shard").applyInPandas(run, NODES)
+    return spread(vectors, len(first_ids)).groupBy("shard").applyInPandas(run, NODES)
+
+
+def spread(rows: DataFrame, shards: int) -> DataFrame:
+    """rows dealt by shard to partitions of a stated number: a shard is minutes of work but few bytes, of which Spark would put many into one task."""
+    return rows.repartition(max(1, min(2 * shards, TASKS)), "shard")
 
 
 def _built(v: np.ndarray, shard: int, cfg: IndexConfig) -> tuple[list[list[int]], int]:
@@ -108,6 +113,8 @@ def by_shard(nodes: DataFrame, work: Callable[[int, pa.Table], pa.RecordBatch],
 
 #: Queries that a task searches side by side.
 TOGETHER = 64
+#: Bytes of queries and of what is kept of them that a task of a join searches for, and nodes of small shards that it looks into, about.
+BLOCK, BUNDLE = 8 << 20, 16_384
 
 
 def graph_search(nodes: DataFrame | Callable[[set[int]], DataFrame], queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, *, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 32 << 20, layout: Layout | None = None) -> DataFrame:
@@ -143,29 +150,59 @@ def graph_search(nodes: DataFrame | Callable[[set[int]], DataFrame], queries: Da
     return _ranked(found, k, layout is not None and layout.centres is not None)
 
 
-def _searcher(centroid: np.ndarray, k: int, cfg: IndexConfig) -> Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]:
-    """(a shard's nodes, query ids, query vectors) -> (query_id, id, score): the k nearest of what the search over codes finds."""
+def _searcher(centroid: np.ndarray, k: int, cfg: IndexConfig, beams: bool = True) -> Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]:
+    """(nodes of one or several shards, query ids, query vectors) -> (query_id, id, score): the k nearest of what the search over codes finds in each.
+
+    With cfg.verify, all of a shard's vectors within the distance of the last that the search found (any, without beams) are looked at, too: then these are its k nearest.
+    """
     rerank, width = cfg.beam(k)
 
     def answer(rows: pa.Table, ids: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if len(ids):
-            shard = Shard(rows)
-            v, sq, l1 = shard.vectors(), rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm")
-            sign = shard.signs(v.shape[1])
-        for at in range(0, len(ids), TOGETHER):
-            q = asked[at : at + TOGETHER]
-            best, _ = kernels.search_many(kernels.by_codes(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
-            for qid, one, met in zip(ids[at : at + TOGETHER], q, best[:, :rerank], strict=True):
-                met = met[met >= 0]
-                d = kernels.l2_to(one, v[met])
-                first = np.lexsort((shard.ids[met], d))[:k]
-                out.append((np.full(len(first), qid), shard.ids[met[first]], d[first]))
+        out, met_ids, met_rows = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], [], []
+        for part in _parts(rows) if len(ids) else ():
+            shard = Shard(part)
+            v = shard.vectors()
+            if rerank >= len(v) or (cfg.verify and not beams):
+                # A beam as wide as the shard ends up with all that the entry reaches, whatever the query, and all of it is re-ranked.
+                met = np.arange(len(v)) if cfg.verify else np.flatnonzero(kernels.reached_by(shard.near, shard.start))
+                met_ids.append(shard.ids[met])
+                met_rows.append(v[met])
+                continue
+            sq, l1, sign = rows_of(shard, "sq_norm"), rows_of(shard, "l1_norm"), shard.signs(v.shape[1])
+            far = np.full(len(ids), np.inf)
+            for at in range(0, len(ids), TOGETHER):
+                q = asked[at : at + TOGETHER]
+                best, _ = kernels.search_many(kernels.by_codes(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
+                for which, (qid, one, met) in enumerate(zip(ids[at : at + TOGETHER], q, best[:, :rerank], strict=True), at):
+                    met = met[met >= 0]
+                    d = kernels.l2_to(one, v[met])
+                    first = np.lexsort((shard.ids[met], d))[:k]
+                    if not cfg.verify:
+                        out.append((np.full(len(first), qid), shard.ids[met[first]], d[first]))
+                    elif len(first) == k:
+                        far[which] = d[first[-1]] * (1 + 1e-9)  # these sums may differ from the check's in their last digits
+            if cfg.verify:
+                own = Best(ids, asked.astype(np.float64), k, far)
+                own.meet(shard.ids, (v.astype(np.float64),), l2_near)
+                out.extend(tuple(c.to_numpy() for c in batch.columns) for batch in own.batches())
+        if met_ids:
+            own = Best(ids, asked.astype(np.float64), k)
+            own.meet(np.concatenate(met_ids), (np.concatenate(met_rows).astype(np.float64),), l2_near)
+            out.extend(tuple(c.to_numpy() for c in batch.columns) for batch in own.batches())
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
 
     return answer
 
 
+def _parts(rows: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each shard, where rows has a column shard and may hold several."""
+    if not len(rows) or "shard" not in rows.column_names:
+        return iter([rows] if len(rows) else [])
+    rows = rows.take(pc.sort_indices(rows["shard"]))
+    cuts = np.flatnonzero(np.diff(rows["shard"].to_numpy())) + 1
+    return (rows.slice(a, b - a) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True))
+
+
 def _ranked(found: DataFrame, k: int, twice: bool) -> DataFrame:
     """The k best rows of each query; twice: a vector near a boundary may be found in two cells."""
     if twice:
@@ -174,14 +211,17 @@ def _ranked(found: DataFrame, k: int, twice: bool) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def graph_join(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, layout: Layout, *, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def graph_join(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int, cfg: IndexConfig, layout: Layout, *, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """What graph_search() returns, for query sets of any size: no query passes the driver.
 
-    Queries are sent to the shards that they look into, in blocks of about block_rows, so that a cell that very many of them look into is searched by
-    several tasks; nodes are shuffled, as many times as their cell has blocks. The driver counts queries per cell.
+    Queries are sent to the shards that they look into, in blocks of about block_rows (BLOCK bytes, if not given), so that a cell that very many of them look
+    into is searched by several tasks; nodes are shuffled, as many times as their cell has blocks. Small shards of a cell are put together to bundles of BUNDLE
+    nodes at most, so that a query is sent to each bundle, not to each shard. The driver counts queries per cell. With cfg.verify the vectors of the cells looked
+    into are compared without a search by the graph before, which only pays for few queries: the rows are the same.
     """
+    block_rows = block_rows or max(1, BLOCK // (8 * len(center) + 16 * k))
     centroid, cells, probes = np.array(center, np.float32), layout.cells, cfg.probes
-    answer = _searcher(centroid, k, cfg)
+    answer = _searcher(centroid, k, cfg, beams=False)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,12 +234,16 @@ def graph_join(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int,
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<float>").alias("q")).mapInArrow(routed, "query_id long, q array<float>, cell int")
     count = dict(map(tuple, asked.groupBy("cell").count().collect()))
     blocks = F.array(*(F.lit(max(1, -(-count.get(c, 0) // block_rows))) for c in range(cells)))
-    subs = F.array(*map(F.lit, layout.subs))
-    asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.get(subs, F.col("cell")) - 1)))
-    asked = asked.select("query_id", "q", (F.col("sub") * cells + F.col("cell")).alias("shard"), F.pmod(F.xxhash64("query_id"), F.get(blocks, F.col("cell"))).cast("int").alias("block"))
+    per = max(1, BUNDLE // cfg.shard_rows)
+    bundles = F.array(*(F.lit(-(-sub // per)) for sub in layout.subs))
+    asked = asked.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.get(bundles, F.col("cell")) - 1)))
+    asked = asked.select("query_id", "q", "cell", "bundle", F.pmod(F.xxhash64("query_id"), F.get(blocks, F.col("cell"))).cast("int").alias("block"))
     cell = F.col("shard") % cells
     wanted = nodes.where(cell.isin(sorted(count))) if len(count) < cells else nodes
-    dealt = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, cell) - 1)))
+    needed = wanted.select("shard", "node_id", "id", "vector", "code", "sq_norm", "l1_norm", "neighbors", "entry", cell.alias("cell"), F.floor(F.col("shard") / cells / per).cast("int").alias("bundle"))
+    dealt = needed.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)))
+    groups = sum(-(-sub // per) * max(1, -(-count.get(c, 0) // block_rows)) for c, sub in enumerate(layout.subs))
+    tasks = max(1, min(2 * groups, TASKS))
 
     def work(own: pa.Table, some: pa.Table) -> pa.Table:
         ids = some["query_id"].to_numpy() if len(own) else np.empty(0, np.int64)
@@ -208,7 +252,8 @@ def graph_join(nodes: DataFrame, queries: DataFrame, center: np.ndarray, k: int,
             raise ValueError(f"queries have {rows.shape[1]} elements, the index {len(centroid)}")
         return pa.Table.from_batches([answer(own, ids, rows)])
 
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(work, "query_id long, id long, score double")
+    sides = (df.repartition(tasks, "cell", "bundle", "block").groupBy("cell", "bundle", "block") for df in (dealt, asked))
+    found = next(sides).cogroup(next(sides)).applyInArrow(work, "query_id long, id long, score double")
     return _ranked(found, k, layout.centres is not None)
 
 
@@ -240,7 +285,8 @@ def insert_nodes(nodes: DataFrame, new: DataFrame, center: np.ndarray, first_ids
         graph = kernels.extend_graph(graph, v, start, degree=cfg.max_degree, search_list=cfg.search_list, alpha=cfg.alpha)
         return _frame(shard, node_ids, ids.astype(np.int64), v, graph, start, centroid, copy)
 
-    return nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(run, NODES)
+    shards = len(set(first_ids) | rebuilt)
+    return spread(nodes, shards).groupBy("shard").cogroup(spread(new, shards).groupBy("shard")).applyInPandas(run, NODES)
 
 
 def reachable(nodes: DataFrame) -> DataFrame:

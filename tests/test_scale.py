@@ -44,3 +44,41 @@ def test_a_join_of_few_bytes_is_shared_by_tasks(spark, monkeypatch):
     found = knn.knn_join(rows, rows, 3)
     assert knn.nearest_in_blocks(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3, knn._vectors, knn.l2_near, 8 << 20).rdd.getNumPartitions() >= 16
     assert found.exceptAll(knn.knn_exact(rows, rows, 3)).count() == 0 and found.count() == 1200
+
+
+def exact(v, q, k):
+    return np.lexsort((np.arange(len(v)), knn.l2_of(v.astype(float), v[q : q + 1].astype(float))))[:k].tolist()
+
+
+def test_a_verified_search_misses_nothing(spark, tmp_path):
+    """A graph of few links and a narrow beam miss neighbours in shards larger than the beam; the check adds them, to searches, joins and re-ranking."""
+    from dataclasses import replace
+
+    v, cfg = normal(900, 8), IndexConfig(exact_up_to=0, max_degree=4, search_list=4, build_passes=0, rerank_top_n=6, ef_search=6, verify=True)
+    v[100:104] = v[:4]
+    for n, cells in enumerate((0, 5)):
+        index = VectorIndex(spark, str(tmp_path / f"i{n}"), replace(cfg, cells=cells, probes=5))
+        index.build(frame(spark, v))
+        loose = VectorIndex(spark, str(tmp_path / f"i{n}"), replace(index.cfg, verify=False))
+        asked = frame(spark, v[:40])
+        results = [{q: [r.id for r in sorted(rows, key=lambda r: r["rank"])] for q, rows in _grouped(df).items()} for df in (index.search(asked, 2), index.search_join(asked, 2), index.search_with_rerank(asked, 2, frame(spark, v)), loose.search(asked, 2))]
+        want = {q: exact(v, q, 2) for q in range(40)}
+        assert results[0] == results[1] == results[2] == want and results[3] != want
+
+
+def _grouped(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append(r)
+    return out
+
+
+def test_small_shards_are_searched_together(spark, tmp_path):
+    """Before, each query was sent to each shard and searched there by a beam of its own; now once to all of a cell's, where their nodes are scored at once."""
+    v = normal(400, 8)
+    index = VectorIndex(spark, str(tmp_path / "i"), IndexConfig(exact_up_to=0, max_degree=8, search_list=16, build_passes=1, shard_rows=40))
+    index.build(frame(spark, v))
+    assert index.meta().shards == 20
+    found = index.search_join(frame(spark, v), 3)
+    assert "bundle" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {q: [r.id for r in sorted(rows, key=lambda r: r["rank"])] for q, rows in _grouped(found).items()} == {q: exact(v, q, 3) for q in range(400)}
