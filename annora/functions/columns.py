@@ -61,8 +61,12 @@ def paper(qsq: Column, sq: Column, l1: Column, dot: Column, dim: Column) -> Colu
 
 def sym(qsq: Column, sq: Column, a: Column, b: Column, dim: Column) -> Column:
     """From codes alone; padding bits agree, and count."""
+    return sym_of(qsq, sq, F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x), dim)
+
+
+def sym_of(qsq: Column, sq: Column, differ: Column, dim: Column) -> Column:
+    """sym(), from how many signs differ."""
     bits = F.ceil(dim / 8) * 8
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return qsq + sq - 2 * F.sqrt(qsq * sq) * (2 * (bits - differ) / bits - 1)
 
 
