@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +20,8 @@ def recall(approx: DataFrame, exact: DataFrame, k: int, m: int | None = None) ->
     return hits.groupBy("query_id").agg((F.count("hit") / F.lit(k)).alias("r")).agg(F.avg("r").alias("recall"))
 
 
-#: Rows of one query that a task ranks, about.
-RANKED = 50_000
+#: Rows of one query that a task ranks, about (24 bytes each).
+RANKED = 1_000_000
 
 
 def places(rows: DataFrame, value: str, name: str, id_col: str) -> DataFrame:
@@ -34,8 +39,40 @@ def places(rows: DataFrame, value: str, name: str, id_col: str) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, a: str, b: str, id_col: str = "id") -> DataFrame:
-    """One row per query_id (rho): rank correlation of columns a and b by ordinal ranks, ties by id. The pairs are checkpointed, as they are gone over several times."""
+    """One row per query_id (rho): rank correlation of columns a and b by ordinal ranks, ties by id.
+
+    A query's pairs are shuffled once, packed, and ranked in one task; where a query has more than RANKED of them, all are checkpointed and ranked in buckets (`places`).
+    """
+    rows = pairs.select("query_id", F.col(id_col).cast("long").alias(id_col), F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b))
+    most = rows.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    rho = 1 - 6 * F.col("s") / (F.col("n") * (F.col("n") * F.col("n") - 1))
+    if (most or 0) <= RANKED:
+        of = rows.schema["query_id"].dataType.simpleString()
+        packs = rows.mapInArrow(_packed, f"query_id {of}, ids binary, a binary, b binary")
+        return packs.groupBy("query_id").applyInArrow(_ranks_apart, f"query_id {of}, s double, n long").select("query_id", rho.alias("rho"))
     shared_dir(pairs.sparkSession)
-    both = places(places(pairs.select("query_id", id_col, a, b).checkpoint(), a, "_pa", id_col), b, "_pb", id_col)
+    both = places(places(rows.checkpoint(), a, "_pa", id_col), b, "_pb", id_col)
     d = both.select("query_id", (F.col("_pa") - F.col("_pb")).cast("double").alias("d")).groupBy("query_id").agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("*").alias("n"))
-    return d.select("query_id", (1 - 6 * F.col("s") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho"))
+    return d.select("query_id", rho.alias("rho"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, ids, a, b): the rows of a query that follow each other in a batch, as bytes."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        run = pc.run_end_encode(batch.column(0))
+        begin = [0, *run.run_ends.to_pylist()]
+        own = [c.to_numpy() for c in batch.columns[1:]]
+        packs = ([pa.array([c[x:y].tobytes() for x, y in zip(begin, begin[1:], strict=False)], pa.binary()) for c in own])
+        yield pa.RecordBatch.from_arrays([run.values, *packs], names=["query_id", "ids", "a", "b"])
+
+
+def _ranks_apart(rows: pa.Table) -> pa.Table:
+    """(query_id, s, n): the sum of the squared differences of ranks, and how many there are."""
+    ids, a, b = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("ids", np.int64), ("a", float), ("b", float)))
+    place = np.empty((2, len(ids)), np.int64)
+    for at, values in zip(place, (a, b), strict=True):
+        at[np.lexsort((ids, values))] = np.arange(len(ids))
+    apart = (place[0] - place[1]).astype(float)
+    return pa.table({"query_id": rows["query_id"].slice(0, 1), "s": pa.array([float(apart @ apart)]), "n": pa.array([len(ids)], pa.int64())})

@@ -82,3 +82,43 @@ def test_small_shards_are_searched_together(spark, tmp_path):
     found = index.search_join(frame(spark, v), 3)
     assert "bundle" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {q: [r.id for r in sorted(rows, key=lambda r: r["rank"])] for q, rows in _grouped(found).items()} == {q: exact(v, q, 3) for q in range(400)}
+
+
+def test_pairs_are_streamed(spark, monkeypatch):
+    """Before, Spark's own cross join evaluated lists of 64 expressions a pair, in as many tasks as the table had files; scores are the same bit for bit."""
+    from annora.functions import columns as V
+    from annora.operators.quantize import encoded, pairs
+
+    monkeypatch.setattr(knn, "MADE", 500)
+    v = normal(200, 9)
+    v[3] = v[4]
+    enc = encoded(frame(spark, v).coalesce(1))
+    made = pairs(enc, enc.where("id % 20 = 0"), "dot differ d")
+    assert made.rdd.getNumPartitions() == 4 and "Join" not in made.select("id")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    c = {r.id: r for r in enc.collect()}
+    rows = made.collect()
+    assert len({(r.query_id, r.id) for r in rows}) == len(rows) == 2000
+    for r in rows:
+        q, o, dot, d = c[r.query_id], c[r.id], 0.0, 0.0
+        for x, y in zip(q.v, o.v, strict=True):
+            dot += x if y >= 0 else -x
+            d += (x - y) * (x - y)
+        assert (r.qsq, r.sq_norm, r.l1_norm, r.dim, r.dot, r.d) == (q.sq_norm, o.sq_norm, o.l1_norm, 9, dot, d)
+        assert r.differ == sum((x >= 0) != (y >= 0) for x, y in zip(q.v, o.v, strict=True))
+    est = made.select(V.sym_of(F.lit(1.0), F.lit(2.0), F.col("differ"), F.col("dim")).alias("x"))
+    assert est.count() == 2000 and pairs(enc, enc.limit(0)).count() == 0
+
+
+def test_ranks_without_a_checkpoint(spark, tmp_path):
+    """Before, all pairs were checkpointed and shuffled twice for each of the two ranks."""
+    from annora.operators.evaluate import spearman
+
+    rows = spark.range(400).select((F.col("id") % 2).alias("query_id"), "id", F.floor(F.col("id") / 7).alias("a"), F.pmod(F.col("id") * 37, F.lit(91)).alias("b"))
+    plan = (got := spearman(rows, "a", "b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "ExistingRDD" not in plan
+    want = {}
+    for q in (0, 1):
+        at = np.arange(q, 400, 2)
+        ra, rb = (np.argsort(np.lexsort((at, x))) for x in (at // 7, at * 37 % 91))
+        want[q] = 1 - 6 * ((ra - rb).astype(float) ** 2).sum() / (200 * (200 * 200 - 1))
+    assert {r.query_id: round(r.rho, 12) for r in got.collect()} == {q: round(x, 12) for q, x in want.items()}
