@@ -281,6 +281,34 @@ def reached_by(near: np.ndarray, start: int) -> np.ndarray:
     return seen
 
 
+def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each of n nodes one that stands for all that it reaches and that reach it. Nodes are split by what a pivot reaches and what reaches it, until each part is one component."""
+    out, parts = np.arange(n), [np.arange(n)] if n else []
+    while parts:
+        own = parts.pop()
+        inside = np.zeros(n, bool)
+        inside[own] = True
+        keep = inside[src] & inside[dst]
+        src_, dst_ = src[keep], dst[keep]
+        has_in, has_out = np.zeros(n, bool), np.zeros(n, bool)
+        has_in[dst_], has_out[src_] = True, True
+        own = own[has_in[own] & has_out[own]]  # others are components of their own
+        if not len(own):
+            continue
+        ahead, behind = _flood(n, own[0], src_, dst_), _flood(n, own[0], dst_, src_)
+        out[ahead & behind] = own[0]
+        parts += [p for p in (own[ahead[own] & ~behind[own]], own[behind[own] & ~ahead[own]], own[~ahead[own] & ~behind[own]]) if len(p) > 1]
+    return out
+
+
+def _flood(n: int, start: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    seen, count = np.zeros(n, bool), 0
+    seen[start] = True
+    while count != (count := int(seen.sum())):
+        seen[dst[seen[src]]] = True
+    return seen
+
+
 def build_graph(vectors: np.ndarray, *, degree: int, search_list: int, passes: int, alpha: float, seed: int) -> tuple[list[list[int]], int]:
     """Neighbours of each node (degree at most) and the medoid, from which every node is reached.
 

@@ -331,6 +331,44 @@ def hops_across(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     return found
 
 
+#: Jumps that are doubled at most, per edge between components; beyond, steps go by shorter ones.
+JUMPS = 4
+
+
+def reached_across(nodes: DataFrame) -> DataFrame:
+    """(node_id) of the nodes that an entry reaches, over edges that may lead to other shards: hops_across() without the hops, in a logarithmic number of rounds.
+
+    Each shard's nodes are put together to groups that reach each other (strong components), one task a shard. Over the edges between groups, jumps of 1, 2, 4 and so on edges are
+    joined, each from the one before, and taken from the longest to the shortest: that reaches any number of edges below twice the longest. Where jumps branch so
+    much that they are more than JUMPS times the edges, doubling stops, and rounds are repeated until nothing is new.
+    """
+    shared_dir(nodes.sparkSession)
+
+    def group(rows: pa.Table) -> pa.Table:
+        ids = rows["node_id"].to_numpy()
+        flat, size = Shard._lists(rows["neighbors"])
+        order = np.argsort(ids)
+        place = order[np.minimum(np.searchsorted(ids, flat, sorter=order), len(ids) - 1)] if len(flat) else np.empty(0, np.int64)
+        return pa.table({"node_id": ids, "root": ids[kernels.strong_components(len(ids), np.repeat(np.arange(len(ids)), size)[ids[place] == flat], place[ids[place] == flat])]})
+
+    groups = spread(nodes.select("shard", "node_id", "neighbors"), 50).groupBy("shard").applyInArrow(group, "node_id long, root long").checkpoint()
+    links = nodes.select("node_id", F.explode("neighbors").alias("dst")).join(groups.withColumnRenamed("root", "a"), "node_id")
+    links = links.join(groups.select(F.col("node_id").alias("dst"), F.col("root").alias("b")), "dst").where("a <> b").select("a", "b").distinct().checkpoint()
+    count, far, jumps = links.count(), 1, [links]
+    while far < count:
+        twice = jumps[-1].join(jumps[-1].select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().limit(JUMPS * count + 1).checkpoint()
+        n, far = twice.count(), 2 * far
+        if not 0 < n <= JUMPS * count:
+            break
+        jumps.append(twice)
+    met = groups.join(nodes.where("entry").select("node_id"), "node_id").select(F.col("root").alias("a")).distinct().checkpoint()
+    known = -1
+    while known != (known := met.count()):
+        for jump in reversed(jumps):
+            met = met.unionByName(jump.join(met, "a", "left_semi").select(F.col("b").alias("a"))).distinct().checkpoint()
+    return groups.join(met.withColumnRenamed("a", "root"), "root", "left_semi").select("node_id")
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("shard", F.col("node_id").alias("src"), F.posexplode("neighbors").alias("pos", "dst"))
 

@@ -122,3 +122,27 @@ def test_ranks_without_a_checkpoint(spark, tmp_path):
         ra, rb = (np.argsort(np.lexsort((at, x))) for x in (at // 7, at * 37 % 91))
         want[q] = 1 - 6 * ((ra - rb).astype(float) ** 2).sum() / (200 * (200 * 200 - 1))
     assert {r.query_id: round(r.rho, 12) for r in got.collect()} == {q: round(x, 12) for q, x in want.items()}
+
+
+def test_a_long_chain_of_shards_is_reached_in_few_rounds(spark, monkeypatch):
+    """Before, each edge of the longest path was a join and a checkpoint of its own. With branching and cycles, edges that lead nowhere, and where doubling stops."""
+    from annora.operators import graph as G
+
+    rows = [(i // 2, i, [i + 1, 9999] if i % 7 else [i + 1, i - 2], i == 0) for i in range(60)] + [(30 + i, 100 + i, [5], False) for i in range(3)]
+    nodes = spark.createDataFrame([(s, n, [x for x in near if x != 41], e) for s, n, near, e in rows], "shard int, node_id long, neighbors array<long>, entry boolean")
+    want = {r.node_id for r in G.hops_across(nodes).collect()}
+    assert len(want) == 41
+    for most in (4, 0):
+        monkeypatch.setattr(G, "JUMPS", most)
+        assert {r.node_id for r in G.reached_across(nodes).collect()} == want
+
+
+def test_strong_components():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 12):
+        a = rng.random((n, n)) < 1.4 / n
+        far = np.eye(n, dtype=bool) | a
+        for _ in range(n):
+            far = far | (far.astype(int) @ far.astype(int) > 0)
+        root = kernels.strong_components(n, *np.nonzero(a))
+        assert ((root[:, None] == root) == (far & far.T)).all()
