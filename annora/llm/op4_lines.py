@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annora.llm.common import bounded_batches, components, stored
+from annora.llm.common import bounded_batches, components, release, stored
 
 BLANKS = " \t\r\x0b\x0c"
 #: Lines are worked on together up to so many code points.
@@ -379,20 +379,27 @@ def line_classes(docs: DataFrame, *, edits: int = 2, chars_per_edit: int = 10) -
     posted = stored(_postings(texts, shared, edits, chars_per_edit).groupBy("key", "lid").agg(F.max("home").alias("home")), "lines-posted")
     filed = stored(posted.where("home").groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last")), "lines-filed")
     met = stored(posted.join(filed, "key").where("lead <> lid or last <> lid"), "lines-met")
+    release(posted, filed)
     wanted = stored(met.select("lid").unionByName(met.select(F.col("lead").alias("lid"))).distinct(), "lines-wanted")
     lines = stored(_texts(texts, wanted), "lines-texts")
     led = stored(met.where("lead <> lid").select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")).distinct(), "lines-led")
     links = stored(_verified(led, lines, edits, chars_per_edit), "lines-links")
-    part = stored(components(links), "lines-parts").withColumnRenamed("node", "lid")
+    release(wanted)
+    parts = stored(components(links), "lines-parts")
+    part = parts.withColumnRenamed("node", "lid")
 
     rooted = stored(met.where("lead <> last").select("key", "lid", "home").join(part, "lid", "left").withColumn("root", F.coalesce("root", "lid")), "lines-rooted")
     various = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     busy = stored(rooted.join(various, "key").join(lines.select("lid", "bins1", "bins2"), "lid"), "lines-busy")
+    release(met, parts, rooted)
     x, y = (busy.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("lid", "root", "home", "bins1", "bins2")]) for s in ("x", "y"))
     rest = x.join(y.where("homey"), "key").where("rootx <> rooty").where("not homex or lidx < lidy").where(_bins_allow(edits))
     rest = rest.select(F.least("lidx", "lidy").alias("a"), F.greatest("lidx", "lidy").alias("b")).distinct()
     more = stored(_verified(rest.join(led, ["a", "b"], "left_anti"), lines, edits, chars_per_edit), "lines-more")
-    whole = stored(components(links.unionByName(more)), "lines-classes").withColumnRenamed("node", "lid")
+    release(busy, lines, led)
+    classes = stored(components(links.unionByName(more)), "lines-classes")
+    release(links, more)
+    whole = classes.withColumnRenamed("node", "lid")
 
     # A line and a class may hold a third of all rows: they are counted before they meet in one task, and joined after they have been.
     own = rows.groupBy("lid").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -400,6 +407,7 @@ def line_classes(docs: DataFrame, *, edits: int = 2, chars_per_edit: int = 10) -
     total = stored(own.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.sum("n").alias("n_lines")), "lines-totals")
     known = own.join(total, "root", "left").select("lid", F.coalesce("root", "lid").alias("class_id"), F.coalesce("n_lines", "n").alias("n_lines"), F.coalesce("low", "first").alias("first"))
     known = stored(known, "lines-known")
+    release(own, total, classes)
     return rows.join(known, "lid").select(
         "doc_id", "line_no", "class_id", "n_lines", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),

@@ -146,3 +146,14 @@ def test_strong_components():
             far = far | (far.astype(int) @ far.astype(int) > 0)
         root = kernels.strong_components(n, *np.nonzero(a))
         assert ((root[:, None] == root) == (far & far.T)).all()
+
+
+def test_op4_leaves_two_scratch_tables(spark):
+    """Before, all fifteen stayed until drop_scratch()."""
+    from annora.llm import common
+    from annora.llm.op4_lines import line_classes
+
+    before = set(common._scratch)
+    docs = spark.createDataFrame([(i, f"one line of some words {i % 3}\nand another one that is longer {i}") for i in range(8)], "doc_id long, text string")
+    assert line_classes(docs).count() == 16
+    assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(common._scratch) - before) == ["lines-known", "lines-scan"]
