@@ -45,13 +45,23 @@ def robust_prune(node: int, candidates: np.ndarray, vectors: np.ndarray, alpha:
     return chosen
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of rows of each a[i] to rows of b[i]."""
-    return (a * a).sum(2)[:, :, None] + (b * b).sum(2)[:, None] - 2 * a @ b.transpose(0, 2, 1)
+#: Candidates that pruning takes at a time: which of them one rules out are the bits of a number.
+TIER = 64
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """TIER flags at most of the last axis as a number."""
+    packed = np.zeros((*flags.shape[:-1], TIER // 8), np.uint8)
+    some = np.packbits(flags, axis=-1, bitorder="little")
+    packed[..., : some.shape[-1]] = some
+    return packed.view("<u8")[..., 0]
 
 
 def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float, degree: int, block: int = 64) -> list[list[int]]:
-    """robust_prune() of many nodes, each with its pool, a block of nodes at a time; large pools, whose mutual distances would take much room, one by one."""
+    """robust_prune() of many nodes, each with its pool, a block of nodes at a time; large pools, whose mutual distances would take much room, one by one.
+
+    Distances are those of differences from the node, so that they are as exact as the node's own, in the vectors' precision.
+    """
     out: list[list[int]] = [[] for _ in pools]
     sizes = np.array([len(p) for p in pools], np.int64)
     for which in np.flatnonzero(sizes > 8 * degree).tolist():
@@ -60,45 +70,44 @@ def prune_many(nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray,
     by_size = by_size[sizes[by_size] <= 8 * degree]
     for at in range(0, len(by_size), block):
         part = by_size[at : at + block]
-        most = sizes[part].max()
-        if not most:
+        size = sizes[part]
+        if not size[-1]:
             continue
-        cand = np.full((len(part), most), -1, np.int64)
-        for r, which in enumerate(part):
-            cand[r, : sizes[which]] = pools[which]
+        cand = np.full((len(part), size[-1]), -1, np.int64)
+        cand[np.arange(size[-1]) < size[:, None]] = np.concatenate([pools[which] for which in part.tolist()])
         cand.sort(axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         cand[cand == nodes[part][:, None]] = -1
-        diff = vectors[cand].astype(np.float64) - vectors[nodes[part]].astype(np.float64)[:, None]
+        diff = vectors[cand]
+        diff -= vectors[nodes[part]][:, None]
         own = np.einsum("ijk,ijk->ij", diff, diff)
         own[cand < 0] = np.inf
-        order = np.argsort(own, axis=1, kind="stable")[:, : (cand >= 0).sum(1).max()]
-        cand, own = np.take_along_axis(cand, order, 1), np.take_along_axis(own, order, 1)
-        x = vectors[cand].astype(np.float64)
-        alive, chosen = cand >= 0, np.full((len(part), degree), -1, np.int64)
-        picked = np.full((len(part), degree), -1, np.int64)  # places in cand
-        count, every = np.zeros(len(part), np.int64), np.arange(len(part))
-        # Nearest first, as many at a time as a node may keep: what is far is mostly ruled out by what was chosen before it.
-        for low in range(0, cand.shape[1], degree):
-            tier = slice(low, low + degree)
+        order = np.argsort(own, axis=1, kind="stable")[:, : max(1, (cand >= 0).sum(1).max())]
+        picked, count = np.full((len(part), degree), -1, np.int64), np.zeros(len(part), np.int64)  # places in cand
+        # Nearest first, TIER at a time: what is far is mostly ruled out by what was chosen before it.
+        for low in range(0, order.shape[1], TIER):
+            rows = np.flatnonzero(count < degree)
+            if not len(rows):
+                break
+            place = order[rows, low : low + TIER]
+            x, far, alive = diff[rows[:, None], place], own[rows[:, None], place], cand[rows[:, None], place] >= 0
             if low:
-                before = x[every[:, None], np.maximum(picked[:, : max(1, count.max())], 0)]
-                near = _apart(before, x[:, tier])
-                near[picked[:, : near.shape[1]] < 0] = np.inf
-                alive[:, tier] &= (alpha * near > own[:, None, tier]).all(1)
-            mutual = _apart(x[:, tier], x[:, tier])
-            while True:
-                rows = np.flatnonzero(alive[:, tier].any(1) & (count < degree))
-                if not len(rows):
-                    break
-                best = alive[rows, tier].argmax(1)
-                chosen[rows, count[rows]] = cand[rows, low + best]
-                picked[rows, count[rows]] = low + best
-                count[rows] += 1
-                alive[rows, tier] &= alpha * mutual[rows, best] > own[rows, tier]
-                alive[rows, low + best] = False
-        for r, which in enumerate(part):
-            out[which] = chosen[r][chosen[r] >= 0].tolist()
+                was = picked[rows, : max(1, count[rows].max())]
+                apart = own[rows[:, None], was][:, :, None] + far[:, None] - 2 * diff[rows[:, None], was] @ x.transpose(0, 2, 1)
+                alive &= ((alpha * apart > far[:, None]) | (was < 0)[:, :, None]).all(1)
+            with np.errstate(invalid="ignore"):
+                ruled = _bits(~(alpha * (far[:, :, None] + far[:, None] - 2 * x @ x.transpose(0, 2, 1)) > far[:, None]))
+            live, kept = _bits(alive), np.zeros(place.shape, bool)
+            for i in range(place.shape[1]):
+                one = live >> np.uint64(i) & np.uint64(1)
+                kept[:, i] = one
+                live &= ~(ruled[:, i] * one)
+            rank = count[rows, None] + np.cumsum(kept, 1)
+            who, which = np.nonzero(kept & (rank <= degree))
+            picked[rows[who], rank[who, which] - 1] = place[who, which]
+            count[rows] = np.minimum(rank[:, -1], degree)
+        for which, own_cand, own_picked, n in zip(part.tolist(), cand, picked, count.tolist(), strict=True):
+            out[which] = own_cand[own_picked[:n]].tolist()
     return out
 
 
@@ -125,21 +134,20 @@ class Adjacency:
     def link(self, nodes: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, alpha: float) -> None:
         """Each of nodes gets what pruning leaves of its pool, and these get it back; what has no room for more is pruned."""
         self.prune(nodes, pools, vectors, alpha)
-        back: dict[int, list[int]] = {}
-        for i in nodes.tolist():
-            for j in self.of(i).tolist():
-                back.setdefault(j, []).append(i)
-        full = []
-        for j, more in back.items():
-            known = set(self.of(j).tolist())
-            more = [i for i in more if i not in known]
-            n = self.size[j]
-            if n + len(more) <= self.near.shape[1]:
-                self.near[j, n : n + len(more)] = more
-                self.size[j] += len(more)
-            else:
-                full.append((j, np.concatenate([self.of(j), more])))
-        self.prune(np.array([j for j, _ in full], np.int64), [pool for _, pool in full], vectors, alpha)
+        own = self.near[nodes]
+        who, place = np.nonzero(own >= 0)
+        to, back = own[who, place], nodes[who]
+        new = ~(self.near[to] == back[:, None]).any(1)
+        order = np.argsort(to[new], kind="stable")
+        to, back = to[new][order], back[new][order]
+        at, begin, more = np.unique(to, return_index=True, return_counts=True)
+        room = self.size[at] + more <= self.near.shape[1]
+        slot = np.arange(len(to)) - np.repeat(begin, more) + np.repeat(self.size[at], more)
+        fits = np.repeat(room, more)
+        self.near[to[fits], slot[fits]] = back[fits]
+        self.size[at[room]] += more[room]
+        full = at[~room]
+        self.prune(full, [np.concatenate([self.of(j), back[x : x + n]]) for j, x, n in zip(full.tolist(), begin[~room].tolist(), more[~room].tolist(), strict=True)], vectors, alpha)
 
     def settle(self, vectors: np.ndarray, alpha: float) -> list[list[int]]:
         """Neighbours of each node, once those that have more than degree are pruned."""
@@ -175,46 +183,81 @@ def by_codes(queries: np.ndarray, centroid: np.ndarray, sign: np.ndarray, sq: np
     return measure
 
 
-def search_many(measure: Measure, queries: int, near: np.ndarray, start: int, width: int, ahead: int = 8) -> tuple[np.ndarray, list[np.ndarray]]:
+def exact_table(queries: np.ndarray, vectors: np.ndarray, sq: np.ndarray) -> np.ndarray:
+    """exactly() of a batch of queries and all nodes, whose squared norms are sq."""
+    table = queries @ vectors.T
+    table *= -2
+    table += sq
+    table += np.einsum("ij,ij->i", queries, queries)[:, None]
+    return table
+
+
+def code_table(queries: np.ndarray, centroid: np.ndarray, sign: np.ndarray, sq: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    """by_codes() of a batch of queries and all nodes."""
+    q = queries.astype(np.float64) - centroid.astype(np.float64)
+    table = q @ sign.T
+    table *= -2 * np.divide(sq, l1, out=np.zeros_like(sq), where=l1 != 0)
+    table += sq
+    table += np.where(l1 == 0, 0, (q * q).sum(1)[:, None])
+    return table
+
+
+def search_many(measure: Measure | np.ndarray, queries: int, near: np.ndarray, start: int, width: int, ahead: int = 8) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each query the width best nodes that best-first search from start meets (best first, -1 where there are fewer), and those it looked into.
 
     Queries go side by side: in each step every one of them looks into its `ahead` best nodes that it hasn't yet, until the width best
-    are all looked into. A node is measured once per query.
+    are all looked into. A node is measured once per query, or looked up, if measure is a table (queries x nodes). A beam as wide as the
+    graph meets all that start reaches, so then there are no steps.
     """
     b, n = queries, len(near)
-    seen, last = np.zeros((b, n), bool), np.empty((b, n), np.int32)
-    seen[:, start] = True
+    known = isinstance(measure, np.ndarray)
+    if width >= n:
+        met = np.flatnonzero(reached_by(near, start))
+        d = measure[:, met] if known else measure(np.repeat(np.arange(b), len(met)), np.tile(met, b)).reshape(b, -1)
+        best = np.full((b, width), -1, np.int64)
+        best[:, : len(met)] = met[np.argsort(d, axis=1, kind="stable")]
+        return best, [met] * b
+    flat = measure.ravel() if known else None
+    seen, last = np.zeros(b * n, bool), np.empty(b * n, np.int32)
+    seen[np.arange(b) * n + start] = True
     best = np.full((b, width), -1, np.int64)
-    far = np.full((b, width), np.inf)
+    far = np.full((b, width), np.inf, measure.dtype if known else float)
     opened = np.ones((b, width), bool)
-    best[:, 0], far[:, 0], opened[:, 0] = start, measure(np.arange(b), np.full(b, start)), False
+    best[:, 0], opened[:, 0] = start, False
+    far[:, 0] = measure[:, start] if known else measure(np.arange(b), np.full(b, start))
     looked: list[tuple[np.ndarray, np.ndarray]] = []
     while not opened.all():
-        closed = np.where(opened, np.inf, far)
-        some = np.argsort(closed, axis=1, kind="stable")[:, :ahead]
-        who, which = np.nonzero(np.isfinite(np.take_along_axis(closed, some, 1)))
-        at = some[who, which]
+        # The list is sorted, so the best that aren't looked into are the first ones.
+        who, at = np.nonzero(~opened & (np.cumsum(~opened, 1) <= ahead))
         opened[who, at] = True
         nodes = best[who, at]
         looked.append((who, nodes))
-        row, to = np.repeat(who, near.shape[1]), near[nodes].ravel()
-        fresh = to >= 0
-        fresh[fresh] = ~seen[row[fresh], to[fresh]]
-        row, to = row[fresh], to[fresh]
-        last[row, to] = np.arange(len(row))
-        once = last[row, to] == np.arange(len(row))
-        row, to = row[once], to[once]
-        seen[row, to] = True
-        d = measure(row, to)
-        good = d < far[row, -1]
-        row, to, d = row[good], to[good], d[good]
+        to = near[nodes]
+        row, to = np.repeat(who, near.shape[1]), to.ravel()
+        if known:  # what isn't good enough needs no mark, as it never will be
+            cell = row * n + to
+            keep = np.flatnonzero((flat[cell] < far[row, -1]) & ~seen[cell] & (to >= 0))
+        else:
+            cell = row * n + to
+            keep = np.flatnonzero((to >= 0) & ~seen[cell])
+        row, to, cell = row[keep], to[keep], cell[keep]
+        last[cell] = np.arange(len(cell))
+        once = last[cell] == np.arange(len(cell))
+        row, to, cell = row[once], to[once], cell[once]
+        seen[cell] = True
+        if known:
+            d = flat[cell]
+        else:
+            d = measure(row, to)
+            good = d < far[row, -1]
+            row, to, d = row[good], to[good], d[good]
         if not len(row):
             continue
         count = np.bincount(row, minlength=b)  # row ascends
         rows = np.flatnonzero(count)
         count = count[rows]
         place, slot = np.repeat(np.arange(len(rows)), count), np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        more, more_far = np.full((len(rows), count.max()), -1, np.int64), np.full((len(rows), count.max()), np.inf)
+        more, more_far = np.full((len(rows), count.max()), -1, np.int64), np.full((len(rows), count.max()), np.inf, far.dtype)
         more[place, slot], more_far[place, slot] = to, d
         both_far = np.concatenate([far[rows], more_far], 1)
         order = np.argsort(both_far, axis=1, kind="stable")[:, :width]
@@ -329,9 +372,11 @@ def build_graph(vectors: np.ndarray, *, degree: int, search_list: int, passes: i
 def refine(graph: Adjacency, order: np.ndarray, vectors: np.ndarray, start: int, search_list: int, alpha: float, most: int = 128) -> None:
     """Links the nodes in order anew, in batches of most nodes, or a sixteenth of all if that is fewer, as a batch's nodes don't see each other's links."""
     batch = max(1, min(most, len(vectors) // 16))
+    centred = (vectors - vectors.astype(np.float64).mean(0)).astype(np.float32)
+    sq = np.einsum("ij,ij->i", centred, centred)
     for at in range(0, len(order), batch):
         nodes = order[at : at + batch]
-        best, looked = search_many(exactly(vectors[nodes], vectors), len(nodes), graph.near, start, search_list)
+        best, looked = search_many(exact_table(centred[nodes], centred, sq), len(nodes), graph.near, start, search_list)
         graph.link(nodes, [np.concatenate([b[b >= 0], x, graph.of(i)]) for i, b, x in zip(nodes.tolist(), best, looked, strict=True)], vectors, alpha)
 
 

@@ -42,12 +42,12 @@ def build_nodes(vectors: DataFrame, center: np.ndarray, first_ids: dict[int, int
         v = np.stack(pdf.vector.to_numpy()).astype(np.float32)
         return _frame(shard, first_ids[shard] + np.arange(len(pdf)), pdf.id.to_numpy(), v, *_built(v, shard, cfg), centroid, pdf["copy"].to_numpy())
 
-    return spread(vectors, len(first_ids)).groupBy("shard").applyInPandas(run, NODES)
+    return spread(vectors, 1 + max(first_ids, default=0)).groupBy("shard").applyInPandas(run, NODES)
 
 
 def spread(rows: DataFrame, shards: int) -> DataFrame:
-    """rows dealt by shard to partitions of a stated number: a shard is minutes of work but few bytes, of which Spark would put many into one task."""
-    return rows.repartition(max(1, min(2 * shards, TASKS)), "shard")
+    """rows, each shard (numbered below shards) in a partition of its own, or so evenly, beyond TASKS: a shard is minutes of work but few bytes, of which Spark would put many into one task."""
+    return rows.repartitionById(max(1, min(shards, TASKS)), "shard")
 
 
 def _built(v: np.ndarray, shard: int, cfg: IndexConfig) -> tuple[list[list[int]], int]:
@@ -172,7 +172,7 @@ def _searcher(centroid: np.ndarray, k: int, cfg: IndexConfig, beams: bool = True
             far = np.full(len(ids), np.inf)
             for at in range(0, len(ids), TOGETHER):
                 q = asked[at : at + TOGETHER]
-                best, _ = kernels.search_many(kernels.by_codes(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
+                best, _ = kernels.search_many(kernels.code_table(q, centroid, sign, sq, l1), len(q), shard.near, shard.start, width)
                 for which, (qid, one, met) in enumerate(zip(ids[at : at + TOGETHER], q, best[:, :rerank], strict=True), at):
                     met = met[met >= 0]
                     d = kernels.l2_to(one, v[met])
@@ -285,7 +285,7 @@ def insert_nodes(nodes: DataFrame, new: DataFrame, center: np.ndarray, first_ids
         graph = kernels.extend_graph(graph, v, start, degree=cfg.max_degree, search_list=cfg.search_list, alpha=cfg.alpha)
         return _frame(shard, node_ids, ids.astype(np.int64), v, graph, start, centroid, copy)
 
-    shards = len(set(first_ids) | rebuilt)
+    shards = 1 + max({*first_ids, *rebuilt}, default=0)
     return spread(nodes, shards).groupBy("shard").cogroup(spread(new, shards).groupBy("shard")).applyInPandas(run, NODES)
 
 
@@ -351,7 +351,7 @@ def reached_across(nodes: DataFrame) -> DataFrame:
         place = order[np.minimum(np.searchsorted(ids, flat, sorter=order), len(ids) - 1)] if len(flat) else np.empty(0, np.int64)
         return pa.table({"node_id": ids, "root": ids[kernels.strong_components(len(ids), np.repeat(np.arange(len(ids)), size)[ids[place] == flat], place[ids[place] == flat])]})
 
-    groups = spread(nodes.select("shard", "node_id", "neighbors"), 50).groupBy("shard").applyInArrow(group, "node_id long, root long").checkpoint()
+    groups = spread(nodes.select("shard", "node_id", "neighbors"), 100).groupBy("shard").applyInArrow(group, "node_id long, root long").checkpoint()
     links = nodes.select("node_id", F.explode("neighbors").alias("dst")).join(groups.withColumnRenamed("root", "a"), "node_id")
     links = links.join(groups.select(F.col("node_id").alias("dst"), F.col("root").alias("b")), "dst").where("a <> b").select("a", "b").distinct().checkpoint()
     count, far, jumps = links.count(), 1, [links]

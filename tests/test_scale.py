@@ -7,6 +7,7 @@ from annora.config import IndexConfig
 from annora.functions import kernels
 from annora.index import VectorIndex
 from annora.operators import knn
+from annora.operators.graph import spread
 
 
 def frame(spark, v, start=0):
@@ -157,3 +158,40 @@ def test_op4_leaves_two_scratch_tables(spark):
     docs = spark.createDataFrame([(i, f"one line of some words {i % 3}\nand another one that is longer {i}") for i in range(8)], "doc_id long, text string")
     assert line_classes(docs).count() == 16
     assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(common._scratch) - before) == ["lines-known", "lines-scan"]
+
+
+def test_each_shard_is_a_task_of_its_own(spark):
+    """A hash of the shard's number put several of twenty shards into one partition, one after the other, and left others empty."""
+    rows = spread(spark.range(400).select((F.col("id") % 20).cast("int").alias("shard"), "id"), 20)
+    per = rows.select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+    assert [r["count"] for r in per] == [1] * 20
+
+
+def test_tables_of_distances_are_what_measures_tell():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(700, 16)).astype(np.float32)
+    v[:40] = v[40]
+    graph, start = kernels.build_graph(v, degree=12, search_list=24, passes=1, alpha=1.2, seed=3)
+    near, c = kernels.Adjacency(graph, 12).near, v[40]
+    codes, sq, l1 = kernels.encode(v, c)
+    sign, every, q = kernels.signs(codes, 16), np.arange(700), v[::70]
+    rows, nodes = np.repeat(np.arange(10), 700), np.tile(every, 10)
+    tables = kernels.exact_table(q, v, np.einsum("ij,ij->i", v, v)), kernels.code_table(q, c, sign, sq, l1)
+    measures = kernels.exactly(q, v), kernels.by_codes(q, c, sign, sq, l1)
+    for table, measure in zip(tables, measures, strict=True):
+        assert np.allclose(table, measure(rows, nodes).reshape(10, -1), atol=1e-4)
+        for width in (50, 800):  # also wider than the graph
+            found, known = (kernels.search_many(m, 10, near, start, width)[0] for m in (measure, table))
+            # Ties aside, the same nodes: those of the same distances.
+            far = [np.sort(np.take_along_axis(table, np.maximum(x, 0), 1), 1) for x in (found, known)]
+            assert ((found >= 0) == (known >= 0)).all() and np.allclose(*far, atol=1e-4)
+
+
+def test_pruning_stops_once_all_have_their_degree(monkeypatch):
+    """Of far apart candidates the nearest ones fill a node up; distances between the others used to be taken all the same."""
+    v, taken = np.eye(300, dtype=np.float32), []
+    monkeypatch.setattr(kernels, "_bits", lambda flags, real=kernels._bits: taken.append(flags.shape) or real(flags))
+    pools = [np.arange(300)] * 4
+    found = kernels.prune_many(np.arange(4), pools, v, 1.2, 40)
+    assert found == [kernels.robust_prune(i, p, v, 1.2, 40) for i, p in enumerate(pools)]
+    assert len(taken) == 2  # one tier of 64: what it rules out, and what it has
