@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,8 +296,8 @@ def _bins(lines: list[str]) -> np.ndarray:
     return counts.astype(np.uint8).view(np.int64).reshape(len(lines), 2)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lid, line, bins1, bins2) of the wanted lines (lid). A plane of bits tells most others while scanning; the join below decides."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(lid, line, bins1, bins2) of the wanted lines (lid), and what its tasks share. A plane of bits tells most others while scanning; the join below decides."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = Sieve()
@@ -327,7 +328,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield from work()
         yield from work()
 
-    return docs.mapInArrow(run, "lid long, line string, bins1 long, bins2 long").join(wanted, "lid", "left_semi").dropDuplicates(["lid"])
+    return docs.mapInArrow(run, "lid long, line string, bins1 long, bins2 long").join(wanted, "lid", "left_semi").dropDuplicates(["lid"]), shared
 
 
 def _bins_allow(edits: int) -> Column:
@@ -377,11 +378,14 @@ def line_classes(docs: DataFrame, *, edits: int = 2, chars_per_edit: int = 10) -
     rows = scan.where("part is null").select("doc_id", "line_no", "lid")
     shared = docs.sparkSession.sparkContext.broadcast(_merged(scan.where("part is not null").select("part", "bits")).planes)
     posted = stored(_postings(texts, shared, edits, chars_per_edit).groupBy("key", "lid").agg(F.max("home").alias("home")), "lines-posted")
+    shared.destroy()  # the driver and each executor have a file of it
     filed = stored(posted.where("home").groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last")), "lines-filed")
     met = stored(posted.join(filed, "key").where("lead <> lid or last <> lid"), "lines-met")
     release(posted, filed)
     wanted = stored(met.select("lid").unionByName(met.select(F.col("lead").alias("lid"))).distinct(), "lines-wanted")
-    lines = stored(_texts(texts, wanted), "lines-texts")
+    found, shared = _texts(texts, wanted)
+    lines = stored(found, "lines-texts")
+    shared.destroy()
     led = stored(met.where("lead <> lid").select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")).distinct(), "lines-led")
     links = stored(_verified(led, lines, edits, chars_per_edit), "lines-links")
     release(wanted)

@@ -1,5 +1,7 @@
 """What made queries slow, large or inexact on larger tables."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -195,3 +197,18 @@ def test_pruning_stops_once_all_have_their_degree(monkeypatch):
     found = kernels.prune_many(np.arange(4), pools, v, 1.2, 40)
     assert found == [kernels.robust_prune(i, p, v, 1.2, 40) for i, p in enumerate(pools)]
     assert len(taken) == 2  # one tier of 64: what it rules out, and what it has
+
+
+def test_op4_keeps_no_broadcast(spark, monkeypatch):
+    """The sieves, 64 MB for the driver and each executor, used to stay on disk until the driver's memory was collected."""
+    from pyspark import SparkContext
+
+    from annora.llm.common import drop_scratch
+    from annora.llm.op4_lines import line_classes
+
+    sent, real = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(real(self, value)) or sent[-1])
+    docs = spark.createDataFrame([(1, "a line of some words, no. 1"), (2, "a line of some words, no. 2")], "doc_id long, text string")
+    assert {r.class_id for r in line_classes(docs).collect()} and len(sent) == 2
+    assert not any(os.path.exists(b._path) for b in sent)
+    drop_scratch(spark)
