@@ -127,6 +127,28 @@ def test_ranks_without_a_checkpoint(spark, tmp_path):
     assert {r.query_id: round(r.rho, 12) for r in got.collect()} == {q: round(x, 12) for q, x in want.items()}
 
 
+def test_no_pair_is_shuffled_to_be_ranked(spark, tmp_path, monkeypatch):
+    """Before, each query's pairs were shuffled, 24 bytes each, so that disk grew with the square of the rows. Copies, and pairs beyond what a task holds, included."""
+    from annora.operators import evaluate
+    from annora.plans.catalogue import spearman_rho
+
+    v = np.round(normal(300, 6), 1)
+    v[60:110], v[7] = v[50], v[50]
+    frame(spark, v).repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    plan = spearman_rho(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Groups" not in plan
+    c = v.astype(float) - v.astype(float).mean(0).astype(np.float32).astype(float)
+    sq, l1, want = (c * c).cumsum(1)[:, -1], np.abs(c).cumsum(1)[:, -1], {}
+    for q in range(0, 300, 50):
+        dot = np.where(c >= 0, c[q], -c[q]).cumsum(1)[:, -1]
+        ra, rb = (np.argsort(np.lexsort((np.arange(300), x))) for x in (sq[q] + sq - 2 * sq * dot / l1, knn.l2_of(c, c[q : q + 1])))
+        want[q] = round(1 - 6 * ((ra - rb).astype(float) ** 2).sum() / (300 * (300 * 300 - 1)), 6)
+    for held in (evaluate.HELD, 1300, 299):
+        monkeypatch.setattr(evaluate, "HELD", held)
+        monkeypatch.setattr(evaluate, "SENT", 41)
+        assert {r.query_id: r.rho for r in spearman_rho(spark, str(tmp_path)).collect()} == want
+
+
 def test_a_long_chain_of_shards_is_reached_in_few_rounds(spark, monkeypatch):
     """Before, each edge of the longest path was a join and a checkpoint of its own. With branching and cycles, edges that lead nowhere, and where doubling stops."""
     from annora.operators import graph as G
